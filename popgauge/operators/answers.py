@@ -14,6 +14,7 @@ from popgauge.functions.text import parse_letter, parse_prob_bin, probability_bi
 from popgauge.operators.metrics import argmax_first
 
 MAX_PERMUTATIONS = 128
+ROUNDING = 1e-9
 
 
 def mc_vote_distribution(answers: DataFrame, keys: Sequence[str], text: str, options: str) -> DataFrame:
@@ -61,7 +62,7 @@ def decode_prob_matrix(df: DataFrame, keys: Sequence[str], order: str, probs: st
     )
     rest = F.lit(1.0) - F.coalesce(F.sum("_w").over(ask), F.lit(0.0))
     weight = F.when(F.col("_last"), rest).otherwise(F.col("_w"))
-    return decoded.withColumns({"weight": weight, "is_valid": rest >= 0}).drop("_last", "_w")
+    return decoded.withColumns({"weight": weight, "is_valid": rest >= -ROUNDING}).drop("_last", "_w")
 
 
 def budget_levels(answers: Column | str) -> Column:

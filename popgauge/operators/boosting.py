@@ -28,8 +28,9 @@ UNKNOWN = "(missing)"
 def training_cells(df: DataFrame, task: HighDimTask, ids: Sequence[str], *, folds: int, seed: int,
                    replicates: int = 0) -> DataFrame:
     """(conditions.., y, fold, w[, w0, w1, ..]): weight of each cell, outcome and fold."""
-    counts = {f"w{b}": task.weight_value() * poisson_one(uniform(*ids, stream=seed + 1000 + b))
-              for b in range(replicates)}
+    names = [f"_u{b}" for b in range(replicates)]
+    df = df.withColumns({u: uniform(*ids, stream=seed + 1000 + b) for b, u in enumerate(names)}) if names else df
+    counts = {f"w{b}": task.weight_value() * poisson_one(F.col(u)) for b, u in enumerate(names)}
     named = {c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) for c in task.conditions}
     rows = df.select(
         *[named[c].alias(c) for c in task.conditions],

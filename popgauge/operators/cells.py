@@ -101,9 +101,10 @@ def bootstrap_cells(df: DataFrame, tasks: Sequence[HighDimTask], ids: Sequence[s
     is a weight inside the one aggregation that builds the cells. A cell that a replicate misses gets
     the replicate's overall share.
     """
-    counts = {f"_c{b}": poisson_one(uniform(*ids, stream=seed + b)) for b in range(replicates)}
-    names = list(counts)
-    rows = unfold_high_dim(df.withColumns(counts), tasks, names)
+    names = [f"_c{b}" for b in range(replicates)]
+    drawn = df.withColumns({c: uniform(*ids, stream=seed + b) for b, c in enumerate(names)})
+    counted = drawn.withColumns({c: poisson_one(F.col(c)) for c in names})
+    rows = unfold_high_dim(counted, tasks, names)
     sums = [F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy")]
     for c in names:
         sums += [F.sum(F.col("w") * F.col(c)).alias(f"w{c}"),

@@ -45,8 +45,8 @@ def setting_label(dim: str = "dim") -> Column:
 
 def leaderboard_setting(scores: DataFrame) -> DataFrame:
     """Mean score by model for the four settings: low/high dimension, QA/likelihood."""
-    labelled = scores.withColumns({"Setting": setting_label(), "Prompting": prompting_label()})
-    return mean_score(labelled, "model", "Setting", "Prompting").withColumn("lab", F.bround("score").cast("int"))
+    labelled = scores.withColumns({"setting": setting_label(), "prompting": prompting_label()})
+    return mean_score(labelled, "model", "setting", "prompting").withColumn("lab", F.bround("score").cast("int"))
 
 
 def by_dataset(scores: DataFrame) -> DataFrame:
@@ -55,8 +55,8 @@ def by_dataset(scores: DataFrame) -> DataFrame:
     order = rank_within(mean_score(means, "dataset"), F.col("score"), ["dataset"], "dataset_rank")
     named = means.join(order.select("dataset", "dataset_rank"), "dataset")
     return named.withColumns({
-        "dataset": recode_map("dataset", DATASET_NAMES), "Model": display_model("model"),
-        "Prompting": prompting_label(),
+        "dataset": recode_map("dataset", DATASET_NAMES), "model_display": display_model("model"),
+        "prompting": prompting_label(),
     })
 
 
@@ -72,14 +72,14 @@ def by_domain(scores: DataFrame) -> DataFrame:
     ``x_pos`` is the 0-based place, ``domain_start``/``domain_end`` the extent of the domain.
     """
     means = mean_score(scores, "model", "dataset").withColumns({
-        "dataset": recode_map("dataset", DATASET_NAMES), "Model": display_model("model"),
+        "dataset": recode_map("dataset", DATASET_NAMES), "model_display": display_model("model"),
     })
     named = means.withColumn("domain", recode_map("dataset", DOMAINS)).where(F.col("domain").isNotNull())
-    axis = Window.orderBy(order_custom("domain", DOMAIN_ORDER), "Model", "dataset", "model")
+    axis = Window.orderBy(order_custom("domain", DOMAIN_ORDER), "model_display", "dataset", "model")
     placed = named.withColumn("x_pos", F.row_number().over(axis) - 1)
     extent = Window.partitionBy("domain")
     return placed.withColumns({
-        "x": F.concat("Model", F.lit(" | "), "dataset"),
+        "x": F.concat("model_display", F.lit(" | "), "dataset"),
         "domain_start": F.min("x_pos").over(extent), "domain_end": F.max("x_pos").over(extent) + 1,
     })
 
@@ -87,7 +87,7 @@ def by_domain(scores: DataFrame) -> DataFrame:
 def by_dimension(scores: DataFrame) -> DataFrame:
     means = mean_score(scores, "model", "dim", "prob")
     return means.withColumns({
-        "Model": display_model("model"), "Dimension": F.concat(F.lit("d = "), F.col("dim").cast("string")),
+        "model_display": display_model("model"), "dimension": F.concat(F.lit("d = "), F.col("dim").cast("string")),
     })
 
 
@@ -99,7 +99,7 @@ def by_size(scores: DataFrame, sizes: dict[str, float] | None = None) -> DataFra
 
 def by_prompting(scores: DataFrame, baseline: DataFrame) -> DataFrame:
     """Mean score by model and prompting, next to the mean score of the constant predictor."""
-    means = mean_score(scores, "model", "prob").withColumn("Prompting", prompting_label())
+    means = mean_score(scores, "model", "prob").withColumn("prompting", prompting_label())
     floor = baseline.agg(F.avg("score").alias("baseline")).withColumn("_one", F.lit(1))
     return means.withColumn("_one", F.lit(1)).join(F.broadcast(floor), "_one").drop("_one")
 
@@ -132,8 +132,8 @@ def tuning_effect(scores: DataFrame, before: str, after: str, dataset: str) -> D
     """Score of each task of a dataset before and after tuning."""
     label = F.when(F.col("model") == before, "before").when(F.col("model") == after, "after")
     picked = scores.where((F.col("dataset") == dataset) & F.col("model").isin(before, after))
-    staged = picked.withColumns({"stage": label, "Setting": setting_label(), "Prompting": prompting_label(qa="Q&A")})
-    staged = staged.groupBy("task_id", "task_name", "Setting", "Prompting")
+    staged = picked.withColumns({"stage": label, "setting": setting_label(), "prompting": prompting_label(qa="Q&A")})
+    staged = staged.groupBy("task_id", "task_name", "setting", "prompting")
     return staged.pivot("stage", ["before", "after"]).agg(F.first("score"))
 
 

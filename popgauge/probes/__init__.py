@@ -1,6 +1,8 @@
 """Every operator applied to the driver tables, each next to the SQL that says what it must give."""
 
-from popgauge.probes import metrics  # noqa: F401
+from popgauge.probes import (  # noqa: F401
+    inputs, joins, metrics, models, order, recodes, reports, reshaping, texts,
+)
 from popgauge.probes.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -307,17 +307,17 @@ def argmax_decode(spark, folder):
 
 
 @probe("min_loss_epoch", """WITH h AS (SELECT o_orderpriority AS run, year(o_orderdate) * 12 + month(o_orderdate) AS epoch,
-  CASE WHEN o_orderstatus = 'F' THEN 'Evaluation' ELSE 'Training' END AS kind, round(avg(o_totalprice), 4) AS loss_value FROM orders GROUP BY ALL),
+  CASE WHEN o_orderstatus = 'F' THEN 'Evaluation' ELSE 'Training' END AS kind, round(avg(o_totalprice), 7) AS loss_value FROM orders GROUP BY ALL),
 e AS (SELECT run, epoch FROM h WHERE kind = 'Evaluation' QUALIFY row_number() OVER (PARTITION BY run ORDER BY loss_value, epoch) = 1)
-SELECT run, CAST(epoch AS BIGINT) AS epoch, y_top, round(y_top * 0.6, 4) AS y FROM e JOIN (SELECT run, max(loss_value) AS y_top FROM h GROUP BY 1) USING (run)""")
+SELECT run, CAST(epoch AS BIGINT) AS epoch, y_top, round(y_top * 0.6, 6) AS y FROM e JOIN (SELECT run, max(loss_value) AS y_top FROM h GROUP BY 1) USING (run)""")
 def min_loss(spark, folder):
     orders = table(spark, folder, "orders")
     history = orders.groupBy(
         F.col("o_orderpriority").alias("run"),
         (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("bigint").alias("epoch"),
         F.when(F.col("o_orderstatus") == "F", "Evaluation").otherwise("Training").alias("kind"),
-    ).agg(F.round(F.avg("o_totalprice"), 4).alias("loss_value"))
-    return min_loss_epoch(history, "run").withColumn("y", F.round("y", 4))
+    ).agg(F.round(F.avg("o_totalprice"), 7).alias("loss_value"))
+    return min_loss_epoch(history, "run").withColumn("y", r6("y"))
 
 
 @probe("zero_score_tasks", f"""WITH {S.SCORES},

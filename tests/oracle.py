@@ -24,7 +24,7 @@ def _cell(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "NULL"
-        return repr(round(value, 6) + 0.0)
+        return repr(value + 0.0)
     if isinstance(value, pd.Timestamp):
         return value.isoformat()
     return str(value)
