@@ -25,29 +25,48 @@ def _bounded(key: Column) -> Column:
     return F.pmod(key.cast("bigint"), F.lit(PRIME))
 
 
-def hash31(*keys: Column | str, stream: int | Column = 0) -> Column:
-    """Integer in [0, PRIME) drawn from the keys; another ``stream`` gives another draw."""
+def key_sum(*keys: Column | str) -> Column:
+    """The keys' part of a draw: compute it once where one row needs many streams."""
     columns = [F.col(k) if isinstance(k, str) else k for k in keys]
-    lane = stream if isinstance(stream, Column) else F.lit(stream)
-    mixed = F.lit(0).cast("bigint")
-    for position, key in enumerate([lane, *columns]):
-        mixed = mixed + (_bounded(key) * F.lit(multiplier(position)).cast("bigint")) % F.lit(PRIME)
-    mixed = (mixed + F.lit(KEY_BASE)) % F.lit(PRIME)
+    total = F.lit(0).cast("bigint")
+    for position, key in enumerate(columns, start=1):
+        total = total + (_bounded(key) * F.lit(multiplier(position)).cast("bigint")) % F.lit(PRIME)
+    return total
+
+
+def stream_hash(keys: Column, stream: int | Column = 0) -> Column:
+    """Integer in [0, PRIME) from a ``key_sum``; another ``stream`` gives another draw."""
+    if isinstance(stream, Column):
+        lane = (_bounded(stream) * F.lit(multiplier(0)).cast("bigint")) % F.lit(PRIME)
+    else:
+        lane = F.lit(stream % PRIME * multiplier(0) % PRIME).cast("bigint")
+    mixed = (keys + lane + F.lit(KEY_BASE)) % F.lit(PRIME)
     linear, constant = CUBIC
     cubed = ((mixed * mixed) % F.lit(PRIME)) * mixed % F.lit(PRIME)
     return (cubed + mixed * F.lit(linear).cast("bigint") + F.lit(constant)) % F.lit(PRIME)
 
 
+def stream_uniform(keys: Column, stream: int | Column = 0) -> Column:
+    """Uniform draw in (0, 1) from a ``key_sum``."""
+    return (stream_hash(keys, stream) + F.lit(0.5)) / F.lit(float(PRIME))
+
+
+def hash31(*keys: Column | str, stream: int | Column = 0) -> Column:
+    """Integer in [0, PRIME) drawn from the keys."""
+    return stream_hash(key_sum(*keys), stream)
+
+
 def uniform(*keys: Column | str, stream: int | Column = 0) -> Column:
-    """Uniform draw in the open interval (0, 1)."""
-    return (hash31(*keys, stream=stream) + F.lit(0.5)) / F.lit(float(PRIME))
+    """Uniform draw in the open interval (0, 1) from the keys."""
+    return stream_uniform(key_sum(*keys), stream)
 
 
 def poisson_one(u: Column) -> Column:
     """Poisson(1) count by inverting its distribution function at ``u``."""
-    total, term, count = 0.0, 2.718281828459045 ** -1, F.lit(0)
-    for k in range(1, 12):
+    total, term, most = 0.0, 2.718281828459045 ** -1, 11
+    chain = F
+    for k in range(most):
         total += term
-        term /= k
-        count = count + F.when(u > F.lit(total), 1).otherwise(0)
-    return count
+        term /= k + 1
+        chain = chain.when(u <= F.lit(total), F.lit(k))
+    return chain.otherwise(F.lit(most))

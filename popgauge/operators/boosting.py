@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popgauge.functions.hashing import poisson_one, uniform
+from popgauge.functions.hashing import key_sum, poisson_one, stream_uniform
 from popgauge.operators.joins import fold_of
 from popgauge.operators.tabulate import positive
 from popgauge.session import cut_lineage
@@ -29,7 +29,8 @@ def training_cells(df: DataFrame, task: HighDimTask, ids: Sequence[str], *, fold
                    replicates: int = 0) -> DataFrame:
     """(conditions.., y, fold, w[, w0, w1, ..]): weight of each cell, outcome and fold."""
     names = [f"_u{b}" for b in range(replicates)]
-    df = df.withColumns({u: uniform(*ids, stream=seed + 1000 + b) for b, u in enumerate(names)}) if names else df
+    keyed = df.withColumn("_keys", key_sum(*ids))
+    df = keyed.withColumns({u: stream_uniform(F.col("_keys"), seed + 1000 + b) for b, u in enumerate(names)})
     counts = {f"w{b}": task.weight_value() * poisson_one(F.col(u)) for b, u in enumerate(names)}
     named = {c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) for c in task.conditions}
     rows = df.select(

@@ -7,10 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from popgauge.functions.hashing import poisson_one, uniform
+from popgauge.functions.hashing import key_sum, poisson_one, stream_uniform
 from popgauge.operators.joins import attach, fold_of
 from popgauge.operators.metrics import quantile
-from popgauge.operators.tabulate import unfold_high_dim
+from popgauge.operators.tabulate import positive
 from popgauge.spec import HighDimTask
 
 
@@ -23,14 +23,31 @@ def cell_sums(df: DataFrame, tasks: Sequence[HighDimTask], carry: Sequence[str]
               weight: Column | None = None, extra: Mapping[str, Column] | None = None) -> DataFrame:
     """Row count, total and positive weight of every cell: (carry.., task_id, cell, n, w, wy[, ..]).
 
-    All tasks of a table in one scan; each extra weight ``x`` adds ``x`` and ``xy``.
+    Respondents are folded once into the combinations of all variables the tasks use; only those
+    combinations are then unfolded into the tasks. Each extra weight ``x`` adds ``x`` and ``xy``.
     """
-    names = ["w", *(extra or {})]
-    sums = []
-    for name in names:
-        sums += [F.sum(name).alias(name), F.sum(F.col(name) * F.col("y")).alias(f"{name}y")]
-    rows = unfold_high_dim(df, tasks, carry, weight, extra)
-    return rows.groupBy(*carry, "task_id", "cell").agg(F.count(F.lit(1)).alias("n"), *sums)
+    extra = dict(extra or {})
+    variables = list(dict.fromkeys(v for t in tasks for v in t.variables))
+    if weight is None:
+        own = {t.weight: f"_w{i}" for i, t in enumerate(tasks)}
+        sums = {own[t.weight]: t.weight_value() for t in tasks}
+    else:
+        own, sums = {}, {"_w": weight}
+    finest = df.groupBy(*carry, *variables).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(c).cast("double").alias(name) for name, c in {**sums, **extra}.items()]
+    )
+    entries = [
+        F.struct(
+            F.lit(t.task_id).alias("task_id"), t.cell().alias("cell"), positive(F.col(t.outcome)).alias("y"),
+            F.col("_n").alias("n"), F.col(own.get(t.weight, "_w")).alias("w"), *extra,
+        )
+        for t in tasks
+    ]
+    rows = finest.select(*carry, F.inline(F.array(*entries))).where(F.col("y").isNotNull())
+    totals = [F.sum("n").alias("n")]
+    for name in ["w", *extra]:
+        totals += [F.sum(name).alias(name), F.sum(F.col(name) * F.col("y")).alias(f"{name}y")]
+    return rows.groupBy(*carry, "task_id", "cell").agg(*totals)
 
 
 def share_positive(sums: DataFrame, *carry: str, weight: str = "w", name: str = "p") -> DataFrame:
@@ -55,8 +72,8 @@ def join_cells_back(df: DataFrame, cells: DataFrame, keys: Sequence[str]) -> Dat
 
 def mean_baseline(df: DataFrame, tasks: Sequence[HighDimTask]) -> DataFrame:
     """Constant predictor of each task: its unweighted share of positives."""
-    rows = unfold_high_dim(df, tasks)
-    return rows.groupBy("task_id").agg(F.avg("y").alias("q"))
+    counted = cell_sums(df, tasks, weight=F.lit(1.0))
+    return counted.groupBy("task_id").agg(F.try_divide(F.sum("wy"), F.sum("w")).alias("q"))
 
 
 def oof_cell_probability(df: DataFrame, tasks: Sequence[HighDimTask], ids: Sequence[str], *,
@@ -67,11 +84,7 @@ def oof_cell_probability(df: DataFrame, tasks: Sequence[HighDimTask], ids: Seque
     off to the cell without its last condition, and so on down to the whole task.
     """
     folded = df.withColumn("fold", fold_of(*ids, folds=folds, seed=seed))
-    fine = (
-        unfold_high_dim(folded, tasks, ["fold"])
-        .groupBy("task_id", "cell", "fold")
-        .agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"), F.count(F.lit(1)).alias("n"))
-    )
+    fine = cell_sums(folded, tasks, ["fold"])
     depths = F.explode(F.sequence(F.lit(0), F.size("cell"))).alias("depth")
     laid = fine.select("*", depths).withColumn("prefix", F.slice("cell", F.lit(1), F.col("depth")))
     own = laid.groupBy("task_id", "depth", "prefix", "fold").agg(
@@ -102,16 +115,16 @@ def bootstrap_cells(df: DataFrame, tasks: Sequence[HighDimTask], ids: Sequence[s
     the replicate's overall share.
     """
     names = [f"_c{b}" for b in range(replicates)]
-    drawn = df.withColumns({c: uniform(*ids, stream=seed + b) for b, c in enumerate(names)})
+    keyed = df.withColumn("_keys", key_sum(*ids))
+    drawn = keyed.withColumns({c: stream_uniform(F.col("_keys"), seed + b) for b, c in enumerate(names)})
     counted = drawn.withColumns({c: poisson_one(F.col(c)) for c in names})
-    rows = unfold_high_dim(counted, tasks, names)
-    sums = [F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy")]
-    for c in names:
-        sums += [F.sum(F.col("w") * F.col(c)).alias(f"w{c}"),
-                 F.sum(F.col("w") * F.col("y") * F.col(c)).alias(f"wy{c}")]
-    cells = rows.groupBy("task_id", "cell").agg(*sums)
+    weights = {t.weight for t in tasks}
+    if len(weights) > 1:
+        raise ValueError(f"tasks of one bootstrap share one weight, got {sorted(map(str, weights))}")
+    base = tasks[0].weight_value()
+    cells = cell_sums(counted, tasks, extra={f"w{c}": base * F.col(c) for c in names})
     pairs = F.array(*[
-        F.struct(F.lit(b).alias("b"), F.col(f"w{c}").alias("wb"), F.col(f"wy{c}").alias("wyb"))
+        F.struct(F.lit(b).alias("b"), F.col(f"w{c}").alias("wb"), F.col(f"w{c}y").alias("wyb"))
         for b, c in enumerate(names)
     ])
     long = cells.select("task_id", "cell", "w", F.try_divide("wy", "w").alias("p"), F.inline(pairs))

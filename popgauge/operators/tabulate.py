@@ -81,6 +81,11 @@ def task_levels(cells: DataFrame) -> DataFrame:
     return cells.select("task_id", "level").distinct()
 
 
+def level_sets(cells: DataFrame) -> DataFrame:
+    """(task_id, levels): the ordered options of each task's question."""
+    return cells.groupBy("task_id").agg(F.array_sort(F.collect_set("level")).alias("levels"))
+
+
 def level_counts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("task_id").agg(F.count_distinct("level").alias("n_levels"))
 
@@ -128,21 +133,6 @@ def positive(outcome: Column) -> Column:
     return F.when(outcome.isNotNull(), outcome.isin(*POSITIVE_ANSWERS).cast("double"))
 
 
-def unfold_high_dim(df: DataFrame, tasks: Sequence[HighDimTask], carry: Sequence[str] = (),
-                    weight: Column | None = None, extra: Mapping[str, Column] | None = None) -> DataFrame:
-    """One row per respondent and task: (carry.., task_id, cell, y, w[, extra weights..])."""
-    more = [column.cast("double").alias(name) for name, column in (extra or {}).items()]
-    entries = [
-        F.struct(
-            F.lit(task.task_id).alias("task_id"), task.cell().alias("cell"),
-            positive(F.col(task.outcome)).alias("y"),
-            (task.weight_value() if weight is None else weight).alias("w"), *more,
-        )
-        for task in tasks
-    ]
-    return df.select(*carry, F.inline(F.array(*entries))).where(F.col("y").isNotNull())
-
-
 def split_counts(df: DataFrame, category: str, shares: Sequence[str], counts: Sequence[str],
                  share_name: str = "sex", count_name: str = "race") -> DataFrame:
     """Joint cells from two margins under independence: each count times each share."""

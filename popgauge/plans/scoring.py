@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from popgauge.operators.metrics import (
-    bench_score, l1_to_uniform, weighted_l1, weighted_mean, worst_constant,
+    bench_score, weighted_l1, weighted_mean, worst_constant,
 )
-from popgauge.operators.tabulate import level_counts, normalise, scoped
+from popgauge.operators.tabulate import level_sets, normalise, scoped
 
 RUN = ["model", "prompting"]
 
 
+def _weight_of(entries: Column, level: Column) -> Column:
+    """Weight of a level in an array of (level, w)."""
+    return F.aggregate(
+        F.filter(entries, lambda e: e["level"] == level), F.lit(0.0), lambda total, e: total + e["w"]
+    )
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
+
+
 def condition_errors(truth: DataFrame, answers: DataFrame, *, strict: bool = True) -> DataFrame:
     """Per (model, prompting, task, condition): L1 to the truth, L1 of uniform, condition weight.
 
@@ -20,46 +31,36 @@ def condition_errors(truth: DataFrame, answers: DataFrame, *, strict: bool = Tru
     is scored when the model answered it and the truth knows it. An answer that is none of the
     task's levels (or NULL) makes the error NULL when ``strict``; otherwise it is left out and its
     weight reported as ``unparsed_share``.
+
+    Either side becomes one record per condition, its weights lined up along the task's levels, so
+    the two sides meet in a single join of condition records.
     """
-    counts = level_counts(truth)
-    # NULL p marks a level known to the task but unseen in this condition.
-    real = (
-        normalise(scoped(truth), ["task_id", "cond"])
-        .withColumn("total_weight", F.sum("w").over(Window.partitionBy("task_id", "cond")))
-        .select("task_id", "cond", "level", "p", "total_weight")
+    levels = level_sets(truth)
+    entries = F.collect_list(F.struct("level", "w"))
+    real = scoped(truth).groupBy("task_id", "cond").agg(
+        entries.alias("_true"), F.sum("w").alias("cond_weight")
     )
-    asked = answers.groupBy(*RUN, "task_id", "cond").agg(F.sum("w").alias("answer_weight"))
-    known = truth.select("task_id", "level").distinct().withColumn("known", F.lit(True))
-    folded = answers.groupBy(*RUN, "task_id", "cond", "level").agg(F.sum("w").alias("w"))
-    judged = folded.join(known, ["task_id", "level"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
-
-    # Truth and answers stacked instead of an outer join per model: one aggregation pairs them up.
-    stacked = (
-        asked.join(real, ["task_id", "cond"])
-        .select(*RUN, "task_id", "cond", "level", "p", "total_weight",
-                F.lit(0.0).alias("w"), F.lit(True).alias("known"))
-        .unionByName(judged.select(
-            *RUN, "task_id", "cond", "level", F.lit(None).cast("double").alias("p"),
-            F.lit(None).cast("double").alias("total_weight"), "w", "known",
-        ))
+    # One row per task.
+    judged = answers.join(F.broadcast(levels), "task_id").withColumn(
+        "_known", F.coalesce(F.array_contains("levels", F.col("level")), F.lit(False))
     )
-    run = [*RUN, "task_id", "cond"]
-    paired = stacked.groupBy(*run, "level").agg(
-        F.max("p").alias("p"), F.max("total_weight").alias("total_weight"),
-        F.sum("w").alias("w"), F.bool_and("known").alias("known"),
+    said = judged.groupBy(*RUN, "task_id", "cond").agg(
+        F.collect_list(F.when(F.col("_known"), F.struct("level", "w"))).alias("_said"),
+        F.sum(F.when(F.col("_known"), F.col("w"))).alias("_valid"),
+        F.sum("w").alias("_answered"),
+        F.sum(F.when(~F.col("_known"), F.col("w")).otherwise(0.0)).alias("_unknown"),
+        F.first("levels").alias("levels"),
+    )
+    p = lambda level: _weight_of(F.col("_true"), level) / F.col("cond_weight")
+    q = lambda level: _weight_of(F.col("_said"), level) / F.col("_valid")
+    usable = (F.col("_valid") != 0) & (F.col("cond_weight") != 0)
+    gap = F.when(usable, _total(F.transform("levels", lambda x: F.abs(p(x) - q(x)))))
+    even = F.lit(1.0) / F.size("levels")
+    flat = F.when(usable, _total(F.transform("levels", lambda x: F.abs(even - p(x)))))
+    errors = said.join(real, ["task_id", "cond"]).select(
+        *RUN, "task_id", "cond", gap.alias("score"), flat.alias("worst"), "cond_weight",
+        F.try_divide("_unknown", "_answered").alias("unparsed_share"),
     )
-    group = Window.partitionBy(*run)
-    valid = F.sum(F.when(F.col("known"), F.col("w"))).over(group)
-    paired = paired.withColumns({
-        "q": F.when(F.col("known"), F.try_divide(F.col("w"), valid)),
-        "answered": F.sum("w").over(group),
-    }).join(counts, "task_id")
-    errors = paired.groupBy(*run).agg(
-        F.sum(F.when(F.col("known"), F.abs(F.coalesce("p", F.lit(0.0)) - F.col("q")))).alias("score"),
-        l1_to_uniform("p", "n_levels").alias("worst"),
-        F.max("total_weight").alias("cond_weight"),
-        F.try_divide(F.sum(F.when(~F.col("known"), F.col("w")).otherwise(0.0)), F.max("answered")).alias("unparsed_share"),
-    ).where(F.col("cond_weight").isNotNull())
     if strict:
         errors = errors.withColumn("score", F.when(F.col("unparsed_share") == 0, F.col("score")))
     return errors

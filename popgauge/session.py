@@ -17,6 +17,9 @@ def get_session(app: str = "popgauge", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Planned sizes are guesses from compressed files; sizes measured at run time may broadcast more.
+        "spark.sql.autoBroadcastJoinThreshold": "512KB",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     for key, value in {**defaults, **conf}.items():
