@@ -20,6 +20,8 @@ def get_session(app: str = "popgauge", master: str | None = None, **conf: str) -
         # Planned sizes are guesses from compressed files; sizes measured at run time may broadcast more.
         "spark.sql.autoBroadcastJoinThreshold": "512KB",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+        # Where every shuffled partition of the build side is small, hash instead of sorting both sides.
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     for key, value in {**defaults, **conf}.items():
