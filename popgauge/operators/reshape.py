@@ -107,7 +107,8 @@ def sequence_pack(df: DataFrame, batch: str, order: str, tokens: str, block_size
     more than ``block_size`` tokens.
     """
     length = F.size(tokens).cast("bigint")
-    before = F.sum(length).over(Window.partitionBy(batch).orderBy(order)) - length
+    upto = Window.partitionBy(batch).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.sum(length).over(upto) - length
     placed = df.where(F.size(tokens) > 0).select(batch, tokens, before.alias("_from"), (before + length).alias("_to"))
     first, last = F.floor(F.col("_from") / block_size), F.floor((F.col("_to") - 1) / block_size)
     cut = placed.withColumn("block", F.explode(F.sequence(first, last)))

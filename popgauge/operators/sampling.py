@@ -58,7 +58,8 @@ def weighted_sample_replace(df: DataFrame, n: int, weight: str, ids: Sequence[st
         .select("draw", F.col("_hit._fine").alias("_fine"), (F.col("_at") - F.col("_hit._lo")).alias("_pos"))
     )
     drawn = weighted.join(draws.select("_fine").distinct(), "_fine", "left_semi")
-    within = Window.partitionBy("_fine").orderBy(*ids)
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("_fine").orderBy(*ids, weight).rowsBetween(*upto)
     rows = drawn.select(
         "_fine", (F.sum(weight).over(within) - F.col(weight)).alias("_pos"),
         F.lit(None).cast("bigint").alias("draw"), F.struct(*df.columns).alias("_row"),

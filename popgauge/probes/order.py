@@ -74,7 +74,7 @@ def weighted_sample(spark, folder):
 
 
 @probe("weighted_sample_replace", f"""WITH r AS (SELECT {IDS_LIST}, l_quantity, {u_sql(*IDS_SQL, stream=1)} % 1048576 AS fine FROM lineitem WHERE l_quantity > 0),
-c AS (SELECT *, sum(l_quantity) OVER (ORDER BY fine, {IDS_LIST}) AS hi FROM r),
+c AS (SELECT *, sum(l_quantity) OVER (ORDER BY fine, {IDS_LIST}, l_quantity ROWS UNBOUNDED PRECEDING) AS hi FROM r),
 t AS (SELECT sum(l_quantity) AS total FROM r),
 d AS (SELECT i AS draw, {uniform_sql("i", stream=2)} * total AS at FROM t, generate_series(0, 2499) s(i))
 SELECT draw, {IDS_LIST}, l_quantity FROM d ASOF JOIN (SELECT *, hi - l_quantity AS lo FROM c) c ON d.at >= c.lo""")

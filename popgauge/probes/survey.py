@@ -273,7 +273,8 @@ floors AS (SELECT task_id, quantile_cont(l1, 0.975) AS best FROM repm GROUP BY 1
 
 def bench_sql(score: str, worst: str, best: str) -> str:
     top = f"(CASE WHEN {worst} < {best} THEN {best} + 0.0001::DOUBLE ELSE {worst} END)"
-    return f"100 * greatest(least(({score} - {top}) / ({best} - {top}), 1), 0)"
+    # greatest and least skip NULLs: a missing score has to stay missing.
+    return f"CASE WHEN {score} IS NOT NULL THEN 100 * greatest(least(({score} - {top}) / ({best} - {top}), 1), 0) END"
 
 
 def cells_sql(tasks: list[HighDimTask] = HIGH) -> str:
