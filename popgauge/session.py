@@ -23,6 +23,9 @@ def get_session(app: str = "popgauge", master: str | None = None, **conf: str) -
         # Where every shuffled partition of the build side is small, hash instead of sorting both sides.
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Many sums in one pass make long generated methods, which the JVM leaves uncompiled by default.
+        "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+        "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
