@@ -17,10 +17,13 @@ GRID = 64
 
 
 def _categorical_draw(df: DataFrame, target: str, seen: Column, by: Sequence[str], u: Column) -> DataFrame:
-    """Adds ``_draw``: a level of the target as it is distributed among complete rows of the cell."""
-    counts = df.where(seen).groupBy(*by, F.col(target).alias("level")).agg(
+    """Adds ``_draw``: a level of the target as it is distributed among complete rows of the cell.
+
+    The counts are stored: checking their size and both uses read them instead of the rows.
+    """
+    counts = cut_lineage(df.where(seen).groupBy(*by, F.col(target).alias("level")).agg(
         F.count(F.lit(1)).cast("double").alias("w")
-    )
+    ))
     local = attach(df, level_lines(counts, by), by)
     drawn = local.withColumn("_draw", pick_level(u)).drop("_levels", "_upto", "_total")
     everywhere = counts.groupBy("level").agg(F.sum("w").alias("w")).withColumn("_one", F.lit(1))

@@ -174,3 +174,15 @@ def test_out_of_fold_uses_other_folds_only(spark):
     for r in out:
         others = [(y, w) for i, y, c, _, w in rows if c == r.cell[0] and folds[i] != r.fold]
         assert r.p == pytest.approx(sum(w for y, w in others if y == "yes") / sum(w for _, w in others))
+
+
+def test_boosting_agrees_with_dense_cells(spark):
+    from popgauge.operators.boosting import oof_boosted
+
+    rows = [(i, "yes" if (i * 7919) % 100 < (10, 30, 50, 80)[i % 4] else "no", f"c{i % 4}", f"d{i % 2}", 1.0) for i in range(8000)]
+    df = spark.createDataFrame(rows, "id int, y string, c string, d string, weight double")
+    task = HighDimTask(1, "x", "y", ("c", "d"))
+    cells = {tuple(r.cell): r.p for r in cell_probability(df, [task]).collect()}
+    out = oof_boosted(df, task, ["id"], folds=2, rounds=10).collect()
+    assert sum(r.w for r in out) == pytest.approx(8000)
+    assert all(r.p == pytest.approx(cells[r.c, r.d], abs=0.08) for r in out)
