@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from popgauge.functions import hashing
+from popgauge.session import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,21 +28,14 @@ def probe(key: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-_SCHEMAS: dict[str, StructType] = {}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A driver table; its footers are read for the schema once, not on every use."""
-    path = f"{folder}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """A driver table."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of the cluster (a temporary folder only in local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="popgauge-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder of the cluster."""
+    return shared_path(spark, name)
 
 
 def r6(value: Column | str) -> Column:
