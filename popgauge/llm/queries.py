@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popgauge.llm import decontaminate, packing, sharding, tokens
+from popgauge.llm import decontaminate, packing, quality, sharding, simhash, tokens
 from popgauge.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,13 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     manifest = tokens.write_sequences(docs, shared_path(spark, "token-sequences"), TOKENIZER)
     return tokens.read_documents(spark, manifest, dict(docs.dtypes)["doc_id"])
+
+
+@query("op6_simhash_byte_index")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.fingerprint_classes(table(spark, folder, "documents"))
+
+
+@query("op8_fourier_ridge")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
