@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popgauge.llm import decontaminate, packing, quality, sharding, simhash, tokens
+from popgauge.llm import decontaminate, packing, pseudonyms, quality, sharding, simhash, tokens
 from popgauge.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,9 @@ ORACLES: dict[str, str] = {}
 #: Where the vocabulary of the public byte-level tokenizer lies.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
+#: Key of the pseudonyms; a production run passes its own.
+PSEUDONYM_KEY = "popgauge"
+
 
 def query(name: str, sql: str | None = None):
     def register(function):
@@ -99,3 +102,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_fourier_ridge")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_feistel_pseudonyms")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonyms.with_counts(table(spark, folder, "documents"), PSEUDONYM_KEY)
