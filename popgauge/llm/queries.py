@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popgauge.llm import decontaminate, packing, pseudonyms, quality, sharding, simhash, tokens
+from popgauge.llm import decontaminate, outliers, packing, pseudonyms, quality, sharding, simhash, tokens
 from popgauge.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_feistel_pseudonyms")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonyms.with_counts(table(spark, folder, "documents"), PSEUDONYM_KEY)
+
+
+@query("op2_robust_outliers")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.judged(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")

@@ -36,7 +36,7 @@ class Encoder:
     the ids of a text are those of its chunks in a row."""
 
     CUT = re.compile(r" (?=\S)")
-    MOST = 1_000_000
+    MOST = 500_000
     _shared: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
