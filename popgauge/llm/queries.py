@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popgauge.llm import decontaminate, outliers, packing, pseudonyms, quality, sharding, simhash, tokens
+from popgauge.llm import decontaminate, outliers, packing, pseudolikelihood, pseudonyms, quality, sharding, simhash, tokens
 from popgauge.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.judged(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+@query("op10_pseudo_likelihood")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudolikelihood.scored(table(spark, folder, "documents"))

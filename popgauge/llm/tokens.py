@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ class Encoder:
     the ids of a text are those of its chunks in a row."""
 
     CUT = re.compile(r" (?=\S)")
-    MOST = 500_000
+    MOST = 1_000_000
     _shared: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
@@ -54,22 +55,23 @@ class Encoder:
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
+        kind = "H" if self.width == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in found]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of ``width`` bytes."""
         split = [(t or b"").decode().split(" ") for t in texts]
-        new = {chunk for chunks in split for chunk in chunks[1:]}.difference(self.known)
+        new = set().union(*split).difference(self.known)
         odd = {c for c in new if not c or c[0].isspace()}
         if odd:
             split = [
                 self.CUT.split(t.decode()) if t and not odd.isdisjoint(chunks[1:]) else chunks
                 for t, chunks in zip(texts, split)
             ]
-            new = {chunk for chunks in split for chunk in chunks[1:]}.difference(self.known)
+            new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > self.MOST:
             self.known.clear()
-            new = {chunk for chunks in split for chunk in chunks[1:]}
+            new = set().union(*split)
         fresh = list(new)
         self.known.update(zip(fresh, self._ids([" " + c for c in fresh])))
         heads = self._ids([chunks[0] for chunks in split])
