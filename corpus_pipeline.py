@@ -1,7 +1,55 @@
-"""Placeholder until the stages are complete."""
-STAGES = []
+"""Documents to packed training sequences: each stage works on all that the stage before kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from popgauge.llm import decontaminate, packing, pseudonyms, quality, simhash
+from popgauge.llm.queries import PSEUDONYM_KEY, TOKENIZER, table
+from popgauge.session import shared_path
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return simhash.one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out of the texts."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal numbers, dates and addresses become pseudonyms."""
+    return pseudonyms.pseudonymised(docs, PSEUDONYM_KEY)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's tokens lie in bins of the permitted lengths."""
+    return packing.packed(packing.token_lengths(docs, TOKENIZER), docs.count())
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("SimHash near-dedup", one_of_near_duplicates),
+    ("benchmark decontamination", without_benchmark),
+    ("PII", with_pseudonyms),
+    ("best-fit packing", packed_sequences),
+]
+
+#: Trained scores, fingerprint links, tokens and packing cannot be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES[:-1], 1):
+        path = shared_path(spark, f"corpus-stage-{number}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popgauge.llm import decontaminate, outliers, packing, pseudolikelihood, pseudonyms, quality, sharding, simhash, tokens
+from popgauge.llm import decontaminate, outliers, packing, pseudolikelihood, pseudonyms, quality, sharding, simhash, substrings, tokens
 from popgauge.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,23 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_pseudo_likelihood")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return pseudolikelihood.scored(table(spark, folder, "documents"))
+
+
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 34)) AS i FROM w WHERE len(ws) >= 35)),
+r AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+gone AS (
+  SELECT doc_id, list(DISTINCT place) AS places
+  FROM (SELECT doc_id, unnest(generate_series(i, i + 34)) AS place FROM g SEMI JOIN r USING (h)) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN places IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""
+
+
+@query("op3_suffix_automata", OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, folder, "documents")).drop("spans")
