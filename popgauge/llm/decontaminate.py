@@ -271,7 +271,7 @@ def decontaminated(
 ) -> DataFrame:
     """The documents, all columns kept, with every benchmark occurrence cut out of ``text``."""
     queries = benchmark.select(F.col(item_id).alias("_item"), F.col(phrase).alias("_phrase"))
-    frame = _searched(docs, queries, text, size, block_items, shard_words)
+    frame, columns = _searched(docs, queries, text, size, block_items, shard_words), docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,6 +282,6 @@ def decontaminated(
                     without(data, merged([(f["first"], f["first"] + f["size"]) for f in one])).decode() if one else data and data.decode()
                     for data, one in zip(binary(part.column(at)), found)
                 ]
-                yield part.set_column(at, part.schema.field(at), pa.array(kept, part.schema.field(at).type)).select(docs.columns)
+                yield part.set_column(at, part.schema.field(at), pa.array(kept, part.schema.field(at).type)).select(columns)
 
     return frame.mapInArrow(cut, docs.schema)
