@@ -30,10 +30,30 @@ ACS_CITIZENSHIP = {
 }
 ACS_MARITAL = {"1": "married", "2": "widowed", "3": "divorced", "4": "separated", "5": "never married"}
 ACS_EDUCATION = [
-    "No schooling completed", "Nursery school, preschool", "Kindergarten", *[f"Grade {g}" for g in range(1, 12)],
-    "12th grade - no diploma", "Regular high school diploma", "GED or alternative credential",
-    "Some college, but less than 1 year", "1 or more years of college credit, no degree", "Associate's degree",
-    "Bachelor's degree", "Master's degree", "Professional degree beyond a bachelor's degree", "Doctorate degree",
+    "No schooling completed",
+    "Nursery school, preschool",
+    "Kindergarten",
+    "Grade 1",
+    "Grade 2",
+    "Grade 3",
+    "Grade 4",
+    "Grade 5",
+    "Grade 6",
+    "Grade 7",
+    "Grade 8",
+    "Grade 9",
+    "Grade 10",
+    "Grade 11",
+    "12th grade - no diploma",
+    "Regular high school diploma",
+    "GED or alternative credential",
+    "Some college, but less than 1 year",
+    "1 or more years of college credit, no degree",
+    "Associate's degree",
+    "Bachelor's degree",
+    "Master's degree",
+    "Professional degree beyond a bachelor's degree",
+    "Doctorate degree",
 ]
 ACS_EMPLOYMENT = {
     "1": "employed", "2": "not at work", "3": "unemployed", "4": "employed", "5": "not at work", "6": "not in labor force",
@@ -43,10 +63,14 @@ ACS_EMPLOYER = {
     "6": "self-employed", "7": "self-employed", "8": "self-employed",
 }
 ACS_REGIONS = [
-    ("New England", "009 023 025 033 044 050"), ("Mideast", "010 011 024 034 036 042"),
-    ("Great Lakes", "017 018 026 039 055"), ("Plains", "019 020 027 029 031 038 046"),
-    ("Southeast", "001 005 012 013 021 022 028 037 045 047 051 054"), ("Southwest", "004 035 040 048"),
-    ("Rocky Mountain", "008 016 040 048 030 049 056"), ("Far West", "002 006 015 032 041 053"),
+    ("New England", ["009", "023", "025", "033", "044", "050"]),
+    ("Mideast", ["010", "011", "024", "034", "036", "042"]),
+    ("Great Lakes", ["017", "018", "026", "039", "055"]),
+    ("Plains", ["019", "020", "027", "029", "031", "038", "046"]),
+    ("Southeast", ["001", "005", "012", "013", "021", "022", "028", "037", "045", "047", "051", "054"]),
+    ("Southwest", ["004", "035", "040", "048"]),
+    ("Rocky Mountain", ["008", "016", "040", "048", "030", "049", "056"]),
+    ("Far West", ["002", "006", "015", "032", "041", "053"]),
 ]
 SALARY_BREAKS = [12000, 25000, 50000, 75000, 100000, 150000, 200000]
 
@@ -54,7 +78,7 @@ SALARY_BREAKS = [12000, 25000, 50000, 75000, 100000, 150000, 200000]
 def acs(raw: DataFrame, occupations: DataFrame, industries: DataFrame) -> DataFrame:
     """``raw`` holds the survey codes as text; the code lists are (row, code, name, group)."""
     place = sentinel_to_null("POWSP", "N")
-    rules = [(place.isin(*codes.split()), region) for region, codes in ACS_REGIONS]
+    rules = [(place.isin(*codes), region) for region, codes in ACS_REGIONS]
     rules.append((place.try_cast("double") > 56, "Abroad"))
     level = F.nullif(F.col("SCHL").try_cast("int"), F.lit(0))
     salary = sentinel_to_null(coerce_numeric("WAGP"), -1)
@@ -125,25 +149,31 @@ def brfss(raw: DataFrame) -> DataFrame:
     )
 
 
-# GSS code lists; income bands by their last code.
+# GSS code lists.
 GSS_DEGREE = {0: "no high school", 1: "high school", 2: "junior college", 3: "bachelor", 4: "graduate"}
-GSS_INCOME_UPTO = [
-    (8, "<$10k"), (15, "$10k-$30k"), (18, "$30k-$50k"), (20, "$50k-$75k"), (21, "$75k-$90k"), (23, "$90k-$130k"),
-    (25, "$130k-$170k"), (26, "$170k+"),
-]
+GSS_INCOME = {
+    1: "<$10k", 2: "<$10k", 3: "<$10k", 4: "<$10k", 5: "<$10k", 6: "<$10k", 7: "<$10k", 8: "<$10k",
+    9: "$10k-$30k", 10: "$10k-$30k", 11: "$10k-$30k", 12: "$10k-$30k", 13: "$10k-$30k", 14: "$10k-$30k", 15: "$10k-$30k",
+    16: "$30k-$50k", 17: "$30k-$50k", 18: "$30k-$50k",
+    19: "$50k-$75k", 20: "$50k-$75k",
+    21: "$75k-$90k",
+    22: "$90k-$130k", 23: "$90k-$130k",
+    24: "$130k-$170k", 25: "$130k-$170k",
+    26: "$170k+",
+}
+GSS_PARTY = {
+    0: "democrat", 1: "democrat", 2: "democrat", 3: "independent", 4: "republican", 5: "republican", 6: "republican",
+}
 
 
 def gss(raw: DataFrame) -> DataFrame:
-    income = {}
-    for last, band in GSS_INCOME_UPTO:
-        income.update({code: band for code in range(len(income) + 1, last + 1)})
     return raw.dropna(subset=["wtssnrps"]).select(
         F.col("wtssnrps").cast("double").alias("wgh"), recode_map("sex", {1: "male", 2: "female"}).alias("sex"),
         F.col("age").cast("double").alias("age"), recode_map("race", {1: "white", 2: "black", 3: "other"}).alias("race"),
         recode_map("degree", GSS_DEGREE).alias("degree"), F.col("educ").cast("double").alias("edu"),
-        recode_map("income16", income).alias("house_income"),
+        recode_map("income16", GSS_INCOME).alias("house_income"),
         cut("polviews", [1, 3, 4, 7], ["liberal", "moderate", "conservative"]).alias("view"),
-        recode_map("partyid", {**dict.fromkeys([0, 1, 2], "democrat"), 3: "independent", **dict.fromkeys([4, 5, 6], "republican")}).alias("party"),
+        recode_map("partyid", GSS_PARTY).alias("party"),
     )
 
 
@@ -154,11 +184,14 @@ MEPS_MARITAL = {
     8: "widowed", 9: "divorced", 10: "separated", -7: "refused", -1: "inapplicable",
 }
 MEPS_REGION = {-1: "inapplicable", 1: "northeast", 2: "midwest", 3: "south", 4: "west"}
-MEPS_INSURED = {**dict.fromkeys([1, 2, 4, 5, 6, 8], "yes"), **dict.fromkeys([3, 7], "no")}
+MEPS_INSURED = {1: "yes", 2: "yes", 3: "no", 4: "yes", 5: "yes", 6: "yes", 7: "no", 8: "yes"}
 MEPS_INSURE_TYPE = {1: "private", 2: "public", 3: "none", 4: "medicare", 5: "private", 6: "public", 7: "none", 8: "other"}
-FIVE_YEAR_TOPS = [-1, 17, 24, *range(29, 85, 5)]
-FIVE_YEAR_LABELS = ["<18", "18-24", *[f"{a}-{a + 4}" for a in range(25, 85, 5)]]
-VISIT_EDGES, VISIT_LABELS = [*range(11), INF], [*[str(i) for i in range(10)], "10+"]
+FIVE_YEAR_TOPS = [-1, 17, 24, 29, 34, 39, 44, 49, 54, 59, 64, 69, 74, 79, 84]
+FIVE_YEAR_LABELS = [
+    "<18", "18-24", "25-29", "30-34", "35-39", "40-44", "45-49", "50-54", "55-59", "60-64", "65-69", "70-74", "75-79", "80-84",
+]
+VISIT_EDGES = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, INF]
+VISIT_LABELS = ["0", "1", "2", "3", "4", "5", "6", "7", "8", "9", "10+"]
 EXPENDITURE_BREAKS = [200, 1000, 1500, 5000, 10000, 30000]
 
 
@@ -188,10 +221,27 @@ NSDUH_AGE = [
 ]
 NSDUH_RACE = ["White", "Black", "Native American", "Pacific Islander", "Asian", "Multiple", "Hispanic"]
 NSDUH_EDUCATION = [
-    *["≤ 8th grade"] * 4, *["Some high school"] * 3, "High school graduate", "Some college, no degree",
-    "Associate degree", "Bachelor’s or higher",
+    "≤ 8th grade",
+    "≤ 8th grade",
+    "≤ 8th grade",
+    "≤ 8th grade",
+    "Some high school",
+    "Some high school",
+    "Some high school",
+    "High school graduate",
+    "Some college, no degree",
+    "Associate degree",
+    "Bachelor’s or higher",
+]
+NSDUH_INCOME = [
+    "< $10,000",
+    "$10,000 - $19,999",
+    "$20,000 - $29,999",
+    "$30,000 - $39,999",
+    "$40,000 - $49,999",
+    "$50,000 - $74,999",
+    "> $75,000",
 ]
-NSDUH_INCOME = ["< $10,000", *[f"${a},000 - ${b},999" for a, b in ((10, 19), (20, 29), (30, 39), (40, 49), (50, 74))], "> $75,000"]
 NSDUH_DRUGS = {"alc": "alc", "cig": "cig", "mj": "mj", "coc": "coc", "her": "her"}
 
 
@@ -238,17 +288,32 @@ def scf(raw: DataFrame) -> DataFrame:
 
 # NHANES concepts (name, table, column, recode); food rows are summed per person.
 NHANES_CONCEPTS = [
-    *[Concept(n, "DEMO_L", c, r) for n, c, r in (
-        ("mec_wgh", "WTMEC2YR", None), ("age", "RIDAGEYR", None), ("sex", "RIAGENDR", "nhanes_sex"), ("race", "RIDRETH3", "nhanes_race"))],
+    Concept("mec_wgh", "DEMO_L", "WTMEC2YR"),
+    Concept("age", "DEMO_L", "RIDAGEYR"),
+    Concept("sex", "DEMO_L", "RIAGENDR", "nhanes_sex"),
+    Concept("race", "DEMO_L", "RIDRETH3", "nhanes_race"),
     Concept("diet_wgh", "DR1IFF_L", "WTDRD1"),
-    *[Concept(n, "BMX_L", c) for n, c in (("height", "BMXHT"), ("weight", "BMXWT"), ("waist", "BMXWAIST"), ("bmi", "BMXBMI"))],
-    *[Concept(n, "BPXO_L", c) for n, c in (("diastolic_bp", "BPXODI1"), ("systolic_bp", "BPXOSY1"), ("pulse", "BPXOPLS1"))],
-    Concept("cholesterol", "TCHOL_L", "LBXTC"), Concept("hdl", "HDL_L", "LBDHDD"), Concept("hb_a1c", "GHB_L", "LBXGH"),
-    Concept("insulin", "INS_L", "LBXIN"), Concept("diabetes", "DIQ_L", "DIQ010", "nhanes_diab"),
-    Concept("alcohol_weekly", "ALQ_L", "ALQ121", "nhanes_alcohol"), Concept("smoking", "SMQ_L", "SMQ040", "nhanes_smoke"),
-    Concept("sleep_hours", "SLQ_L", "SLD012"), Concept("kidney_failure", "KIQ_U_L", "KIQ022", "nhanes_kidney"),
-    *[Concept(n, "DR1IFF_L", c, total=True) for n, c in (
-        ("kcal", "DR1IKCAL"), ("protein", "DR1IPROT"), ("carbs", "DR1ICARB"), ("sugar", "DR1ISUGR"), ("fat", "DR1ITFAT"))],
+    Concept("height", "BMX_L", "BMXHT"),
+    Concept("weight", "BMX_L", "BMXWT"),
+    Concept("waist", "BMX_L", "BMXWAIST"),
+    Concept("bmi", "BMX_L", "BMXBMI"),
+    Concept("diastolic_bp", "BPXO_L", "BPXODI1"),
+    Concept("systolic_bp", "BPXO_L", "BPXOSY1"),
+    Concept("pulse", "BPXO_L", "BPXOPLS1"),
+    Concept("cholesterol", "TCHOL_L", "LBXTC"),
+    Concept("hdl", "HDL_L", "LBDHDD"),
+    Concept("hb_a1c", "GHB_L", "LBXGH"),
+    Concept("insulin", "INS_L", "LBXIN"),
+    Concept("diabetes", "DIQ_L", "DIQ010", "nhanes_diab"),
+    Concept("alcohol_weekly", "ALQ_L", "ALQ121", "nhanes_alcohol"),
+    Concept("smoking", "SMQ_L", "SMQ040", "nhanes_smoke"),
+    Concept("sleep_hours", "SLQ_L", "SLD012"),
+    Concept("kidney_failure", "KIQ_U_L", "KIQ022", "nhanes_kidney"),
+    Concept("kcal", "DR1IFF_L", "DR1IKCAL", total=True),
+    Concept("protein", "DR1IFF_L", "DR1IPROT", total=True),
+    Concept("carbs", "DR1IFF_L", "DR1ICARB", total=True),
+    Concept("sugar", "DR1IFF_L", "DR1ISUGR", total=True),
+    Concept("fat", "DR1IFF_L", "DR1ITFAT", total=True),
 ]
 NHANES_BMI = ([-INF, 18.5, 25, 30, 35, 40, INF], ["underweight", "normal", "overweight", "class I obese", "class II obese", "class III obese"])
 NHANES_AGE = ([-INF, 30, 40, 50, 60, 70, INF], ["18-30 years", "30-40 years", "40-50 years", "50-60 years", "60-70 years", "70+ years"])
@@ -302,7 +367,69 @@ def fbi_arrests(by_sex: DataFrame, by_race: DataFrame) -> DataFrame:
     return named.select(renamed.alias("crime_type"), "sex", "race", "weight")
 
 
-def labor(raw: DataFrame, headings: Sequence[str], renames: Mapping[str, str | None]) -> DataFrame:
+# Headings of the occupation table, and occupations to rename or (None) to drop.
+LABOR_HEADINGS = [
+    "Total, 16 years and over",
+    "Management,  professional, and related occupations",
+    "Management, business, and financial operations occupations",
+    "Management occupations",
+    "Business and financial operations occupations",
+    "Professional and related occupations",
+    "Computer and mathematical occupations",
+    "Architecture and engineering occupations",
+    "Life, physical, and social science occupations",
+    "Community and social service occupations",
+    "Legal occupations",
+    "Education, training, and library occupations",
+    "Arts, design, entertainment, sports, and media occupations",
+    "Healthcare practitioners and technical occupations",
+    "Health diagnosing and treating practitioners and other technical occupations",
+    "Health technologists and technicians",
+    "Service occupations",
+    "Protective service occupations",
+    "Food preparation and serving related occupations",
+    "Building and grounds cleaning and maintenance occupations",
+    "Personal care and service occupations",
+    "Sales and related occupations",
+    "Office and administrative support occupations",
+    "Farming, fishing, and forestry occupations",
+    "Construction and extraction occupations",
+    "Installation, maintenance, and repair occupations",
+    "Production occupations",
+    "Transportation and material moving occupations",
+    "Military specific occupations",
+    "Unemployed, last worked 5 years ago or earlier",
+    "Unemployed, never worked",
+    "Not in labor force",
+]
+LABOR_RENAMES = {
+    "other drafters": None,
+    "other designers": None,
+    "other psychologists": None,
+    "other healthcare practitioners and technical occupations": None,
+    "other teachers and instructors": None,
+    "other woodworkers": None,
+    "other textile, apparel, and furnishings workers": None,
+    "directors, religious activities and education": "religious program director",
+    "agents and business managers of artists, performers, and athletes": "business manager for artists and athletes",
+    "disc jockeys, except radio": "event disc jockey",
+    "sailors and marine oilers": "maritime crew member",
+    "credit examiners and collectors, and revenue agents": "credit examiner or collector",
+    "speechlanguage pathologists": "speech-language pathologist",
+    "helpersinstallation, maintenance, and repair workers": "installation, maintenance and repair helper",
+    "doortodoor sales workers, news and street vendors, and related workers": "door-to-door sales worker or street vendor",
+    "other community and social service specialists": None,
+    "other educational instruction and library workers": None,
+    "other protective service workers": None,
+    "bus drivers, transit and intercity": "transit and intercity bus driver",
+    "other entertainment attendants and related workers": None,
+    "other production workers": None,
+    "other material moving workers": None,
+    "packer and packagers, hand": "hand packager",
+}
+
+
+def labor(raw: DataFrame, headings: Sequence[str] = LABOR_HEADINGS, renames: Mapping[str, str | None] = LABOR_RENAMES) -> DataFrame:
     """``raw`` is (occupation, total, female, white, black, asian), shares in %, dashes for none.
 
     ``headings`` are the group rows to leave out, ``renames`` the occupations to rename or drop.
