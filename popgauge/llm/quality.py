@@ -139,7 +139,7 @@ def fit(stats: DataFrame, labels: DataFrame, most_rows: int = 200_000, waves: in
     if cut > 1:  # the documented bound: the least hashes, as a share of the hash range, then exactly
         marked = marked.where(order < F.lit(int(-(2 ** 63) + 2 ** 64 / cut))).orderBy(order).limit(most_rows)
     known = stats.where("doc_id IS NOT NULL").join(marked, "doc_id")
-    rows = cut_lineage(known.select("x", "y", "part").repartition(16, F.xxhash64("x")))
+    rows = cut_lineage(known.repartition(16, F.xxhash64("doc_id")).select("x", "y", "part"))
     moments = rows.agg(*[f(F.col("x")[i]).alias(f"{n}{i}") for i in range(SIZE) for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))]).first()
     mean = np.array([moments[f"m{i}"] or 0.0 for i in range(SIZE)])
     scale = np.array([max(moments[f"s{i}"] or 0.0, 1e-3) for i in range(SIZE)])
