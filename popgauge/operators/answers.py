@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from popgauge.functions.hashing import uniform
+from popgauge.functions.hashing import key_sum, stream_uniform
 from popgauge.functions.text import parse_letter, parse_prob_bin, probability_bins
 from popgauge.operators.metrics import argmax_first
 
@@ -103,8 +103,9 @@ def prompt_permutations(prompts: DataFrame, levels: str, *ids: str, limit: int =
     most = max(i for i in range(1, 27) if math.factorial(i) <= limit)
     every = k <= most
     count = F.when(every, F.factorial(k).cast("int")).otherwise(F.lit(limit))
-    numbered = prompts.withColumn("permutation", F.explode(F.sequence(F.lit(0), count - 1)))
-    pairs = F.transform(levels, lambda x, i: F.struct(uniform(*ids, "permutation", i, stream=seed).alias("u"), x.alias("x")))
+    numbered = prompts.withColumn("permutation", F.explode(F.sequence(F.lit(0), count - 1))).withColumn(
+        "_keys", key_sum(*ids, "permutation"))
+    pairs = F.transform(levels, lambda x, i: F.struct(stream_uniform(F.col("_keys"), i + seed).alias("u"), x.alias("x")))
     shuffled = F.transform(F.array_sort(pairs), lambda e: e["x"])
 
     def take(state: Column, place: Column) -> Column:
@@ -123,7 +124,7 @@ def prompt_permutations(prompts: DataFrame, levels: str, *ids: str, limit: int =
         F.slice(levels, 1, 0).alias("shown"),
     )
     ordered = F.aggregate(F.sequence(F.lit(1), k), start, take, lambda s: s["shown"])
-    return numbered.withColumn("shown", F.when(every, ordered).otherwise(shuffled))
+    return numbered.withColumn("shown", F.when(every, ordered).otherwise(shuffled)).drop("_keys")
 
 
 Scorer = Callable[[pd.DataFrame], pd.Series]

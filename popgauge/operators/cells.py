@@ -106,28 +106,32 @@ def oof_cell_probability(df: DataFrame, tasks: Sequence[HighDimTask], ids: Seque
     )
 
 
-def bootstrap_cells(df: DataFrame, tasks: Sequence[HighDimTask], ids: Sequence[str], *,
-                    replicates: int = 10, seed: int = 0) -> DataFrame:
-    """Poisson bootstrap of every cell: (task_id, cell, w, p, b, p_b).
+def replicate_weights(df: DataFrame, tasks: Sequence[HighDimTask], ids: Sequence[str], *, replicates: int = 10,
+                      seed: int = 0) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with their Poisson(1) counts, and the weights ``w_c0``, ``w_c1``, .. of the replicates for ``cell_sums``.
 
-    Each respondent counts Poisson(1) times in each replicate, drawn from its own keys, so resampling
-    is a weight inside the one aggregation that builds the cells. A cell that a replicate misses gets
-    the replicate's overall share.
-    """
+    Each respondent counts Poisson(1) times in each replicate, drawn from its own keys, so resampling is a weight
+    inside the one aggregation that builds the cells."""
+    weights = {t.weight for t in tasks}
+    if len(weights) > 1:
+        raise ValueError(f"tasks of one bootstrap share one weight, got {sorted(map(str, weights))}")
     names = [f"_c{b}" for b in range(replicates)]
     keyed = df.withColumn("_keys", key_sum(*ids))
     drawn = keyed.withColumns({c: stream_uniform(F.col("_keys"), seed + b) for b, c in enumerate(names)})
     counted = drawn.withColumns({c: poisson_one(F.col(c)) for c in names})
-    weights = {t.weight for t in tasks}
-    if len(weights) > 1:
-        raise ValueError(f"tasks of one bootstrap share one weight, got {sorted(map(str, weights))}")
     base = tasks[0].weight_value()
-    cells = cell_sums(counted, tasks, extra={f"w{c}": base * F.col(c) for c in names})
+    return counted, {f"w{c}": base * F.col(c) for c in names}
+
+
+def replicated(cells: DataFrame, replicates: int = 10) -> DataFrame:
+    """(task_id, cell, w, p, b, p_b) from cell sums with the weights of ``replicate_weights``, summed over whatever
+    else splits the cells. A cell that a replicate misses gets the replicate's overall share."""
+    names = [f"w_c{b}" for b in range(replicates)]
+    sums = cells.groupBy("task_id", "cell").agg(*[F.sum(c).alias(c) for n in ("w", *names) for c in (n, f"{n}y")])
     pairs = F.array(*[
-        F.struct(F.lit(b).alias("b"), F.col(f"w{c}").alias("wb"), F.col(f"w{c}y").alias("wyb"))
-        for b, c in enumerate(names)
+        F.struct(F.lit(b).alias("b"), F.col(n).alias("wb"), F.col(f"{n}y").alias("wyb")) for b, n in enumerate(names)
     ])
-    long = cells.select("task_id", "cell", "w", F.try_divide("wy", "w").alias("p"), F.inline(pairs))
+    long = sums.select("task_id", "cell", "w", F.try_divide("wy", "w").alias("p"), F.inline(pairs))
     overall = long.groupBy("task_id", "b").agg(F.try_divide(F.sum("wyb"), F.sum("wb")).alias("share"))
     # One row per task and replicate: its size is fixed by the specs.
     joined = attach(long, overall, ["task_id", "b"], bounded=True)
@@ -135,6 +139,13 @@ def bootstrap_cells(df: DataFrame, tasks: Sequence[HighDimTask], ids: Sequence[s
     return joined.select("task_id", "cell", "w", "p", "b", guess.alias("p_b"))
 
 
+def bootstrap_cells(df: DataFrame, tasks: Sequence[HighDimTask], ids: Sequence[str], *,
+                    replicates: int = 10, seed: int = 0) -> DataFrame:
+    """Poisson bootstrap of every cell: (task_id, cell, w, p, b, p_b), all replicates in one scan."""
+    counted, extra = replicate_weights(df, tasks, ids, replicates=replicates, seed=seed)
+    return replicated(cell_sums(counted, tasks, extra=extra), replicates)
+
+
 def high_dim_floor(boot: DataFrame, share: float = 0.975) -> DataFrame:
     """Noise floor of each task: high quantile of the weighted L1 between replicate and estimate."""
     per_replicate = boot.groupBy("task_id", "b").agg(

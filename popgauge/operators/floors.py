@@ -2,45 +2,42 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from popgauge.functions.hashing import key_sum, normal, stream_uniform, text_number
 from popgauge.operators.metrics import quantile, weighted_mean
-from popgauge.operators.tabulate import ground_truth
+from popgauge.operators.tabulate import normalise, scoped
 from popgauge.spec import AGGREGATE_DATASETS
 
 
-def _resampled_gaps(replicates: int, seed: int):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def gaps(task: pd.Series, cond: pd.Series, n: pd.Series, weights: pd.Series) -> pd.Series:
-        out = []
-        for t, c, size, w in zip(task, cond, n, weights):
-            p = np.asarray(w, dtype=float)
-            p = p / p.sum()
-            rng = np.random.default_rng([seed, int(t), zlib.crc32(str(c).encode())])
-            drawn = rng.multinomial(int(size), p, size=replicates) / float(size)
-            out.append(np.abs(drawn - p).sum(axis=1))
-        return pd.Series(out)
-
-    return gaps
-
-
 def bootstrap_errors(truth: DataFrame, *, replicates: int = 100, seed: int = 0) -> DataFrame:
     """L1 between resampled and true distribution, per (task, condition, replicate).
 
-    Resampling n respondents and counting their levels is one multinomial draw, so a replicate costs
-    as much as there are levels. Seeded by task and condition: recomputed tasks give the same draws.
+    Resampling n respondents and counting their levels is a multinomial draw; its shares stray from p by
+    ``sqrt(p_k / n) (z_k - sqrt(p_k) sum_j sqrt(p_j) z_j)`` with independent normal z, the multinomial's covariance
+    exactly and its shape for all but a handful of respondents. A replicate so costs as much as there are levels, in
+    built-in expressions, and a draw depends on task, condition, level and replicate alone.
     """
-    records = ground_truth(truth).where((F.col("n_data") > 0) & (F.col("total_weight") > 0))
-    gaps = _resampled_gaps(replicates, seed)("task_id", "condition", "n_data", "true_weights")
-    return records.select(
-        "task_id", F.col("condition").alias("cond"), "total_weight", F.posexplode(gaps).alias("b", "l1")
+    shares = normalise(scoped(truth), ["task_id", "cond"])
+    whole = Window.partitionBy("task_id", "cond")  # the levels of one question
+    cells = shares.select(
+        "task_id", "cond", "p", F.sum("n").over(whole).alias("n"), F.sum("w").over(whole).alias("total_weight"),
+        key_sum("task_id", text_number("cond"), text_number("level")).alias("_keys"),
+    ).where((F.col("n") > 0) & (F.col("total_weight") > 0))
+    drawn = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select(
+        "task_id", "cond", "b", "n", "total_weight", "p",
+        normal(stream_uniform(F.col("_keys"), F.col("b") * 2 + seed), stream_uniform(F.col("_keys"), F.col("b") * 2 + seed + 1)).alias("z"),
+    )
+    held = drawn.groupBy("task_id", "cond", "b").agg(
+        F.collect_list(F.struct("p", "z")).alias("_levels"), F.sum(F.sqrt("p") * F.col("z")).alias("_common"),
+        F.first("n").alias("n"), F.first("total_weight").alias("total_weight"),
+    )
+    gaps = F.transform("_levels", lambda e: F.sqrt(e["p"] / F.col("n")) * F.abs(e["z"] - F.sqrt(e["p"]) * F.col("_common")))
+    return held.select(
+        "task_id", "cond", "total_weight", "b", F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x).alias("l1"),
     )
 
 
@@ -66,4 +63,4 @@ def floor_from_errors(errors: DataFrame, share: float = 0.975) -> DataFrame:
 
 def missing_floors(tasks: DataFrame, store: DataFrame, identity: Sequence[str] = ("task_id",)) -> DataFrame:
     """Tasks whose floor is not in the store yet."""
-    return tasks.join(store.select(*identity).distinct(), list(identity), "left_anti")
+    return tasks.join(store.select(*identity), list(identity), "left_anti")

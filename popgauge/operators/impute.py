@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from popgauge.functions.hashing import uniform
+from popgauge.functions.hashing import key_sum, stream_uniform
 from popgauge.operators.joins import attach
 from popgauge.operators.sampling import level_lines, pick_level
 from popgauge.session import cut_lineage
@@ -62,11 +62,11 @@ def impute_chained(df: DataFrame, predictors: Mapping[str, Sequence[str]], ids:
     """
     targets = list(predictors)
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
-    work = df.withColumns({f"_gap_{c}": F.col(c).isNull() for c in targets})
+    work = df.withColumns({f"_gap_{c}": F.col(c).isNull() for c in targets}).withColumn("_keys", key_sum(*ids))
     for r in range(rounds + 1):
         for position, target in enumerate(targets):
             by = list(predictors[target]) if r else []
-            u = uniform(*ids, stream=seed + r * len(targets) + position)
+            u = stream_uniform(F.col("_keys"), seed + r * len(targets) + position)
             seen = ~F.col(f"_gap_{target}")
             draw = _numeric_draw if target in numeric else _categorical_draw
             cells = work.withColumn("_whole", F.lit(1)) if not by else work

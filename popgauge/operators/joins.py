@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from popgauge.functions.hashing import hash31
+from popgauge.functions.hashing import hash62
 
 # A lookup up to this many rows is broadcast; beyond it the join is salted instead.
 BROADCAST_ROWS = 200_000
@@ -85,7 +85,7 @@ def audit(annotated: DataFrame, truth: DataFrame, key: str, variables: Sequence[
 
 def already_done(todo: DataFrame, done: DataFrame, identity: Sequence[str]) -> DataFrame:
     """Work items whose full identity is not among the finished ones."""
-    return todo.join(done.select(*identity).distinct(), list(identity), "left_anti")
+    return todo.join(done.select(*identity), list(identity), "left_anti")
 
 
 def range_buckets(df: DataFrame, value: str, buckets: int) -> Column:
@@ -132,4 +132,4 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence
 
 def fold_of(*keys: Column | str, folds: int = 5, seed: int = 42) -> Column:
     """Fold number from the respondent's own keys: no shuffle, stratified in expectation."""
-    return (hash31(*keys, stream=seed) % F.lit(folds)).cast("int")
+    return (hash62(*keys, stream=seed) % F.lit(folds)).cast("int")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from popgauge.functions.hashing import hash31
+from popgauge.functions.hashing import hash62
 
 
 def union_results(parts: Mapping[str, DataFrame], label: str) -> DataFrame:
@@ -95,7 +95,7 @@ def task_grid(outcomes: DataFrame, conditions: DataFrame, *, smallest: int = 2,
         outcomes.select("v_out", F.lit(1).alias("_one")), F.lit(1) == F.col("_one")
     )
     if cap is not None:
-        turn = Window.partitionBy("v_out", "dim").orderBy(hash31("code", stream=seed), "code")
+        turn = Window.partitionBy("v_out", "dim").orderBy(hash62("code", stream=seed), "code")
         grid = grid.withColumn("_rn", F.row_number().over(turn)).where(F.col("_rn") <= cap)
     return grid.select("v_out", "v_cond", "dim")
 

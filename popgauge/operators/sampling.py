@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from popgauge.functions.hashing import hash31, uniform
+from popgauge.functions.hashing import hash62, key_sum, stream_uniform, uniform
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` uses it, also per array element."""
+    return F.transform(F.array(value), then)[0]
 
 
 def weighted_sample(df: DataFrame, n: int, weight: str, ids: Sequence[str], *, seed: int = 0) -> DataFrame:
@@ -26,7 +31,7 @@ def weighted_sample_replace(df: DataFrame, n: int, weight: str, ids: Sequence[st
     buckets that were hit - a share of about n / side^2 - are moved and sorted, and a draw meets its
     row in one pass over the bucket, not by comparing pairs.
     """
-    slot = (hash31(*ids, stream=seed + 1) % F.lit(side * side)).cast("int")
+    slot = (hash62(*ids, stream=seed + 1) % F.lit(side * side)).cast("int")
     weighted = df.where(F.col(weight) > 0).withColumn("_fine", slot)
     totals = weighted.groupBy("_fine").agg(F.sum(weight).alias("_w")).withColumn(
         "_coarse", F.floor(F.col("_fine") / side).cast("int")
@@ -45,12 +50,13 @@ def weighted_sample_replace(df: DataFrame, n: int, weight: str, ids: Sequence[st
     )
 
     def hit(starts: str, at: str) -> Column:
-        return F.element_at(starts, F.size(F.filter(starts, lambda s: s["_lo"] <= F.col(at))))
+        return once(F.col(at), lambda x: F.element_at(starts, F.size(F.filter(starts, lambda s: s["_lo"] <= x))))
 
     draws = (
         df.sparkSession.range(n).select(F.col("id").alias("draw"), F.lit(1).alias("_one"))
+        .withColumn("_keys", key_sum("draw"))
         .join(F.broadcast(line), "_one")
-        .withColumn("_at", uniform("draw", stream=seed + 2) * F.col("_all"))
+        .withColumn("_at", stream_uniform(F.col("_keys"), seed + 2) * F.col("_all"))
         .withColumn("_hit", hit("_line", "_at"))
         .select("draw", F.col("_hit._coarse").alias("_coarse"), (F.col("_at") - F.col("_hit._lo")).alias("_at"))
         .join(fine.select("_coarse", "_starts"), "_coarse")
@@ -93,8 +99,8 @@ def level_lines(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def pick_level(u: Column) -> Column:
     """Level whose cumulative share interval [lo, hi) holds ``u``; needs the ``level_lines`` columns."""
-    below = F.size(F.filter("_upto", lambda c: c <= u * F.col("_total")))
-    return F.try_element_at(F.col("_levels"), F.least(below + 1, F.size("_levels")))
+    return once(u * F.col("_total"), lambda at: F.try_element_at(
+        F.col("_levels"), F.least(F.size(F.filter("_upto", lambda c: c <= at)) + 1, F.size("_levels"))))
 
 
 def inverse_cdf_draws(cells: DataFrame, keys: Sequence[str], draws: int, *key_hashes: Column | str,
@@ -102,5 +108,5 @@ def inverse_cdf_draws(cells: DataFrame, keys: Sequence[str], draws: int, *key_ha
     """``draws`` weighted draws of a level in each group: (keys.., draw, level)."""
     lines = level_lines(cells, keys)
     numbered = lines.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = uniform(*key_hashes, "draw", stream=seed)
-    return numbered.select(*keys, "draw", pick_level(u).alias("level"))
+    keyed = numbered.withColumn("_keys", key_sum(*key_hashes, "draw"))
+    return keyed.select(*keys, "draw", pick_level(stream_uniform(F.col("_keys"), seed)).alias("level"))

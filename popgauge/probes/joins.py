@@ -11,7 +11,7 @@ from popgauge.operators.cells import join_cells_back
 from popgauge.operators.sampling import inverse_cdf_draws
 from popgauge.plans.reports import min_loss_epoch, variant_columns
 from popgauge.probes import survey as S
-from popgauge.probes.registry import probe, r6, table, uniform_sql
+from popgauge.probes.registry import probe, r6, table, text_sql, uniform_sql
 
 
 @probe("join_inner", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, p_type FROM lineitem JOIN part ON l_partkey = p_partkey""")
@@ -102,11 +102,11 @@ def align_levels(spark, folder):
 t AS (SELECT ptype, psize, qty_band AS level, sum(weight) AS w FROM survey GROUP BY ALL),
 c AS (SELECT ptype, psize, level, sum(w) OVER g AS hi, sum(w) OVER g - w AS lo, sum(w) OVER (PARTITION BY ptype, psize) AS total FROM t
   WINDOW g AS (PARTITION BY ptype, psize ORDER BY level)),
-d AS (SELECT DISTINCT ptype, psize, i AS draw, {uniform_sql("psize", "i", stream=9)} AS u FROM t, generate_series(0, 99) s(i))
+d AS (SELECT DISTINCT ptype, psize, i AS draw, {uniform_sql(text_sql("ptype"), "psize", "i", stream=9)} AS u FROM t, generate_series(0, 99) s(i))
 SELECT ptype, psize, CAST(draw AS INTEGER) AS draw, level FROM d JOIN c USING (ptype, psize) WHERE u * total >= lo AND u * total < hi""")
 def inverse_cdf(spark, folder):
     cells = T.weighted_tabulate(S.survey(spark, folder, "ptype", "psize", "qty_band"), ["ptype", "psize"], "qty_band")
-    return inverse_cdf_draws(cells.withColumnRenamed("qty_band", "level"), ["ptype", "psize"], 100, "psize", seed=9)
+    return inverse_cdf_draws(cells.withColumnRenamed("qty_band", "level"), ["ptype", "psize"], 100, "ptype", "psize", seed=9)
 
 
 @probe("anti_already_done", f"""SELECT o_orderkey, o_custkey FROM orders

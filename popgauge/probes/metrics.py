@@ -83,9 +83,10 @@ def cond_weighted_mean(spark, folder):
     )
 
 
-@probe("bootstrap_floor")
+@probe("bootstrap_floor", f"WITH {S.TRUTH}{S.FLOORS} SELECT task_id, round(best, 9) AS best_err FROM floors")
 def bootstrap_floor_query(spark, folder):
-    return bootstrap_floor(S.truth_cells(spark, folder), task_frame(spark, S.LOW))
+    floors = bootstrap_floor(S.truth_cells(spark, folder), task_frame(spark, S.LOW))
+    return floors.withColumn("best_err", F.round("best_err", 9))
 
 
 @probe("bench_score", f"""WITH {S.SURVEY},
@@ -107,7 +108,7 @@ SELECT model, prompting, task_id, round(score, 6) AS score, round(worst, 6) AS w
   round({S.bench_sql("score", "worst", "best")}, 6) AS bench FROM runs JOIN floors USING (task_id)""")
 def eval_low(spark, folder):
     cells = S.low_cells(spark, folder)
-    runs = eval_low_dim(S.truth_of(cells), S.answers_of(cells), S.floors_of(cells))
+    runs = eval_low_dim(S.truth_of(cells), S.answers_of(cells), S.floors_of(spark, cells))
     return runs.select(*RUN, "task_id", *[r6(c).alias(c) for c in ("score", "worst", "best", "bench")])
 
 
@@ -128,13 +129,13 @@ def worst_constant(spark, folder):
     return truth.groupBy("task_id").agg(r6(M.worst_constant(F.col("p"), F.col("w"))).alias("worst"))
 
 
-@probe("eval_high_dim", f"""WITH {S.SURVEY}, {S.CELLS}
-SELECT model, prompting, task_id, round(score, 6) AS score, round(worst, 6) AS worst,
-  round({S.bench_sql("score", "worst", "0::DOUBLE")}, 6) AS bench FROM hev""")
+@probe("eval_high_dim", f"""WITH {S.SURVEY}, {S.CELLS}, {S.HIGH_FLOORS}
+SELECT model, prompting, task_id, round(score, 6) AS score, round(worst, 6) AS worst, round(best, 6) AS best,
+  round({S.bench_sql("score", "worst", "best")}, 6) AS bench FROM hev JOIN hfloors USING (task_id)""")
 def eval_high(spark, folder):
     sums = S.high_cells(spark, folder)
-    runs = eval_high_dim(S.high_truth_of(sums), S.high_answers_of(sums))
-    return runs.select(*RUN, "task_id", *[r6(c).alias(c) for c in ("score", "worst", "bench")])
+    runs = eval_high_dim(S.high_truth_of(sums), S.high_answers_of(sums), S.high_floors_of(sums))
+    return runs.select(*RUN, "task_id", *[r6(c).alias(c) for c in ("score", "worst", "best", "bench")])
 
 
 @probe("baseline_mean", f"""WITH {S.SURVEY}, {S.CELLS},

@@ -63,31 +63,7 @@ def bootstrap_gbt(spark, folder):
     return B.bootstrap_boosted(df, S.HIGH[0], S.IDS, replicates=2, folds=2, rounds=3)
 
 
-POISSON_STEPS, _total, _term = [], 0.0, 2.718281828459045 ** -1
-for _k in range(1, 12):
-    _total += _term
-    _term /= _k
-    POISSON_STEPS.append(_total)
-
-
-def poisson_sql(u: str) -> str:
-    return "(" + " + ".join(f"CAST({u} > {step!r}::DOUBLE AS INTEGER)" for step in POISSON_STEPS) + ")"
-
-
-BOOT_TASKS = " UNION ALL ".join(
-    f"SELECT {t.task_id} AS task_id, concat_ws('|', {', '.join(t.conditions)}) AS cell, CASE WHEN {t.outcome} = 'yes' THEN 1.0::DOUBLE ELSE 0 END AS y, weight AS w, b, c FROM pc"
-    for t in S.HIGH
-)
-
-
-@probe("hd_noise_floor", f"""WITH {S.SURVEY},
-us AS (SELECT survey.*, b, {uniform_sql(*IDS_SQL, stream="b")} AS u FROM survey, generate_series(0, 9) g(b)),
-pc AS (SELECT *, {poisson_sql("u")} AS c FROM us),
-bt AS ({BOOT_TASKS}),
-cb AS (SELECT task_id, cell, b, sum(w) AS w, sum(w * y) / sum(w) AS p, sum(w * c) AS wb, sum(w * y * c) AS wyb FROM bt GROUP BY ALL),
-ov AS (SELECT task_id, b, sum(wyb) / sum(wb) AS share FROM cb GROUP BY ALL),
-l AS (SELECT task_id, b, sum(abs(coalesce(CASE WHEN wb > 0 THEN wyb / wb END, share) - p) * w) / sum(w) AS l1 FROM cb JOIN ov USING (task_id, b) GROUP BY ALL)
-SELECT task_id, round(quantile_cont(l1, 0.975), 6) AS best_err FROM l GROUP BY 1""")
+@probe("hd_noise_floor", f"WITH {S.SURVEY}, {S.HIGH_FLOORS} SELECT task_id, round(best, 6) AS best_err FROM hfloors")
 def hd_noise_floor(spark, folder):
     boot = C.bootstrap_cells(S.survey(spark, folder, *S.CELL_COLUMNS), S.HIGH, S.IDS)
     return C.high_dim_floor(boot).withColumn("best_err", r6("best_err"))

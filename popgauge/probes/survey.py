@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from popgauge.functions.labels import cut, interval_scheme
 from popgauge.functions.recode import recode_map
-from popgauge.operators.cells import cell_sums, share_positive
-from popgauge.operators.floors import floor_from_errors
-from popgauge.operators.tabulate import merge_cells, normalise, scoped, task_cells
+from popgauge.operators.cells import (
+    cell_sums, high_dim_floor, replicate_weights, replicated, share_positive,
+)
+from popgauge.operators.floors import bootstrap_floor
+from popgauge.operators.tabulate import merge_cells, task_cells
 from popgauge.plans.scoring import eval_high_dim, eval_low_dim, score_table
-from popgauge.probes.registry import table
+from popgauge.probes.registry import poisson_sql, table, text_sql, uniform_sql
 from popgauge.session import cut_lineage
-from popgauge.spec import HighDimTask, LowDimTask, Subset, task_frame
+from popgauge.spec import AGGREGATE_DATASETS, HighDimTask, LowDimTask, Subset, task_frame
 
 IDS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
@@ -132,12 +134,12 @@ def regions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def low_cells(spark: SparkSession, folder: str, tasks: list[LowDimTask] = LOW) -> DataFrame:
-    """Cells of all low-dimensional tasks by run and line number, from one scan, cut off from it.
+    """Cells of all low-dimensional tasks by run, from one scan, cut off from it.
 
     ``w`` weighs the truth, ``mw`` the answers. Truth, answers and floors all merge these cells.
     """
     rows = survey(spark, folder, *TASK_COLUMNS, *RUN_COLUMNS)
-    return cut_lineage(task_cells(rows, tasks, [*RUN_COLUMNS, "l_linenumber"], extra={"mw": F.col("spend")}))
+    return cut_lineage(task_cells(rows, tasks, RUN_COLUMNS, extra={"mw": F.col("spend")}))
 
 
 def truth_of(cells: DataFrame) -> DataFrame:
@@ -148,17 +150,8 @@ def answers_of(cells: DataFrame) -> DataFrame:
     return merge_cells(cells.where(F.col("cond").isNotNull()), *RUN_COLUMNS, weight="mw")
 
 
-def floors_of(cells: DataFrame) -> DataFrame:
-    """Floors from the line numbers as natural replicates: how far each strays from the whole."""
-    replicas = normalise(scoped(merge_cells(cells, "l_linenumber")), ["l_linenumber", "task_id", "cond"], name="q")
-    whole = normalise(scoped(truth_of(cells)), ["task_id", "cond"])
-    total = whole.groupBy("task_id", "cond").agg(F.sum("w").alias("total_weight"))
-    pairs = replicas.join(whole.select("task_id", "cond", "level", "p"), ["task_id", "cond", "level"])
-    # Levels a replicate lacks add their whole share: what the met shares leave of 1.
-    errors = pairs.groupBy(F.col("l_linenumber").alias("b"), "task_id", "cond").agg(
-        (F.sum(F.abs(F.col("p") - F.col("q"))) + F.lit(1.0) - F.sum("p")).alias("l1")
-    )
-    return floor_from_errors(errors.join(total, ["task_id", "cond"]))
+def floors_of(spark: SparkSession, cells: DataFrame) -> DataFrame:
+    return bootstrap_floor(truth_of(cells), task_frame(spark, LOW))
 
 
 def truth_cells(spark: SparkSession, folder: str, tasks: list[LowDimTask] = LOW) -> DataFrame:
@@ -167,8 +160,9 @@ def truth_cells(spark: SparkSession, folder: str, tasks: list[LowDimTask] = LOW)
 
 
 def high_cells(spark: SparkSession, folder: str, tasks: list[HighDimTask] = HIGH) -> DataFrame:
-    rows = survey(spark, folder, *CELL_COLUMNS, *RUN_COLUMNS)
-    return cut_lineage(cell_sums(rows, tasks, RUN_COLUMNS, extra={"mw": F.col("spend")}))
+    """Cells of all high-dimensional tasks by run with the weights of the bootstrap replicates, from one scan."""
+    rows, replicates = replicate_weights(survey(spark, folder, *CELL_COLUMNS, *RUN_COLUMNS), tasks, IDS)
+    return cut_lineage(cell_sums(rows, tasks, RUN_COLUMNS, extra={"mw": F.col("spend"), **replicates}))
 
 
 def high_truth_of(cells: DataFrame) -> DataFrame:
@@ -179,11 +173,15 @@ def high_answers_of(cells: DataFrame) -> DataFrame:
     return share_positive(cells, *RUN_COLUMNS, weight="mw", name="q").drop("w", "n")
 
 
+def high_floors_of(cells: DataFrame) -> DataFrame:
+    return high_dim_floor(replicated(cells))
+
+
 def scores(spark: SparkSession, folder: str) -> DataFrame:
     """The probe's score table: all models, promptings and tasks, from two scans."""
     cells, sums = low_cells(spark, folder), high_cells(spark, folder)
-    low = eval_low_dim(truth_of(cells), answers_of(cells), floors_of(cells))
-    high = eval_high_dim(high_truth_of(sums), high_answers_of(sums))
+    low = eval_low_dim(truth_of(cells), answers_of(cells), floors_of(spark, cells))
+    high = eval_high_dim(high_truth_of(sums), high_answers_of(sums), high_floors_of(sums))
     return score_table(task_frame(spark, [*LOW, *HIGH]), low, high)
 
 
@@ -236,7 +234,7 @@ def long_sql(tasks: list[LowDimTask] = LOW) -> str:
         selects.append(
             f"SELECT {t.task_id} AS task_id, CASE WHEN {_scope_sql(t)} THEN {cond} END AS cond, "
             f"{t.outcome} AS level, CASE WHEN {_scope_sql(t)} THEN {t.weight or '1.0::DOUBLE'} END AS w, "
-            f"spend AS mw, model, prompting, l_linenumber FROM survey"
+            f"spend AS mw, model, prompting FROM survey"
         )
     return f"{SURVEY},\nlong AS ({' UNION ALL '.join(selects)})"
 
@@ -261,14 +259,15 @@ errs AS (SELECT model, prompting, task_id, cond, sum(abs(coalesce(p, 0) - coales
 runs AS (SELECT model, prompting, task_id, sum(l1 * tw) / sum(tw) AS score, sum(uni * tw) / sum(tw) AS worst
   FROM errs JOIN conds USING (task_id, cond) GROUP BY ALL)"""
 
-FLOORS = """,
-rep AS (SELECT l_linenumber AS b, task_id, cond, level, sum(w) AS w FROM long WHERE cond IS NOT NULL GROUP BY ALL),
-repq AS (SELECT b, task_id, cond, level, w / sum(w) OVER (PARTITION BY b, task_id, cond) AS q FROM rep),
-reps AS (SELECT DISTINCT b, task_id, cond, lvls.level FROM rep JOIN lvls USING (task_id)),
-repl AS (SELECT b, task_id, cond, sum(abs(coalesce(p, 0) - coalesce(q, 0))) AS l1 FROM reps
-  LEFT JOIN reality USING (task_id, cond, level) LEFT JOIN repq USING (b, task_id, cond, level) GROUP BY ALL),
-repm AS (SELECT b, task_id, sum(l1 * tw) / sum(tw) AS l1 FROM repl JOIN conds USING (task_id, cond) GROUP BY ALL),
-floors AS (SELECT task_id, quantile_cont(l1, 0.975) AS best FROM repm GROUP BY 1)"""
+_Z1, _Z2 = (uniform_sql("task_id", text_sql("cond"), text_sql("level"), stream=f"2 * b + {i}") for i in (0, 1))
+_COUNTS = ", ".join(str(t.task_id) for t in LOW if t.dataset in AGGREGATE_DATASETS) or "-1"
+FLOORS = f""",
+bz AS (SELECT reality.task_id, reality.cond, b, p, conds.n, tw, sqrt(-2.0::DOUBLE * ln({_Z1.replace("cond", "reality.cond").replace("task_id", "reality.task_id")})) * cos(2.0::DOUBLE * pi() * {_Z2.replace("cond", "reality.cond").replace("task_id", "reality.task_id")}) AS z
+  FROM reality JOIN conds USING (task_id, cond), generate_series(0, 99) g(b)),
+bs AS (SELECT *, sum(sqrt(p) * z) OVER (PARTITION BY task_id, cond, b) AS common FROM bz),
+bl AS (SELECT task_id, cond, b, sum(sqrt(p / n) * abs(z - sqrt(p) * common)) AS l1, any_value(tw) AS tw FROM bs GROUP BY ALL),
+bm AS (SELECT task_id, b, sum(l1 * tw) / sum(tw) AS l1 FROM bl GROUP BY ALL),
+floors AS (SELECT task_id, CASE WHEN task_id IN ({_COUNTS}) THEN 0.0::DOUBLE ELSE quantile_cont(l1, 0.975) END AS best FROM bm GROUP BY 1)"""
 
 
 def bench_sql(score: str, worst: str, best: str) -> str:
@@ -297,15 +296,27 @@ hev AS (SELECT model, prompting, task_id,
     CASE WHEN count(q) = count(*) THEN sum(abs(p - q) * w) / sum(w) END AS score,
     least(sum(p * w), sum((1 - p) * w), sum(abs(p - 0.5) * w)) / sum(w) AS worst FROM hall GROUP BY ALL)"""
 
+BOOT_TASKS = " UNION ALL ".join(
+    f"SELECT {t.task_id} AS task_id, concat_ws('|', {', '.join(t.conditions)}) AS cell, CASE WHEN {t.outcome} = 'yes' THEN 1.0::DOUBLE ELSE 0 END AS y, weight AS w, b, c FROM pc"
+    for t in HIGH
+)
+HIGH_FLOORS = f"""us AS (SELECT survey.*, b, {uniform_sql(*IDS, stream="b")} AS u FROM survey, generate_series(0, 9) g(b)),
+pc AS (SELECT *, {poisson_sql("u")} AS c FROM us),
+bt AS ({BOOT_TASKS}),
+cb AS (SELECT task_id, cell, b, sum(w) AS w, sum(w * y) / sum(w) AS p, sum(w * c) AS wb, sum(w * y * c) AS wyb FROM bt GROUP BY ALL),
+ov AS (SELECT task_id, b, sum(wyb) / sum(wb) AS share FROM cb GROUP BY ALL),
+hl AS (SELECT task_id, b, sum(abs(coalesce(CASE WHEN wb > 0 THEN wyb / wb END, share) - p) * w) / sum(w) AS l1 FROM cb JOIN ov USING (task_id, b) GROUP BY ALL),
+hfloors AS (SELECT task_id, quantile_cont(l1, 0.975) AS best FROM hl GROUP BY 1)"""
+
 _FACTS = ", ".join(
     [f"({t.task_id}, '{t.name}', '{t.dataset}', 1)" for t in LOW]
     + [f"({t.task_id}, '{t.task_id}', '{t.dataset}', {t.dim})" for t in HIGH]
 )
 
-SCORES = ANSWERS + FLOORS + ",\n" + CELLS + f""",
+SCORES = ANSWERS + FLOORS + ",\n" + CELLS + ",\n" + HIGH_FLOORS + f""",
 facts(task_id, task_name, dataset, dim) AS (VALUES {_FACTS}),
 bench AS (SELECT model, prompting, task_id, {bench_sql("score", "worst", "best")} AS score
     FROM runs JOIN floors USING (task_id)
-  UNION ALL SELECT model, prompting, task_id, {bench_sql("score", "worst", "0::DOUBLE")} FROM hev),
+  UNION ALL SELECT model, prompting, task_id, {bench_sql("score", "worst", "best")} FROM hev JOIN hfloors USING (task_id)),
 scores AS (SELECT model, task_id, task_name, dataset, dim, score, prompting = 'Likelihood' AS prob
   FROM bench JOIN facts USING (task_id))"""
