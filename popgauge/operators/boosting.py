@@ -1,28 +1,28 @@
 """Gradient-boosted P(yes | conditions), fitted on cells.
 
-Conditions are categorical, so respondents of one cell, fold and outcome are interchangeable:
-the trees see one weighted row for all of them, however many there are.
+Conditions are categorical, so respondents of one cell, fold and outcome are interchangeable: the trees see one
+weighted row for all of them, however many there are. The number of cells is fixed by the task's levels, so a fit is
+small; Spark fits every held-out fold and replicate in a task of its own, all in one job.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popgauge.functions.hashing import key_sum, poisson_one, stream_uniform
 from popgauge.operators.joins import fold_of
 from popgauge.operators.tabulate import positive
-from popgauge.session import cut_lineage
 from popgauge.spec import HighDimTask
 
 UNKNOWN = "(missing)"
+#: Leaves of a tree, step of a round, penalty on a leaf (in respondents of average weight).
+LEAVES, RATE, PENALTY = 16, 0.1, 1.0
 
 
 def training_cells(df: DataFrame, task: HighDimTask, ids: Sequence[str], *, folds: int, seed: int,
@@ -43,57 +43,96 @@ def training_cells(df: DataFrame, task: HighDimTask, ids: Sequence[str], *, fold
     return rows.groupBy(*task.conditions, "y", "fold").agg(*[F.sum(c).alias(c) for c in ["w", *counts]])
 
 
-def _features(cells: DataFrame, conditions: Sequence[str]) -> tuple[DataFrame, int]:
-    indexed = [f"_i_{c}" for c in conditions]
-    stages = [
-        StringIndexer(inputCols=list(conditions), outputCols=indexed, handleInvalid="keep",
-                      stringOrderType="alphabetAsc"),
-        VectorAssembler(inputCols=indexed, outputCol="features"),
-    ]
-    fitted = Pipeline(stages=stages).fit(cells)
-    widest = max(len(labels) for labels in fitted.stages[0].labelsArray) + 1
-    return fitted.transform(cells).drop(*indexed), max(widest, 2)
-
-
-def _fit_and_predict(ready: DataFrame, bins: int, fold: int, weight: str, rounds: int, seed: int) -> DataFrame:
-    learner = GBTClassifier(
-        labelCol="y", featuresCol="features", weightCol=weight, maxIter=rounds, maxBins=max(32, bins),
-        validationIndicatorCol="held_out", seed=seed,
-    )
-    marked = ready.withColumn("held_out", F.col("fold") == fold)
-    model = learner.fit(marked.where(F.col(weight) > 0))
-    return model.transform(marked.where("held_out")).withColumn(
-        "p", vector_to_array("probability").getItem(1)
-    )
-
-
-def oof_boosted(df: DataFrame, task: HighDimTask, ids: Sequence[str], *, folds: int = 5, rounds: int = 20,
-                seed: int = 42) -> DataFrame:
+def _best_split(codes: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray) -> tuple[float, int, np.ndarray]:
+    """(gain, condition, values that go left): values ordered by their gradient, cut where the gain is greatest."""
+    total_g, total_h = g[rows].sum(), h[rows].sum()
+    found = (0.0, -1, np.zeros(0, int))
+    for j in range(codes.shape[1]):
+        column = codes[rows, j]
+        sum_g, sum_h = np.bincount(column, g[rows]), np.bincount(column, h[rows])
+        values = np.flatnonzero(sum_h > 0)
+        if len(values) < 2:
+            continue
+        order = values[np.argsort(sum_g[values] / (sum_h[values] + PENALTY), kind="stable")]
+        left_g, left_h = np.cumsum(sum_g[order])[:-1], np.cumsum(sum_h[order])[:-1]
+        gain = left_g ** 2 / (left_h + PENALTY) + (total_g - left_g) ** 2 / (total_h - left_h + PENALTY) - total_g ** 2 / (total_h + PENALTY)
+        at = int(np.argmax(gain))
+        if gain[at] > found[0] + 1e-9:
+            found = (float(gain[at]), j, order[: at + 1])
+    return found
+
+
+def boost(codes: np.ndarray, y: np.ndarray, w: np.ndarray, train: np.ndarray, rounds: int, patience: int) -> np.ndarray:
+    """Probability of every row after logistic boosting on ``train``; the other rows end it when their loss has not
+    fallen for ``patience`` rounds, and the best round counts."""
+    w = w / max(w[train].mean(), 1e-12)
+    share = np.clip((w * y)[train].sum() / max(w[train].sum(), 1e-12), 1e-6, 1 - 1e-6)
+    score = np.full(len(y), np.log(share / (1 - share)))
+    best, least, waited = score.copy(), np.inf, 0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-score))
+        held = -(w * (y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)))[~train].sum()
+        if held < least - 1e-9:
+            best, least, waited = score.copy(), held, 0
+        elif (waited := waited + 1) >= patience:
+            break
+        g, h = (p - y) * w * train, p * (1 - p) * w * train
+        everyone = np.arange(len(y))
+        heap = [(-(s := _best_split(codes, g, h, everyone[train]))[0], 0, everyone, s)]
+        done, number = [], 1
+        while heap and len(heap) + len(done) < LEAVES:
+            _, _, rows, (gain, j, values) = heapq.heappop(heap)
+            if j < 0:
+                done.append(rows)
+                continue
+            left = np.isin(codes[rows, j], values)
+            for part in (rows[left], rows[~left]):
+                split = _best_split(codes, g, h, part[train[part]])
+                heapq.heappush(heap, (-split[0], number, part, split))
+                number += 1
+        for rows in [*done, *(entry[2] for entry in heap)]:
+            score[rows] -= RATE * g[rows].sum() / (h[rows].sum() + PENALTY)
+    return 1 / (1 + np.exp(-best))
+
+
+def _out_of_fold(cells: DataFrame, conditions: Sequence[str], weights: Sequence[str], folds: int, rounds: int,
+                 patience: int) -> DataFrame:
+    """(conditions.., fold, b, w, p): for each weight column ``b`` and held-out fold one fit, each in its own group."""
+    conditions = list(conditions)
+    fits = cells.select(
+        *conditions, "y", "fold", "w",
+        F.inline(F.array(*[F.struct(F.lit(b).alias("b"), F.col(name).alias("use")) for b, name in enumerate(weights)])),
+    ).withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+
+    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        b, held = key
+        group = group.sort_values([*conditions, "y", "fold"])  # the same fit whatever order the rows came in
+        codes = np.column_stack([pd.factorize(group[c], sort=True)[0] for c in conditions])
+        y, use, train = group["y"].to_numpy(float), group["use"].to_numpy(float), (group["fold"] != held).to_numpy()
+        group["p"] = boost(codes, y, use, train, rounds, patience)
+        out = group[~train].groupby(conditions, as_index=False).agg(w=("w", "sum"), p=("p", "first"))
+        return out.assign(fold=held, b=b)[[*conditions, "fold", "b", "w", "p"]]
+
+    fields = ", ".join(f"`{c}` string" for c in conditions)
+    return fits.groupBy("b", "held").applyInPandas(fit, f"{fields}, fold int, b int, w double, p double")
+
+
+def oof_boosted(df: DataFrame, task: HighDimTask, ids: Sequence[str], *, folds: int = 5, rounds: int = 100,
+                patience: int = 10, seed: int = 42) -> DataFrame:
     """(conditions.., fold, w, p): predictions of each cell by the model that never saw its fold.
 
     The held-out fold also ends the boosting when it stops improving.
     """
-    cells = cut_lineage(training_cells(df, task, ids, folds=folds, seed=seed))
-    ready, bins = _features(cells, task.conditions)
-    parts = [_fit_and_predict(ready, bins, f, "w", rounds, seed) for f in range(folds)]
-    scored = reduce(DataFrame.unionByName, parts)
-    return scored.groupBy(*task.conditions, "fold").agg(F.sum("w").alias("w"), F.first("p").alias("p"))
+    cells = training_cells(df, task, ids, folds=folds, seed=seed)
+    return _out_of_fold(cells, task.conditions, ["w"], folds, rounds, patience).drop("b")
 
 
 def bootstrap_boosted(df: DataFrame, task: HighDimTask, ids: Sequence[str], *, replicates: int = 10,
-                      folds: int = 5, rounds: int = 20, seed: int = 42) -> DataFrame:
+                      folds: int = 5, rounds: int = 100, patience: int = 10, seed: int = 42) -> DataFrame:
     """(conditions.., fold, b, w, p_b): out-of-fold predictions under Poisson bootstrap weights.
 
     Folds go by respondent, so the copies of one respondent never sit on both sides of a split.
     """
-    cells = cut_lineage(training_cells(df, task, ids, folds=folds, seed=seed, replicates=replicates))
-    ready, bins = _features(cells, task.conditions)
-    parts = []
-    for b in range(replicates):
-        for f in range(folds):
-            part = _fit_and_predict(ready, bins, f, f"w{b}", rounds, seed + b)
-            parts.append(part.withColumn("b", F.lit(b)).select(*task.conditions, "fold", "b", "w", "p"))
-    scored = reduce(DataFrame.unionByName, parts)
-    return scored.groupBy(*task.conditions, "fold", "b").agg(
-        F.sum("w").alias("w"), F.first("p").alias("p_b")
-    )
+    cells = training_cells(df, task, ids, folds=folds, seed=seed, replicates=replicates)
+    weights = [f"w{b}" for b in range(replicates)]
+    return _out_of_fold(cells, task.conditions, weights, folds, rounds, patience).withColumnRenamed("p", "p_b")

@@ -33,7 +33,7 @@ def select_concepts(tables: Mapping[str, DataFrame], concepts: Sequence[Concept]
         sums = [c for c in wanted if c.total]
         if sums and plain:
             totals = raw.groupBy(key).agg(
-                *[F.sum(c.column).alias(c.name) for c in sums], *[F.first(c.column, ignorenulls=True).alias(c.name) for c in plain]
+                *[F.sum(c.column).alias(c.name) for c in sums], *[F.min(c.column).alias(c.name) for c in plain]
             )
             part = totals.select(key, *[_recoded(c, c.name) for c in wanted])
         elif sums:

@@ -13,7 +13,8 @@ from popgauge.operators.joins import attach
 from popgauge.operators.sampling import level_lines, pick_level
 from popgauge.session import cut_lineage
 
-GRID = 64
+#: Quantiles that a numeric draw can take; each is a value that some row has.
+GRID = 1000
 
 
 def _categorical_draw(df: DataFrame, target: str, seen: Column, by: Sequence[str], u: Column) -> DataFrame:
@@ -34,14 +35,11 @@ def _categorical_draw(df: DataFrame, target: str, seen: Column, by: Sequence[str
 
 
 def _numeric_draw(df: DataFrame, target: str, seen: Column, by: Sequence[str], u: Column) -> DataFrame:
-    """Adds ``_draw``: the cell's quantile at ``u``, read off a grid of quantiles."""
+    """Adds ``_draw``: the observed value at the cell's quantile next to ``u``."""
     shares = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
 
     def read(grid: str) -> Column:
-        at = u * GRID
-        base = F.floor(at).cast("int")
-        lo, hi = F.element_at(grid, base + 1), F.element_at(grid, F.least(base + 2, F.lit(GRID + 1)))
-        return lo + (hi - lo) * (at - base)
+        return F.element_at(grid, F.floor(u * (GRID + 1)).cast("int") + 1)
 
     known = df.where(seen)
     local = known.groupBy(*by).agg(F.percentile_approx(target, shares, 10_000).alias("_grid"))

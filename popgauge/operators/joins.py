@@ -10,34 +10,17 @@ from pyspark.sql import functions as F
 
 from popgauge.functions.hashing import hash62
 
-# A lookup up to this many rows is broadcast; beyond it the join is salted instead.
-BROADCAST_ROWS = 200_000
-SALTS = 32
 
-
-def is_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the table has at most ``rows`` rows; counts no further than that."""
-    return table.limit(rows + 1).count() <= rows
-
-
-def attach(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left",
-           rows: int = BROADCAST_ROWS, *, bounded: bool = False) -> DataFrame:
+def attach(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", *, bounded: bool = False) -> DataFrame:
     """Join each fact to its (at most one) lookup row; NULL keys match NULL keys.
 
-    A lookup of checked size is broadcast, so the facts do not move. A larger one is repeated once
-    per salt and joined on keys and salt: the facts of one hot key then spread over that many tasks.
-    ``bounded`` skips the count where the lookup's size is fixed by the task specs.
+    The join is left to adaptive execution, which knows the lookup's bytes when it runs: it broadcasts a small one
+    and splits the facts of a hot key otherwise. ``bounded`` asks for the broadcast where the lookup's size is fixed
+    by the task specs.
     """
     renamed = lookup.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     match = reduce(lambda a, b: a & b, [facts[k].eqNullSafe(renamed[f"_k_{k}"]) for k in keys])
-    if bounded or is_small(lookup, rows):
-        joined = facts.join(F.broadcast(renamed), match, how)
-    else:
-        salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int"))
-        repeated = renamed.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        match = reduce(lambda a, b: a & b, [salted[k].eqNullSafe(renamed[f"_k_{k}"]) for k in keys])
-        joined = salted.join(repeated, match & (F.col("_salt") == F.col("_lane")), how).drop("_salt", "_lane")
-    return joined.drop(*[f"_k_{k}" for k in keys])
+    return facts.join(F.broadcast(renamed) if bounded else renamed, match, how).drop(*[f"_k_{k}" for k in keys])
 
 
 def lookup_last(codes: DataFrame, key: str, order: str) -> DataFrame:
@@ -62,8 +45,11 @@ def lookup_default(df: DataFrame, codes: DataFrame, on: Mapping[str, str], order
 
 
 def merge_by_id(tables: Sequence[DataFrame], key: str) -> DataFrame:
-    """Component tables side by side, one row per id that occurs in any of them."""
-    return reduce(lambda a, b: a.join(b, key, "full"), tables)
+    """Component tables side by side, one row per id that occurs in any of them.
+
+    The tables are stacked and folded by id in one shuffle, however many they are."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return stacked.groupBy(key).agg(*[F.max(c).alias(c) for c in stacked.columns if c != key])
 
 
 def self_variants(scores: DataFrame, keys: Sequence[str], tuned: str, value: str = "score") -> DataFrame:
@@ -88,32 +74,22 @@ def already_done(todo: DataFrame, done: DataFrame, identity: Sequence[str]) -> D
     return todo.join(done.select(*identity), list(identity), "left_anti")
 
 
-def range_buckets(df: DataFrame, value: str, buckets: int) -> Column:
-    """Bucket number of a numeric column such that the buckets hold about the same number of rows.
-
-    The boundaries (fewer than ``buckets`` numbers) become literals of the plan, so every use
-    of the column, and every recomputation, agrees on them.
-    """
-    shares = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(df.approxQuantile(value, shares, 0.25 / buckets)))
-    if not bounds:
-        return F.lit(0)
-    edges = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(edges, lambda b: b < F.col(value)))
-
-
 def running_total(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str],
-                  buckets: int = 64) -> DataFrame:
+                  buckets: int = 1024) -> DataFrame:
     """Inclusive running totals ``cum_<c>`` and group totals ``tot_<c>`` along a numeric order.
 
-    Expects one row per (keys, order). The order is cut into buckets; totals per bucket are summed
-    up first, so no task ever sorts a whole group.
+    Expects one row per (keys, order). Each group's own range is cut into buckets; totals per bucket are summed up
+    first, so no task sorts a whole group. The buckets follow from the groups' least and greatest values alone, so
+    every use and every recomputation agrees on them.
     """
     keys = list(keys)
-    parts = df.withColumn("_bucket", range_buckets(df, order, buckets))
-    step = Window.partitionBy(*keys).orderBy("_bucket")
-    before = step.rowsBetween(Window.unboundedPreceding, -1)
+    span = df.groupBy(*keys).agg(F.min(order).alias("_least"), F.max(order).alias("_most"))
+    share = F.try_divide(F.col(order) - F.col("_least"), F.col("_most") - F.col("_least"))
+    place = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1)).cast("int")
+    parts = attach(df, span, keys, "inner").withColumn("_bucket", place).drop("_least", "_most")
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
+    # At most ``buckets`` rows per group.
     totals = parts.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
     offsets = totals.select(
         *keys, "_bucket",
@@ -125,7 +101,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = parts.withColumns({f"_in_{c}": F.sum(c).over(inner) for c in sums})
-    joined = local.join(offsets, [*keys, "_bucket"])
+    joined = attach(local, offsets, [*keys, "_bucket"], "inner")
     out = joined.withColumns({f"cum_{c}": F.col(f"_off_{c}") + F.col(f"_in_{c}") for c in sums})
     return out.drop("_bucket", *[f"_off_{c}" for c in sums], *[f"_in_{c}" for c in sums])
 

@@ -103,7 +103,7 @@ def jitter(value: Column, *keys: Column | str, seed: int = 0, width: float = 0.0
 
 
 def cumulative_weights(df: DataFrame, keys: Sequence[str], value: str, side: str, weight: str,
-                       sides: tuple[str, str], buckets: int = 64) -> DataFrame:
+                       sides: tuple[str, str]) -> DataFrame:
     """Weighted distribution functions ``cdf_x`` and ``cdf_y`` of two samples at each distinct value.
 
     Ties are collapsed before anything is ordered, so equal values never inflate the gap.
@@ -113,7 +113,7 @@ def cumulative_weights(df: DataFrame, keys: Sequence[str], value: str, side: str
         F.sum(F.when(F.col(side) == first, F.col(weight)).otherwise(0.0)).alias("wx"),
         F.sum(F.when(F.col(side) == second, F.col(weight)).otherwise(0.0)).alias("wy"),
     )
-    summed = running_total(ties, keys, value, ["wx", "wy"], buckets)
+    summed = running_total(ties, keys, value, ["wx", "wy"])
     return summed.select(
         *keys, value,
         F.try_divide("cum_wx", "tot_wx").alias("cdf_x"), F.try_divide("cum_wy", "tot_wy").alias("cdf_y"),
@@ -121,9 +121,9 @@ def cumulative_weights(df: DataFrame, keys: Sequence[str], value: str, side: str
 
 
 def ks_weighted(df: DataFrame, keys: Sequence[str], value: str, side: str, weight: str,
-                sides: tuple[str, str], buckets: int = 64) -> DataFrame:
+                sides: tuple[str, str]) -> DataFrame:
     """Largest gap between the two weighted distribution functions, per group."""
-    curve = cumulative_weights(df, keys, value, side, weight, sides, buckets)
+    curve = cumulative_weights(df, keys, value, side, weight, sides)
     return curve.groupBy(*keys).agg(F.max(F.abs(F.col("cdf_x") - F.col("cdf_y"))).alias("ks"))
 
 

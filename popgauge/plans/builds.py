@@ -447,14 +447,13 @@ def labor(raw: DataFrame, headings: Sequence[str] = LABOR_HEADINGS, renames: Map
     return kept.withColumn("occupation", name).dropna()
 
 
-def complete(df: DataFrame, ids: Sequence[str], *, without: Sequence[str] = (), rounds: int = 5, seed: int = 0) -> DataFrame:
-    """Clean table with its gaps imputed, each column from a few others; ``without`` stays as it is.
+def complete(df: DataFrame, ids: Sequence[str], *, without: Sequence[str] = (), spread: int = 3, rounds: int = 5, seed: int = 0) -> DataFrame:
+    """Clean table with its gaps imputed, each column from ``spread`` others; ``without`` stays as it is.
 
-    Each column leans on its neighbours in the table: predictors beyond a handful would leave cells
-    without respondents.
+    Each column leans on the ``spread`` columns after it: many predictors would leave cells without respondents,
+    whose draws then follow the whole table.
     """
     columns = [c for c in df.columns if c not in ids and c not in without]
-    spread = 3
     predictors = {
         c: [columns[(i + step) % len(columns)] for step in range(1, min(spread, len(columns) - 1) + 1)]
         for i, c in enumerate(columns)

@@ -27,10 +27,10 @@ def _total(values: Column) -> Column:
 def condition_errors(truth: DataFrame, answers: DataFrame, *, strict: bool = True) -> DataFrame:
     """Per (model, prompting, task, condition): L1 to the truth, L1 of uniform, condition weight.
 
-    ``truth`` holds task cells, ``answers`` (model, prompting, task_id, cond, level, w). A condition
-    is scored when the model answered it and the truth knows it. An answer that is none of the
-    task's levels (or NULL) makes the error NULL when ``strict``; otherwise it is left out and its
-    weight reported as ``unparsed_share``.
+    ``truth`` holds task cells, ``answers`` (model, prompting, task_id, cond, level, w). A run is asked
+    every condition that the truth knows; the error of one it did not answer is NULL. An answer that
+    is none of the task's levels (or NULL) makes the error NULL when ``strict``; otherwise it is left
+    out and its weight reported as ``unparsed_share``.
 
     Either side becomes one record per condition, its weights lined up along the task's levels, so
     the two sides meet in a single join of condition records.
@@ -40,8 +40,7 @@ def condition_errors(truth: DataFrame, answers: DataFrame, *, strict: bool = Tru
     real = scoped(truth).groupBy("task_id", "cond").agg(
         entries.alias("_true"), F.sum("w").alias("cond_weight")
     )
-    # One row per task.
-    judged = answers.join(F.broadcast(levels), "task_id").withColumn(
+    judged = answers.join(levels, "task_id").withColumn(
         "_known", F.coalesce(F.array_contains("levels", F.col("level")), F.lit(False))
     )
     said = judged.groupBy(*RUN, "task_id", "cond").agg(
@@ -49,15 +48,14 @@ def condition_errors(truth: DataFrame, answers: DataFrame, *, strict: bool = Tru
         F.sum(F.when(F.col("_known"), F.col("w"))).alias("_valid"),
         F.sum("w").alias("_answered"),
         F.sum(F.when(~F.col("_known"), F.col("w")).otherwise(0.0)).alias("_unknown"),
-        F.first("levels").alias("levels"),
     )
+    asked = answers.select(*RUN, "task_id").distinct().join(real, "task_id").join(levels, "task_id")
     p = lambda level: _weight_of(F.col("_true"), level) / F.col("cond_weight")
     q = lambda level: _weight_of(F.col("_said"), level) / F.col("_valid")
-    usable = (F.col("_valid") != 0) & (F.col("cond_weight") != 0)
-    gap = F.when(usable, _total(F.transform("levels", lambda x: F.abs(p(x) - q(x)))))
+    gap = F.when((F.col("_valid") != 0) & (F.col("cond_weight") != 0), _total(F.transform("levels", lambda x: F.abs(p(x) - q(x)))))
     even = F.lit(1.0) / F.size("levels")
-    flat = F.when(usable, _total(F.transform("levels", lambda x: F.abs(even - p(x)))))
-    errors = said.join(real, ["task_id", "cond"]).select(
+    flat = F.when(F.col("cond_weight") != 0, _total(F.transform("levels", lambda x: F.abs(even - p(x)))))
+    errors = asked.join(said, [*RUN, "task_id", "cond"], "left").select(
         *RUN, "task_id", "cond", gap.alias("score"), flat.alias("worst"), "cond_weight",
         F.try_divide("_unknown", "_answered").alias("unparsed_share"),
     )
@@ -70,14 +68,19 @@ def eval_low_dim(truth: DataFrame, answers: DataFrame, floors: DataFrame | None
                  strict: bool = True) -> DataFrame:
     """Error, naive error, noise floor and bench score per (model, prompting, task).
 
-    ``floors`` is (task_id, best_err); tasks without one have floor 0.
+    ``floors`` is (task_id, best_err); tasks without one have floor 0. A condition without a score
+    makes the run's score NULL when ``strict``; otherwise the mean is over the others and
+    ``unanswered_share`` tells the weight of those left out.
     """
     errors = condition_errors(truth, answers, strict=strict)
-    failed = F.bool_or(F.col("score").isNull())
+    missing = F.col("score").isNull()
+    scored = F.when(~missing, F.col("cond_weight"))
+    mean = F.try_divide(F.sum(F.col("score") * scored), F.sum(scored))
     runs = errors.groupBy(*RUN, "task_id").agg(
-        F.when(~failed, weighted_mean("score", "cond_weight")).alias("score"),
+        (F.when(~F.bool_or(missing), mean) if strict else mean).alias("score"),
         weighted_mean("worst", "cond_weight").alias("worst"),
         F.max("unparsed_share").alias("unparsed_share"),
+        F.try_divide(F.sum(F.when(missing, F.col("cond_weight")).otherwise(0.0)), F.sum("cond_weight")).alias("unanswered_share"),
     )
     return with_bench(runs, floors)
 
@@ -86,7 +89,7 @@ def with_bench(runs: DataFrame, floors: DataFrame | None) -> DataFrame:
     if floors is None:
         runs = runs.withColumn("best", F.lit(0.0))
     else:
-        known = floors.select("task_id", F.col("best_err").alias("best"))
+        known = floors.groupBy("task_id").agg(F.max("best_err").alias("best"))
         runs = runs.join(known, "task_id", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
     return runs.withColumn("bench", bench_score(F.col("score"), F.col("worst"), F.col("best")))
 

@@ -105,11 +105,11 @@ def scan_high(spark, folder):
 
 
 @probe("prune_hd_result", f"""WITH {S.SURVEY}
-SELECT rebate, priority, segment, weight, round(spend / 100000, 9) AS lgbm_pred, round(weight / 50, 9) AS llm_pred FROM survey WHERE model = 'phi4'""")
+SELECT rebate, priority, segment, weight, round(spend / 100000, 9) AS lgbm_pred, round(weight / 50, 9) AS llm_pred FROM survey""")
 def prune_high(spark, folder):
     path, slim = scratch(spark, "high"), scratch(spark, "high-slim")
     _high_results(spark, folder, path)
-    rows = IO.read_high_dim(spark, path).where("model = 'phi4'")
+    rows = IO.read_high_dim(spark, path)
     IO.prune_high_dim(rows, "rebate", ["priority", "segment"]).write.parquet(slim)
     back = spark.read.parquet(slim)
     return back.withColumns({c: F.round(c, 9) for c in ("lgbm_pred", "llm_pred")})
@@ -156,7 +156,7 @@ def spec_table(spark, folder):
 SELECT task_id, round(best, 6) AS best_err, FALSE AS missing FROM floors UNION ALL SELECT unnest([101, 102, 103, 104]), -1, TRUE""")
 def floor_store(spark, folder):
     path = scratch(spark, "floors")
-    IO.store_floors(S.floors_of(S.low_cells(spark, folder)), path)
+    IO.store_floors(S.floors_of(spark, S.low_cells(spark, folder)), path)
     store = spark.read.parquet(path)
     tasks = task_frame(spark, [*S.LOW, *S.HIGH]).select("task_id")
     todo = missing_floors(tasks, store).withColumn("missing", F.lit(True))

@@ -76,11 +76,8 @@ def l1_worst_uniform(spark, folder):
 SELECT model, prompting, task_id, round(score, 6) AS score, round(worst, 6) AS worst FROM runs""")
 def cond_weighted_mean(spark, folder):
     cells = S.low_cells(spark, folder)
-    errors = condition_errors(S.truth_of(cells), S.answers_of(cells))
-    return errors.groupBy(*RUN, "task_id").agg(
-        r6(M.weighted_mean("score", "cond_weight")).alias("score"),
-        r6(M.weighted_mean("worst", "cond_weight")).alias("worst"),
-    )
+    runs = eval_low_dim(S.truth_of(cells), S.answers_of(cells))
+    return runs.select(*RUN, "task_id", r6("score").alias("score"), r6("worst").alias("worst"))
 
 
 @probe("bootstrap_floor", f"WITH {S.TRUTH}{S.FLOORS} SELECT task_id, round(best, 9) AS best_err FROM floors")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from popgauge.operators.answers import mean_logprob
-from popgauge.operators.cells import cell_sums, mean_baseline, share_positive
 from popgauge.plans import reports as R
 from popgauge.plans.scoring import eval_high_dim
 from popgauge.probes import survey as S
@@ -67,17 +66,17 @@ def by_size(scores):
 
 @probe("by_prompting", SCORES + f""", mb AS (SELECT task_id, avg(y) AS q FROM hd GROUP BY 1),
 mr AS (SELECT task_id, sum(abs(q - p) * w) / sum(w) AS score, least(sum(p * w), sum((1 - p) * w), sum(abs(p - 0.5) * w)) / sum(w) AS worst FROM hp JOIN mb USING (task_id) GROUP BY 1),
-ms AS (SELECT avg({S.bench_sql("score", "worst", "0::DOUBLE")}) AS baseline FROM mr)
+ms AS (SELECT avg({S.bench_sql("score", "worst", "best")}) AS baseline FROM mr JOIN hfloors USING (task_id))
 SELECT model, prob, round(avg(score), 6) AS score, CASE WHEN prob THEN 'Likelihood' ELSE 'QA' END AS prompting, round(any_value(baseline), 6) AS baseline
 FROM scores, ms WHERE dim > 1 GROUP BY ALL""")
 def by_prompting(spark, folder):
-    df = S.survey(spark, folder, *S.CELL_COLUMNS)
-    truth = share_positive(cell_sums(df, S.HIGH))
-    guess = mean_baseline(df, S.HIGH).join(truth.select("task_id", "cell"), "task_id").select(
+    sums = S.high_cells(spark, folder)
+    truth = S.high_truth_of(sums)
+    guess = S.high_mean_of(sums).join(truth.select("task_id", "cell"), "task_id").select(
         F.lit("model_mean").alias("model"), F.lit("QA").alias("prompting"), "task_id", "cell", "q"
     )
-    baseline = eval_high_dim(truth, guess).select(F.col("bench").alias("score"))
-    out = R.by_prompting(S.scores(spark, folder).where(F.col("dim") > 1), baseline)
+    baseline = eval_high_dim(truth, guess, S.high_floors_of(sums)).select(F.col("bench").alias("score"))
+    out = R.by_prompting(S.scores(spark, folder, sums).where(F.col("dim") > 1), baseline)
     return out.withColumns({"score": r6("score"), "baseline": r6("baseline")})
 
 

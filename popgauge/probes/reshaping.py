@@ -85,7 +85,7 @@ PROMPTS = " ".join(f"WHEN {t.task_id} THEN '{t.prompt}'" for t in S.LOW)
 
 @probe("detail_table", f"""WITH {S.ANSWERS},
 o AS (SELECT task_id, level, CAST(row_number() OVER (PARTITION BY task_id ORDER BY level) - 1 AS INTEGER) AS lvl FROM lvls),
-b AS (SELECT s.model, s.prompting, s.task_id, s.cond, o.lvl, s.level AS lvl_names, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM spine s JOIN o USING (task_id, level)
+b AS (SELECT s.model, s.prompting, s.task_id, s.cond, o.lvl, s.level AS lvl_names, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM spine s JOIN told USING (model, prompting, task_id, cond) JOIN o USING (task_id, level)
   LEFT JOIN reality USING (task_id, cond, level) LEFT JOIN mdl USING (model, prompting, task_id, cond, level))
 SELECT model, prompting, task_id, cond, lvl, lvl_names, 'Reality' AS type, round(p, 6) AS prop, replace(CASE task_id {PROMPTS} END, '{{}}', cond) AS prompt FROM b
 UNION ALL SELECT model, prompting, task_id, cond, lvl, lvl_names, 'Model', round(q, 6), replace(CASE task_id {PROMPTS} END, '{{}}', cond) FROM b""")
@@ -109,7 +109,9 @@ def detail(spark, folder):
 o AS (SELECT DISTINCT l_returnflag AS v_out FROM lineitem),
 two AS (SELECT a.v_cond || ',' || b.v_cond AS v_cond, 2 AS dim, a.ord * 100 + b.ord AS code FROM v a JOIN v b ON a.ord < b.ord),
 three AS (SELECT a.v_cond || ',' || b.v_cond || ',' || c.v_cond AS v_cond, 3 AS dim, (a.ord * 100 + b.ord) * 100 + c.ord AS code FROM v a JOIN v b ON a.ord < b.ord JOIN v c ON b.ord < c.ord),
-g AS (SELECT v_out, v_cond, dim, code FROM (SELECT * FROM two UNION ALL SELECT * FROM three) CROSS JOIN o)
+four AS (SELECT t.v_cond || ',' || v.v_cond AS v_cond, 4 AS dim, t.code * 100 + v.ord AS code FROM three t JOIN v ON t.code % 100 < v.ord),
+five AS (SELECT t.v_cond || ',' || v.v_cond AS v_cond, 5 AS dim, t.code * 100 + v.ord AS code FROM four t JOIN v ON t.code % 100 < v.ord),
+g AS (SELECT v_out, v_cond, dim, code FROM (SELECT * FROM two UNION ALL SELECT * FROM three UNION ALL SELECT * FROM four UNION ALL SELECT * FROM five) CROSS JOIN o)
 SELECT v_out, v_cond, dim FROM g QUALIFY row_number() OVER (PARTITION BY v_out, dim ORDER BY {u_sql("code", stream=42)}, code) <= 4""")
 def task_grid(spark, folder):
     from pyspark.sql import Window
@@ -118,5 +120,5 @@ def task_grid(spark, folder):
     names = table(spark, folder, "orders").select(F.col("o_orderpriority").alias("v_cond")).distinct()
     conditions = names.withColumn("ord", F.row_number().over(Window.orderBy("v_cond")))
     outcomes = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("v_out")).distinct()
-    grid = X.task_grid(outcomes, conditions, smallest=2, largest=3, cap=4)
+    grid = X.task_grid(outcomes, conditions, cap=4)
     return grid.withColumn("v_cond", F.array_join("v_cond", ","))

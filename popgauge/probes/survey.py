@@ -162,7 +162,7 @@ def truth_cells(spark: SparkSession, folder: str, tasks: list[LowDimTask] = LOW)
 def high_cells(spark: SparkSession, folder: str, tasks: list[HighDimTask] = HIGH) -> DataFrame:
     """Cells of all high-dimensional tasks by run with the weights of the bootstrap replicates, from one scan."""
     rows, replicates = replicate_weights(survey(spark, folder, *CELL_COLUMNS, *RUN_COLUMNS), tasks, IDS)
-    return cut_lineage(cell_sums(rows, tasks, RUN_COLUMNS, extra={"mw": F.col("spend"), **replicates}))
+    return cut_lineage(cell_sums(rows, tasks, RUN_COLUMNS, extra={"mw": F.col("spend"), "one": F.lit(1.0), **replicates}))
 
 
 def high_truth_of(cells: DataFrame) -> DataFrame:
@@ -177,9 +177,14 @@ def high_floors_of(cells: DataFrame) -> DataFrame:
     return high_dim_floor(replicated(cells))
 
 
-def scores(spark: SparkSession, folder: str) -> DataFrame:
+def high_mean_of(cells: DataFrame) -> DataFrame:
+    """(task_id, q): the unweighted share of positives, which a constant predictor says everywhere."""
+    return cells.groupBy("task_id").agg(F.try_divide(F.sum("oney"), F.sum("one")).alias("q"))
+
+
+def scores(spark: SparkSession, folder: str, sums: DataFrame | None = None) -> DataFrame:
     """The probe's score table: all models, promptings and tasks, from two scans."""
-    cells, sums = low_cells(spark, folder), high_cells(spark, folder)
+    cells, sums = low_cells(spark, folder), sums or high_cells(spark, folder)
     low = eval_low_dim(truth_of(cells), answers_of(cells), floors_of(spark, cells))
     high = eval_high_dim(high_truth_of(sums), high_answers_of(sums), high_floors_of(sums))
     return score_table(task_frame(spark, [*LOW, *HIGH]), low, high)
@@ -251,12 +256,13 @@ ANSWERS = TRUTH + """,
 ans AS (SELECT model, prompting, task_id, cond, level, sum(mw) AS w FROM long WHERE cond IS NOT NULL GROUP BY ALL),
 mdl AS (SELECT model, prompting, task_id, cond, level, w / sum(w) OVER (PARTITION BY model, prompting, task_id, cond) AS q
   FROM ans),
-spine AS (SELECT DISTINCT model, prompting, task_id, cond, lvls.level FROM ans JOIN lvls USING (task_id)),
-errs AS (SELECT model, prompting, task_id, cond, sum(abs(coalesce(p, 0) - coalesce(q, 0))) AS l1,
+told AS (SELECT DISTINCT model, prompting, task_id, cond, TRUE AS told FROM ans),
+spine AS (SELECT DISTINCT model, prompting, task_id, conds.cond, lvls.level FROM ans JOIN conds USING (task_id) JOIN lvls USING (task_id)),
+errs AS (SELECT model, prompting, task_id, cond, CASE WHEN bool_or(told) THEN sum(abs(coalesce(p, 0) - coalesce(q, 0))) END AS l1,
     sum(abs(1.0::DOUBLE / k - coalesce(p, 0))) AS uni
   FROM spine LEFT JOIN reality USING (task_id, cond, level)
-  LEFT JOIN mdl USING (model, prompting, task_id, cond, level) JOIN kk USING (task_id) GROUP BY ALL),
-runs AS (SELECT model, prompting, task_id, sum(l1 * tw) / sum(tw) AS score, sum(uni * tw) / sum(tw) AS worst
+  LEFT JOIN mdl USING (model, prompting, task_id, cond, level) LEFT JOIN told USING (model, prompting, task_id, cond) JOIN kk USING (task_id) GROUP BY ALL),
+runs AS (SELECT model, prompting, task_id, CASE WHEN count(l1) = count(*) THEN sum(l1 * tw) / sum(tw) END AS score, sum(uni * tw) / sum(tw) AS worst
   FROM errs JOIN conds USING (task_id, cond) GROUP BY ALL)"""
 
 _Z1, _Z2 = (uniform_sql("task_id", text_sql("cond"), text_sql("level"), stream=f"2 * b + {i}") for i in (0, 1))

@@ -10,7 +10,7 @@ from popgauge.operators.answers import decode_prob_matrix, prompt_permutations
 from popgauge.plans.names import DATASET_NAMES, VARIABLE_NAMES
 from popgauge.functions.recode import name_or_self
 from popgauge.probes import survey as S
-from popgauge.probes.registry import probe, r6, table, uniform_sql
+from popgauge.probes.registry import probe, r6, table
 from popgauge.spec import task_frame
 
 SPACE = "E' \\t\\n\\r\\f\\x0b'"
@@ -174,17 +174,15 @@ def answer_key(spark, folder):
                         F.md5(X.option_prompt("cond", "levels").cast("binary")).alias("prompt"))
 
 
-@probe("prompt_permutations", f"""WITH k AS (SELECT user_id, event_type AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS i FROM (SELECT DISTINCT user_id, event_type FROM events WHERE value > 20)),
-c AS (SELECT user_id, count(*) AS k, CASE WHEN count(*) <= 3 THEN CASE count(*) WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 6 END ELSE 20 END AS n FROM k GROUP BY 1),
-p AS (SELECT user_id, k, unnest(generate_series(0, n - 1)) AS permutation FROM c),
-rnd AS (SELECT p.user_id, permutation, string_agg(x, ',' ORDER BY {uniform_sql("p.user_id", "permutation", stream="i")}, x) AS shown FROM p JOIN k USING (user_id) WHERE p.k > 3 GROUP BY ALL),
-ex AS (SELECT a.user_id, a.x || CASE WHEN c.k > 1 THEN ',' || b.x ELSE '' END || CASE WHEN c.k > 2 THEN ',' || d.x ELSE '' END AS shown FROM c JOIN k a ON a.user_id = c.user_id
-  LEFT JOIN k b ON b.user_id = c.user_id AND b.i <> a.i LEFT JOIN k d ON d.user_id = c.user_id AND d.i <> a.i AND d.i <> b.i WHERE c.k <= 3)
-SELECT user_id, shown, permutation FROM rnd UNION ALL SELECT user_id, shown, row_number() OVER (PARTITION BY user_id ORDER BY shown) - 1 FROM ex""")
+@probe("prompt_permutations", """WITH RECURSIVE k AS (SELECT DISTINCT user_id, event_type AS x FROM events),
+c AS (SELECT user_id, count(*) AS k FROM k GROUP BY 1),
+r AS (SELECT user_id, [x] AS seq FROM k UNION ALL SELECT r.user_id, list_append(seq, x) FROM r JOIN k USING (user_id) WHERE NOT list_contains(seq, x))
+SELECT user_id, array_to_string(seq, ',') AS shown, row_number() OVER (PARTITION BY user_id ORDER BY seq) - 1 AS permutation
+FROM r JOIN c USING (user_id) WHERE len(seq) = k""")
 def permutations(spark, folder):
-    events = table(spark, folder, "events").where("value > 20").select("user_id", "event_type").distinct()
+    events = table(spark, folder, "events").select("user_id", "event_type").distinct()
     prompts = events.groupBy("user_id").agg(F.array_sort(F.collect_list("event_type")).alias("levels"))
-    out = prompt_permutations(prompts, "levels", "user_id", limit=20)
+    out = prompt_permutations(prompts, "levels", "user_id")
     return out.select("user_id", F.col("permutation").cast("bigint").alias("permutation"), F.array_join("shown", ",").alias("shown"))
 
 

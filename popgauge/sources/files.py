@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,8 +70,8 @@ def read_results(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
 
 
 def write_results(records: DataFrame, path: str) -> None:
-    """Result records as JSON lines, one folder per run."""
-    records.write.mode("append").partitionBy("model", "prompting", "task_id").json(path)
+    """Result records as JSON lines, one folder per run; a run written again replaces its folder."""
+    _replacing(records, "model", "prompting", "task_id").json(path)
 
 
 def read_high_dim(spark: SparkSession, path: str) -> DataFrame:
@@ -80,7 +80,13 @@ def read_high_dim(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_high_dim(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("model", "prompting", "task_id").parquet(path)
+    """High-dimensional results, one folder per run; a run written again replaces its folder."""
+    _replacing(df, "model", "prompting", "task_id").parquet(path)
+
+
+def _replacing(df: DataFrame, *identity: str) -> DataFrameWriter:
+    """Writer that replaces the partitions it has rows for and leaves the others."""
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*identity)
 
 
 def legacy_identity(file_name: Column, task: Column) -> dict[str, Column]:
@@ -126,5 +132,5 @@ def write_split(df: DataFrame, path: str) -> None:
 
 
 def store_floors(floors: DataFrame, path: str) -> None:
-    """Add noise floors to the store."""
-    floors.write.mode("append").parquet(path)
+    """Put noise floors into the store; a task's new floor replaces its old one."""
+    _replacing(floors, "task_id").parquet(path)

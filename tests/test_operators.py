@@ -97,13 +97,29 @@ def test_permutation_average_without_mass_is_uniform(spark):
     assert out == {"a": pytest.approx(.625), "b": pytest.approx(.375)}
 
 
-def test_attach_salted_equals_broadcast(spark):
+def test_attach_keeps_every_fact_and_matches_null_keys(spark):
     facts = spark.range(500).select("id", F.when(F.col("id") % 3 != 0, F.col("id") % 5).alias("k"))
     lookup = spark.createDataFrame([(k, f"v{k}") for k in (0, 1, 2, None)], "k bigint, v string")
-    small = sorted(map(tuple, J.attach(facts, lookup, ["k"]).collect()), key=str)
-    salted = sorted(map(tuple, J.attach(facts, lookup, ["k"], rows=1).collect()), key=str)
-    assert small == salted and len(small) == 500
-    assert all(v == f"v{k}" for _, k, v in small if k in (0, 1, 2, None))
+    plain = sorted(map(tuple, J.attach(facts, lookup, ["k"]).collect()), key=str)
+    told = sorted(map(tuple, J.attach(facts, lookup, ["k"], bounded=True).collect()), key=str)
+    assert plain == told and len(plain) == 500
+    assert all(v == f"v{k}" for _, k, v in plain if k in (0, 1, 2, None))
+
+
+def test_merge_by_id(spark):
+    parts = [spark.createDataFrame(rows, f"id int, {c} string") for c, rows in (("a", [(1, "x"), (2, "y")]), ("b", [(2, "z"), (3, None)]), ("c", [(1, "w")]))]
+    assert sorted(map(tuple, J.merge_by_id(parts, "id").collect())) == [(1, "x", None, "w"), (2, "y", "z", None), (3, None, None, None)]
+
+
+def test_streams_mix_and_take_texts(spark):
+    """Rows that share one lane, and neighbouring streams of one row, draw independently."""
+    p, q = H.PRIMES
+    rows = spark.range(4000).select("id", (F.col("id") * p).alias("lane"), F.concat(F.lit("r"), F.col("id")).alias("name"))
+    draws = rows.select(*[H.uniform(k, stream=s).alias(f"{k}{s}") for k in ("id", "lane", "name") for s in (0, 1, 2)])
+    pairs = [(a, b) for i, a in enumerate(draws.columns) for b in draws.columns[:i]]
+    found = draws.agg(*[F.corr(a, b).alias(f"{a}_{b}") for a, b in pairs], *[F.count_distinct(c).alias(c) for c in draws.columns]).first()
+    assert all(abs(found[f"{a}_{b}"]) < 0.08 for a, b in pairs)
+    assert all(found[c] == 4000 for c in draws.columns)
 
 
 def test_running_total_matches_brute_force(spark):

@@ -119,7 +119,7 @@ def test_weighted_l1_null_rule(spark):
 def test_ks_matches_brute_force_and_is_symmetric(spark):
     rows = [("x", float(i * i % 17), 1.0 + i % 3) for i in range(60)] + [("y", float(i * 5 % 23), 1.0 + i % 2) for i in range(50)]
     df = spark.createDataFrame([("all", *r) for r in rows], "k string, g string, v double, w double")
-    got = M.ks_weighted(df, ["k"], "v", "g", "w", ("x", "y"), buckets=7).first().ks
+    got = M.ks_weighted(df, ["k"], "v", "g", "w", ("x", "y")).first().ks
     back = M.ks_weighted(df, ["k"], "v", "g", "w", ("y", "x")).first().ks
 
     def cdf(side, at):
@@ -183,6 +183,32 @@ def test_boosting_agrees_with_dense_cells(spark):
     df = spark.createDataFrame(rows, "id int, y string, c string, d string, weight double")
     task = HighDimTask(1, "x", "y", ("c", "d"))
     cells = {tuple(r.cell): r.p for r in cell_probability(df, [task]).collect()}
-    out = oof_boosted(df, task, ["id"], folds=2, rounds=10).collect()
+    out = oof_boosted(df, task, ["id"], folds=2).collect()
     assert sum(r.w for r in out) == pytest.approx(8000)
     assert all(r.p == pytest.approx(cells[r.c, r.d], abs=0.08) for r in out)
+
+
+def answers_of(spark, *rows):
+    return spark.createDataFrame([("m", "QA", 1, *r) for r in rows], "model string, prompting string, task_id int, cond string, level string, w double")
+
+
+def test_an_unanswered_condition_is_not_left_out(spark):
+    truth = spark.createDataFrame([(1, c, lv, w, 10) for c in "xy" for lv, w in (("a", 30.0), ("b", 70.0))], CELLS)
+    half = answers_of(spark, ("x", "a", 3.0), ("x", "b", 7.0), ("nowhere", "a", 1.0))
+    strict, lenient = (eval_low_dim(truth, half, strict=s).first() for s in (True, False))
+    assert strict.score is None and strict.bench is None and strict.unanswered_share == 0.5
+    assert lenient.score == pytest.approx(0.0) and lenient.worst == strict.worst == pytest.approx(0.4)
+
+
+def test_floors_stored_twice_count_once(spark, tmp_path):
+    from popgauge.sources.files import store_floors
+
+    floors = spark.createDataFrame([(1, 0.05), (2, 0.1)], "task_id int, best_err double")
+    path = str(tmp_path / "floors")
+    store_floors(floors, path)
+    store_floors(floors.where("task_id = 1"), path)
+    store = spark.read.parquet(path)
+    assert sorted((r.task_id, r.best_err) for r in store.collect()) == [(1, 0.05), (2, 0.1)]
+    truth = spark.createDataFrame([(1, "x", lv, w, 10) for lv, w in (("a", 30.0), ("b", 70.0))], CELLS)
+    twice = eval_low_dim(truth, answers_of(spark, ("x", "a", 3.0), ("x", "b", 7.0)), floors.unionByName(floors))
+    assert twice.count() == 1
