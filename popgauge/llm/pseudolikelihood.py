@@ -20,6 +20,7 @@ ignored.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -53,27 +54,34 @@ class Lexicon(dict):
     def __init__(self, listed: list[tuple[bytes, int]]):
         super().__init__()
         self.listed = {w: (i, n) for i, (w, n) in enumerate(listed)}
-        self.totals = [0] * CLASSES
-        self.rows, self.classes = np.zeros(self.MOST, np.int32), np.zeros(self.MOST, np.int32)
-        self.shares = np.zeros(self.MOST)
+        self.rows, self.classes = array("i", bytes(4 * self.MOST)), array("i", bytes(4 * self.MOST))
+        self.shares = array("d", bytes(8 * self.MOST))
+        self.weigh([0] * CLASSES)
+
+    def weigh(self, totals: list[int]) -> None:
+        """Set the classes' totals. In the share of a word, one more stands for words never seen."""
+        self.totals = totals
+        self.rare = [math.log(1.0 / (t + 1.0)) for t in totals]
 
     def class_of(self, word: bytes) -> int:
         at = self.listed[word][0] if word in self.listed else VOCABULARY
         return at if at < FREQUENT else FREQUENT + xxhash.xxh64_intdigest(word, 7) % (CLASSES - FREQUENT)
 
     def __missing__(self, word: bytes) -> int:
-        at, n = self.listed.get(word, (VOCABULARY, 1))  # a word outside the list counts once
-        place = len(self)
-        if at < FREQUENT:
-            self.rows[place], self.classes[place], self.shares[place] = at + 1, at, 0.0
+        self[word] = place = len(self)
+        found = self.listed.get(word)
+        if found is not None and found[0] < FREQUENT:
+            self.rows[place], self.classes[place], self.shares[place] = found[0] + 1, found[0], 0.0
+            return place
+        # Row 0 is the edge of a text; words without a row of their own share one by hash.
+        number = xxhash.xxh64_intdigest(word, 7)
+        self.classes[place] = cls = FREQUENT + number % (CLASSES - FREQUENT)
+        if found is None:  # a word outside the list counts once
+            self.rows[place], self.shares[place] = 1 + OWN + (number >> 32) % (VOCABULARY - OWN), self.rare[cls]
         else:
-            # Row 0 is the edge of a text; words without a row of their own share one by hash. In the share, one more
-            # stands for words never seen.
-            number = xxhash.xxh64_intdigest(word, 7)
-            cls = FREQUENT + number % (CLASSES - FREQUENT)
+            at, n = found
             self.rows[place] = at + 1 if at < OWN else 1 + OWN + (number >> 32) % (VOCABULARY - OWN)
-            self.classes[place], self.shares[place] = cls, math.log(n / (self.totals[cls] + 1.0))
-        self[word] = place
+            self.shares[place] = math.log(n) + self.rare[cls]
         return place
 
     def __reduce__(self):
@@ -87,7 +95,8 @@ class Lexicon(dict):
                 self.clear()
             some = words[at:at + self.MOST // 4]
             places = np.fromiter(map(self.__getitem__, some), np.int64, len(some))
-            parts.append((self.rows[places], self.classes[places], self.shares[places]))
+            parts.append(tuple(np.frombuffer(a, t).take(places) for a, t in (
+                (self.rows, np.int32), (self.classes, np.int32), (self.shares, np.float64))))
         if not parts:
             return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
         return tuple(np.concatenate(p) for p in zip(*parts)) if len(parts) > 1 else parts[0]
@@ -95,7 +104,7 @@ class Lexicon(dict):
 
 def _lexicon(listed: list[tuple[bytes, int]], totals: list[int]) -> Lexicon:
     out = Lexicon(listed)
-    out.totals = totals
+    out.weigh(totals)
     return out
 
 
@@ -108,35 +117,50 @@ def start(seed: int = 5) -> list[np.ndarray]:
     ]
 
 
-def windows(rows: list[np.ndarray]) -> np.ndarray:
-    """Input rows around every token of several texts, edges as 0: (tokens, positions)."""
+def laid(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Several texts on one line with edges (row 0) between them, and the places of their tokens."""
     gap = np.zeros(SIDE, np.int32)
     line = np.concatenate([gap, *[part for r in rows for part in (r, gap)]])
-    at = np.concatenate([np.arange(len(r)) + s for r, s in zip(rows, np.cumsum([SIDE] + [len(r) + SIDE for r in rows[:-1]]))]) if rows else np.zeros(0, np.int64)
+    starts = np.cumsum([SIDE] + [len(r) + SIDE for r in rows[:-1]])
+    at = np.concatenate([np.arange(len(r)) + s for r, s in zip(rows, starts)]) if rows else np.zeros(0, np.int64)
+    return line, at
+
+
+def windows(rows: list[np.ndarray]) -> np.ndarray:
+    """Input rows around every token of several texts: (tokens, positions)."""
+    line, at = laid(rows)
     return np.stack([line[at + o] for o in OFFSETS], axis=1)
 
 
-def forward(model: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden units and log-probabilities of the classes."""
+def forward(model: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hidden units, logits of the classes less their greatest, and their exponentials."""
     tables, out, bias = model
-    hidden = tables[0][around[:, 0]]
+    hidden = tables[0].take(around[:, 0], axis=0)
     for p in range(1, len(OFFSETS)):
-        hidden = hidden + tables[p][around[:, p]]
-    hidden = np.tanh(hidden)
-    logits = hidden @ out + bias
+        hidden += tables[p].take(around[:, p], axis=0)
+    np.tanh(hidden, out=hidden)
+    logits = hidden @ out
+    logits += bias
     logits -= logits.max(axis=1, keepdims=True)
-    return hidden, logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    return hidden, logits, np.exp(logits)
+
+
+def log_probabilities(model: list[np.ndarray], around: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Log-probability of each token's class given the words around it."""
+    _, logits, weights = forward(model, around)
+    return logits[np.arange(len(classes)), classes] - np.log(weights.sum(axis=1))
 
 
-def gradients(model: list[np.ndarray], around: np.ndarray, classes: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    """Mean loss; gradients by hidden input, output weights and bias."""
-    hidden, logp = forward(model, around)
+def gradients(model: list[np.ndarray], around: np.ndarray, classes: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the mean loss by hidden input, output weights and bias."""
+    hidden, _, error = forward(model, around)
     n = len(classes)
-    error = np.exp(logp)
+    error /= error.sum(axis=1, keepdims=True)
     error[np.arange(n), classes] -= 1.0
     error /= n
-    back = (error @ model[1].T) * (1.0 - hidden * hidden)
-    return -float(logp[np.arange(n), classes].mean()), [back, hidden.T @ error, error.sum(axis=0)]
+    back = error @ model[1].T
+    back *= 1.0 - hidden * hidden
+    return [back, hidden.T @ error, error.sum(axis=0)]
 
 
 class Trainer:
@@ -146,18 +170,24 @@ class Trainer:
         self.model = [m.copy() for m in model]
         self.seen = [np.full(model[0].shape[:2], 1e-6, np.float32), *[np.full_like(m, 1e-6) for m in model[1:]]]
 
-    def step(self, around: np.ndarray, classes: np.ndarray) -> float:
-        loss, (back, *rest) = gradients(self.model, around, classes)
-        for p in range(len(OFFSETS)):
-            order = np.argsort(around[:, p], kind="stable")
-            rows, first = np.unique(around[order, p], return_index=True)
-            total = np.add.reduceat(back[order], first, axis=0)
+    def step(self, line: np.ndarray, at: np.ndarray, classes: np.ndarray) -> None:
+        """One step over the tokens at these places of a line."""
+        back, *rest = gradients(self.model, np.stack([line[at + o] for o in OFFSETS], axis=1), classes)
+        padded = np.zeros((len(line) + 2 * SIDE, back.shape[1]), np.float32)
+        padded[at + SIDE] = back
+        # The line sorted by row serves all positions: only the gradients that meet a row are shifted.
+        order = np.argsort(line.astype(np.int16), kind="stable")
+        rows = line.take(order)
+        last = np.flatnonzero(np.concatenate([rows[1:] != rows[:-1], [True]]))
+        rows = rows[last]
+        for p, o in enumerate(OFFSETS):
+            upto = np.cumsum(padded.take(order - o + SIDE, axis=0), axis=0, dtype=np.float64)[last]
+            total = np.diff(upto, axis=0, prepend=0.0).astype(np.float32)
             self.seen[0][p, rows] += (total * total).mean(axis=1)
             self.model[0][p, rows] -= RATE * total / np.sqrt(self.seen[0][p, rows])[:, None]
         for i, g in enumerate(rest, 1):
             self.seen[i] += g * g
             self.model[i] -= RATE * g / np.sqrt(self.seen[i])
-        return loss
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
@@ -185,7 +215,16 @@ def lexicon(texts: DataFrame) -> Lexicon:
             yield out()
 
     counts = cut_lineage(texts.mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    model = Lexicon([(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(LISTED).collect()])
+    # How many words have about how many occurrences, on a grid of a few hundred steps; the list takes whole steps.
+    step = F.floor(F.log2("n") * 16).cast("int")
+    steps = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True)
+    least, listed = None, 0
+    for r in steps:
+        if (listed := listed + r["count"]) > LISTED:
+            break
+        least = r["step"]
+    rows = counts.where(step >= least).collect() if least is not None else []  # LISTED rows at most
+    model = Lexicon(sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda w: (-w[1], w[0])))
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(CLASSES, np.int64)
@@ -194,8 +233,10 @@ def lexicon(texts: DataFrame) -> Lexicon:
                 totals[model.class_of(word)] += n
         yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(totals)], ["class", "n"])
 
+    totals = [0] * CLASSES
     for r in counts.mapInArrow(classes, "class int, n bigint").groupBy("class").agg(F.sum("n").alias("n")).collect():
-        model.totals[r["class"]] = r["n"]
+        totals[r["class"]] = r["n"]
+    model.weigh(totals)
     return model
 
 
@@ -214,9 +255,9 @@ def trained(texts: DataFrame, words: Lexicon, rounds: int = 1) -> list[np.ndarra
             for _, split in _texts(batches, 0):
                 held += [lex.numbers(w)[:2] for w in split if w]
                 if held and sum(len(r) for r, _ in held) >= STEP:
-                    tokens += _steps(trainer, held, False)
+                    tokens += _steps(trainer, held)
             if held:
-                tokens += _steps(trainer, held, True)
+                tokens += _steps(trainer, held)
             if tokens:
                 flat = np.concatenate([m.ravel() for m in trainer.model])
                 flat = np.append(flat, np.zeros(-size % piece, np.float32)).reshape(-1, piece)
@@ -252,14 +293,15 @@ def trained(texts: DataFrame, words: Lexicon, rounds: int = 1) -> list[np.ndarra
     return model
 
 
-def _steps(trainer: Trainer, held: list[tuple[np.ndarray, np.ndarray]], last: bool) -> int:
-    """Learn from the held texts in steps of ``STEP`` tokens in a fixed shuffled order; empties ``held``."""
-    around, classes = windows([r for r, _ in held]), np.concatenate([c for _, c in held])
+def _steps(trainer: Trainer, held: list[tuple[np.ndarray, np.ndarray]]) -> int:
+    """Learn from the held texts in steps of ``STEP`` tokens; empties ``held``."""
+    line, at = laid([r for r, _ in held])
+    classes = np.concatenate([c for _, c in held])
     held.clear()
-    order = np.random.default_rng(len(classes)).permutation(len(classes))
-    for at in range(0, len(order), STEP):
-        chosen = order[at:at + STEP]
-        trainer.step(around[chosen], classes[chosen])
+    for first in range(0, len(at), STEP):
+        some = at[first:first + STEP]
+        low, high = some[0] - SIDE, some[-1] + SIDE + 1
+        trainer.step(line[low:high], some - low, classes[first:first + STEP])
     return len(classes)
 
 
@@ -280,8 +322,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds:
             each = np.empty(len(rows))
             for at in range(0, len(rows), STEP):
                 some = slice(at, at + STEP)
-                _, logp = forward(model, around[some])
-                each[some] = logp[np.arange(len(logp)), classes[some]] + shares[some]
+                each[some] = log_probabilities(model, around[some], classes[some]) + shares[some]
             before = np.concatenate([[0.0], np.cumsum(each)])
             sums = before[cuts] - before[cuts - sizes]
             yield pa.RecordBatch.from_arrays([
