@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from popgauge.functions.hashing import hash62
+from popgauge.operators.joins import attach, running_total
 
 
 def union_results(parts: Mapping[str, DataFrame], label: str) -> DataFrame:
@@ -103,13 +104,16 @@ def task_grid(outcomes: DataFrame, conditions: DataFrame, *, smallest: int = 2,
 def sequence_pack(df: DataFrame, batch: str, order: str, tokens: str, block_size: int = 2048) -> DataFrame:
     """Token lists of a batch run together and cut into full blocks; the tail is dropped.
 
-    Each list is cut where block boundaries fall, so what moves is slices and no block ever holds
-    more than ``block_size`` tokens.
+    ``order`` is numeric and unique in its batch. Offsets come from running totals of the lengths alone, so no task
+    orders a whole batch and no window carries tokens. Each list is cut where block boundaries fall, so what moves is
+    slices and no block ever holds more than ``block_size`` tokens.
     """
-    length = F.size(tokens).cast("bigint")
-    upto = Window.partitionBy(batch).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.sum(length).over(upto) - length
-    placed = df.where(F.size(tokens) > 0).select(batch, tokens, before.alias("_from"), (before + length).alias("_to"))
+    some = df.where(F.size(tokens) > 0)
+    lengths = some.select(batch, order, F.size(tokens).cast("double").alias("_length"))
+    offsets = running_total(lengths, [batch], order, ["_length"]).select(
+        batch, order, (F.col("cum__length") - F.col("_length")).cast("bigint").alias("_from"))
+    placed = attach(some.select(batch, order, tokens), offsets, [batch, order], "inner").select(
+        batch, tokens, "_from", (F.col("_from") + F.size(tokens)).alias("_to"))
     first, last = F.floor(F.col("_from") / block_size), F.floor((F.col("_to") - 1) / block_size)
     cut = placed.withColumn("block", F.explode(F.sequence(first, last)))
     start = F.greatest(F.col("_from"), F.col("block") * block_size)
