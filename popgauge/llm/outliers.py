@@ -23,8 +23,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from popgauge.llm.common import BLANKS, native_words
-from popgauge.session import shared_path
+from popgauge.llm.common import BLANKS, native_words, stored
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -38,13 +37,6 @@ CHI_MEDIAN, CUTOFF = 4.351, 25.745
 GRID = 50
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: the lineage ends, and the size is known."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _repeated(words: Column) -> Column:
     """Words inside three-word windows that occur twice or more, the first occurrence included."""
     hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(3)]))

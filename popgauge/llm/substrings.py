@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popgauge.llm.common import binary, slices
+from popgauge.llm.common import binary, slices, stored
 from popgauge.session import cut_lineage
 
 #: Words of an anchor (a power of two), and occurrences from which an anchor counts as very frequent.
@@ -315,18 +315,18 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     context = docs.sparkSession.sparkContext
     keyed = _keyed(docs, doc_id, text)
     texts = keyed.select("row", "text")
-    none = context.broadcast(np.zeros(0, np.uint64))
-    met = cut_lineage(_pieces(texts, window, none).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    every = stored(_pieces(texts, window, context.broadcast(np.zeros(0, np.uint64))), "substring-pieces")
+    met = cut_lineage(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     total = met.agg(F.sum("n")).first()[0] or 0
     most = max(FREQUENT, total >> 20)
     # Not more than total / most, that is 2**20, anchors can have over ``most`` of ``total`` occurrences.
     hot = np.sort(np.array([r["anchor"] for r in met.where(F.col("n") > most).select("anchor").collect()], np.int64).view(np.uint64))
-    frequent = context.broadcast(hot)
-    met = met.where(F.col("n") <= most).select("anchor")
+    pieces = every.join(met.where(F.col("n") <= most).select("anchor"), "anchor")
     if len(hot):
-        alone = _pieces(texts, window, frequent, only=True).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        met = met.unionByName(alone.select("anchor"))
-    pieces = cut_lineage(_pieces(texts, window, frequent).join(met, "anchor"))
+        alone = stored(_pieces(texts, window, context.broadcast(hot), only=True), "substring-windows")
+        twice = alone.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        pieces = pieces.unionByName(alone.join(twice.select("anchor"), "anchor"))
+    pieces = cut_lineage(pieces)
     packed = _packed(keyed)
     found = _judged(_references(pieces, packed, window), window)
     by_row = pieces.join(found, ["anchor", "piece"]).select("row", F.shiftright("place", 8).alias("start"), "repeats").distinct() \
