@@ -51,7 +51,7 @@ class _Numbers(dict):
     """word -> XXH64; forgets when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 900_000:
             self.clear()
         self[word] = number = xxhash.xxh64_intdigest(word)
         return number
