@@ -41,7 +41,30 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(packing.token_lengths(docs, TOKENIZER), docs.count())
 
 
-@query("op4_weighted_hash_tree")
+OP4_SQL = """
+WITH crc AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS t
+  FROM range(256) r(i)),
+d AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size,
+    xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS text_crc32
+  FROM documents, crc),
+u AS (
+  SELECT DISTINCT key, s, -ln((CAST('0x' || substr(md5(s || ':' || key), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE) AS draw
+  FROM d, range(41) r(s)),
+p AS (SELECT key, arg_min(s, draw) FILTER (s < 40) AS shard, arg_min(s, draw) AS grown_shard FROM u GROUP BY key),
+b AS (
+  SELECT *, CAST('0x' || substr(md5('slot:' || key), 1, 12) AS BIGINT) % (SELECT CAST(ceil(count(*) / 800000) AS BIGINT) + 1 FROM documents) AS bucket
+  FROM d JOIN p USING (key))
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard,
+  CAST(shard // 20 AS INTEGER) AS region, CAST(shard // 5 AS INTEGER) AS rack
+FROM b
+"""
+
+
+@query("op4_weighted_hash_tree", OP4_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.place(table(spark, folder, "documents"), 40)
     return placed.select(
