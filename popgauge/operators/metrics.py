@@ -68,10 +68,26 @@ def worst_constant(truth: Column, w: Column) -> Column:
 
 
 def quantile(value: Column | str, share: float = 0.975) -> Column:
-    """Aggregate: linearly interpolated quantile."""
+    """Aggregate: linearly interpolated quantile. One task holds the distinct values of a group: for replicates
+    and other groups whose size is fixed; ``quantiles_by`` takes groups of any size."""
     return F.percentile(value, F.lit(share))
 
 
+def quantiles_by(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(keys.., q0, q1, ..): linearly interpolated quantiles of each group, exact, from running counts of its
+    distinct values; no task holds a whole group."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    curve = running_total(counted, keys, value, ["_n"])
+
+    def at(share: float) -> Column:
+        place = F.lit(share) * (F.col("tot__n") - 1)
+        low, high = (F.min(F.when(F.col("cum__n") > end, F.col(value))) for end in (F.floor(place), F.ceil(place)))
+        part = F.max(place - F.floor(place))
+        return low + (high - low) * part
+
+    return curve.groupBy(*keys).agg(*[at(s).alias(f"q{i}") for i, s in enumerate(shares)])
+
+
 def weighted_corr(df: DataFrame, keys: Sequence[str], x: str, y: str, w: str, *,
                   bounded_keys: bool = False) -> DataFrame:
     """Weighted Pearson correlation per group; 0 when either side is constant.
@@ -129,14 +145,14 @@ def ks_weighted(df: DataFrame, keys: Sequence[str], value: str, side: str, weigh
 
 def scott_bandwidth(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
     """Scott's rule per group: 1.059 A n^(-1/5), A = min(sd, IQR / 1.349), from unweighted spread."""
-    quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
     stats = df.groupBy(*keys).agg(
-        F.stddev_samp(value).alias("_sd"), quartiles.alias("_q"), F.count(value).alias("_n"),
+        F.stddev_samp(value).alias("_sd"), F.count(value).alias("_n"),
         F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum(weight).alias("_total"),
     )
-    iqr = (F.element_at("_q", 2) - F.element_at("_q", 1)) / F.lit(1.349)
+    stats = attach(stats, quantiles_by(df, keys, value, (0.25, 0.75)), keys)
+    iqr = (F.col("q1") - F.col("q0")) / F.lit(1.349)
     spread = F.when(iqr > 0, F.least("_sd", iqr)).otherwise(F.col("_sd"))
-    return stats.withColumn("bw", F.lit(1.059) * spread * F.pow(F.col("_n"), F.lit(-0.2))).drop("_q", "_sd", "_n")
+    return stats.withColumn("bw", F.lit(1.059) * spread * F.pow(F.col("_n"), F.lit(-0.2))).drop("q0", "q1", "_sd", "_n")
 
 
 def kde_weighted(df: DataFrame, keys: Sequence[str], value: str, weight: str, points: int = 64,

@@ -206,7 +206,7 @@ def corr_by_dim(spark, folder):
 @probe("quantile_975", f"""WITH {S.SURVEY}
 SELECT ptype, round(quantile_cont(spend, 0.975), 6) AS q975 FROM survey GROUP BY 1""")
 def quantile_975(spark, folder):
-    return S.survey(spark, folder, "ptype").groupBy("ptype").agg(r6(M.quantile("spend")).alias("q975"))
+    return M.quantiles_by(S.survey(spark, folder, "ptype"), ["ptype"], "spend", [0.975]).select("ptype", r6("q0").alias("q975"))
 
 
 @probe("task_size_hd", f"""WITH {S.SURVEY}, {S.cells_sql()}
