@@ -37,7 +37,8 @@ class Encoder:
     the ids of a text are those of its chunks in a row."""
 
     CUT = re.compile(r" (?=\S)")
-    MOST = 1_000_000
+    #: Chunks remembered, and chunks encoded at once.
+    MOST, AT_ONCE = 600_000, 4_096
     _shared: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
@@ -45,6 +46,7 @@ class Encoder:
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.width = self.kind.itemsize
         self.known: dict[str, bytes] = {}
+        self.met_again: set[str] = set()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -54,26 +56,33 @@ class Encoder:
         return cls._shared[path]
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        kind = "H" if self.width == 2 else "I"
-        return [array(kind, e.ids).tobytes() for e in found]
+        kind, out = "H" if self.width == 2 else "I", []
+        for at in range(0, len(chunks), self.AT_ONCE):
+            found = self.tokenizer.encode_batch_fast(chunks[at:at + self.AT_ONCE], add_special_tokens=False)
+            out += [array(kind, e.ids).tobytes() for e in found]
+        return out
+
+    def _learn(self, split: list[list[str]]) -> None:
+        """Encode the chunks that are not known. When too many are, only those that were met again stay."""
+        chunks = set().union(*split)
+        new = chunks.difference(self.known)
+        self.met_again |= chunks - new
+        if len(self.known) + len(new) > self.MOST:
+            self.known = {c: self.known[c] for c in self.met_again}
+            self.met_again = set()
+        fresh = list(new)
+        self.known.update(zip(fresh, self._ids([" " + c for c in fresh])))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of ``width`` bytes."""
         split = [(t or b"").decode().split(" ") for t in texts]
-        new = set().union(*split).difference(self.known)
-        odd = {c for c in new if not c or c[0].isspace()}
+        odd = {c for c in set().union(*split).difference(self.known) if not c or c[0].isspace()}
         if odd:
             split = [
                 self.CUT.split(t.decode()) if t and not odd.isdisjoint(chunks[1:]) else chunks
                 for t, chunks in zip(texts, split)
             ]
-            new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > self.MOST:
-            self.known.clear()
-            new = set().union(*split)
-        fresh = list(new)
-        self.known.update(zip(fresh, self._ids([" " + c for c in fresh])))
+        self._learn(split)
         heads = self._ids([chunks[0] for chunks in split])
         get = self.known.__getitem__
         return [b"".join([head, *map(get, chunks[1:])]) for head, chunks in zip(heads, split)]
