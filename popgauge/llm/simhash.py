@@ -129,20 +129,23 @@ def _tally(lanes: int, a: str, b: str) -> tuple[Column, Column]:
 
 
 def _postings(nodes: DataFrame, lanes: int, keys: list[tuple[int, ...]]) -> DataFrame:
-    return nodes.select("node", "lanes", F.explode(_keys(lanes, keys)).alias("key"))
+    """``node, key``; the fingerprints stay behind, so that what is shuffled is narrow."""
+    return nodes.select("node", F.explode(_keys(lanes, keys)).alias("key"))
 
 
 def _expanded(postings: DataFrame) -> DataFrame:
-    """All pairs ``a < b`` (with lanes ``p``, ``q``) of postings known to be short."""
-    held = postings.groupBy("key").agg(F.collect_list(F.struct("node", "lanes")).alias("m"))
-    each = held.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.node < y.node")
-    return each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.lanes").alias("p"), F.col("y.lanes").alias("q"))
+    """All pairs ``a < b`` of postings known to be short."""
+    held = postings.groupBy("key").agg(F.collect_list("node").alias("m"))
+    each = held.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b"))
+    return each.where("a < b")
 
 
-def _filtered(pairs: DataFrame, lanes: int, matches: int, most_bits: int) -> DataFrame:
+def _filtered(pairs: DataFrame, nodes: DataFrame, lanes: int, matches: int, most_bits: int) -> DataFrame:
     """Distinct pairs that reach the guaranteed matches and differ in at most ``most_bits`` bits."""
+    side = lambda name, print_: nodes.select(F.col("node").alias(name), F.col("lanes").alias(print_))
+    both = pairs.distinct().join(side("a", "p"), "a").join(side("b", "q"), "b")
     equal, differing = _tally(lanes, "p", "q")
-    return pairs.where((equal >= matches) & (differing <= most_bits)).select("a", "b").distinct()
+    return both.where((equal >= matches) & (differing <= most_bits)).select("a", "b")
 
 
 def _lengths(postings: DataFrame) -> DataFrame:
@@ -157,7 +160,7 @@ def linked(prints: DataFrame, key_bytes: int = 4) -> DataFrame:
     nodes = cut_lineage(prints.select(F.col("lanes")[0].alias("node")).distinct()).withColumn("lanes", F.array("node"))
     postings = _postings(nodes, 1, cover(8, matches, key_bytes))
     short = postings.join(_lengths(postings).where(F.col("n").between(2, EXPAND)).select("key"), "key")
-    links = _filtered(_expanded(short), 1, matches, max_bits)
+    links = _filtered(_expanded(short), nodes, 1, matches, max_bits)
     crowded = postings.join(_lengths(postings).where(F.col("n") > EXPAND).select("key"), "key").select("node").distinct()
     one_away = F.expr("concat(array(node), transform(sequence(0, 63), i -> node ^ shiftleft(1L, i)))")
     balls = crowded.select("node", F.explode(one_away).alias("centre"))
@@ -206,7 +209,7 @@ def near_groups(
     postings = _postings(nodes, lanes, keys)
     lengths = cut_lineage(_lengths(postings).where("n > 1"))
     met = postings.join(lengths, "key")
-    short = _filtered(_expanded(met.where(F.col("n") <= EXPAND)), lanes, matches, most_bits)
+    short = _filtered(_expanded(met.where(F.col("n") <= EXPAND)), nodes, lanes, matches, most_bits)
     sets = _shingle_sets(known, words)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -222,7 +225,7 @@ def near_groups(
         return cut_lineage(both.where(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b"))
 
     links = verified(short)
-    crowd = cut_lineage(met.where(F.col("n") > EXPAND).select("key", "node", "lanes"))
+    crowd = cut_lineage(met.where(F.col("n") > EXPAND).select("key", "node"))
     leaders = 1
     while crowd.take(1):
         length = _lengths(crowd)
@@ -230,14 +233,13 @@ def near_groups(
         long = cut_lineage(crowd.join(length.where(F.col("n") > EXPAND), "key"))
         weight = long.groupBy("node").agg(F.sum("n").alias("w"))
         lead = long.join(weight, "node").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("part")).agg(
-            F.max(F.struct("w", "node", "lanes")).alias("lead")).select("key", "lead.node", "lead.lanes")
+            F.max(F.struct("w", "node")).alias("lead")).select("key", "lead.node")
         lead = cut_lineage(lead)
-        led = long.join(lead.select("key", F.col("node").alias("a"), F.col("lanes").alias("p")), "key").where("a != node").select(
-            "a", F.col("node").alias("b"), "p", F.col("lanes").alias("q"))
-        found = verified(_filtered(_expanded(ripe).unionByName(led), lanes, matches, most_bits))
+        led = long.join(lead.select("key", F.col("node").alias("a")), "key").where("a != node").select("a", F.col("node").alias("b"))
+        found = verified(_filtered(_expanded(ripe).unionByName(led), nodes, lanes, matches, most_bits))
         links = links.unionByName(found)
         gone = found.join(lead.select(F.col("node").alias("a")).distinct(), "a").select(F.col("b").alias("node")).distinct()
-        crowd = cut_lineage(long.select("key", "node", "lanes").join(gone, "node", "left_anti").join(
+        crowd = cut_lineage(long.select("key", "node").join(gone, "node", "left_anti").join(
             lead.select("key", "node"), ["key", "node"], "left_anti"))
         leaders *= 2
     roots = components(links)
