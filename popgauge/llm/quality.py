@@ -204,9 +204,7 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents, all columns kept, whose score reaches the threshold."""
-    model = fit(cut_lineage(document_statistics(docs.join(
-        labels.where("quality IS NOT NULL").select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_semi"), doc_id, text)),
-        labels, **options)
+    model = fit(document_statistics(docs, doc_id, text), labels, **options)
     at = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
