@@ -71,7 +71,7 @@ def token_lengths(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     frame = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder(tokenizer)
         for batch in batches:
             for part in slices(batch):
                 sizes = [len(ids) // encoder.width + 1 for ids in encoder.encode(binary(part.column(1)))]

@@ -38,8 +38,7 @@ class Encoder:
 
     CUT = re.compile(r" (?=\S)")
     #: Chunks remembered, and chunks encoded at once.
-    MOST, AT_ONCE = 600_000, 4_096
-    _shared: dict[str, Encoder] = {}
+    MOST, AT_ONCE = 400_000, 4_096
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -48,13 +47,6 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.met_again: set[str] = set()
 
-    @classmethod
-    def of(cls, path: str) -> Encoder:
-        """One encoder for all tasks of a Python worker."""
-        if path not in cls._shared:
-            cls._shared[path] = cls(path)
-        return cls._shared[path]
-
     def _ids(self, chunks: list[str]) -> list[bytes]:
         kind, out = "H" if self.width == 2 else "I", []
         for at in range(0, len(chunks), self.AT_ONCE):
@@ -158,7 +150,7 @@ def write_sequences(
         "tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer = Encoder.of(tokenizer), None
+        encoder, writer = Encoder(tokenizer), None
         end = np.array([end_id], encoder.kind)
         number = TaskContext.get().partitionId()
         files, root = pafs.FileSystem.from_uri(folder)

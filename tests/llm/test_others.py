@@ -74,10 +74,13 @@ def test_packed_covers_every_token(spark):
 
 # Token files
 
+ENCODER = tokens.Encoder(TOKENIZER)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet="ab1.,'\n\t   é<|endoftext|>", max_size=40), max_size=6))
 def test_chunked_encoding_equals_whole(texts):
-    encoder = tokens.Encoder.of(TOKENIZER)
+    encoder = ENCODER
     got = [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode([t.encode() for t in texts])]
     assert got == [ids_of(t) for t in texts]
 
