@@ -97,6 +97,34 @@ def test_one_of_each_near_group(spark, monkeypatch, expand):
     assert {500, 501, 502} & set(ids) and docs.columns == list(kept[0].asDict())
 
 
+def near_by_brute_force(rows):
+    sets = [set(simhash.shingles(t.encode(), 5)) for _, t in rows]
+    return classes(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+
+
+@pytest.mark.parametrize("worth", [1_000_000, 0])
+def test_large_groups_of_near_copies_keep_every_link(spark, monkeypatch, worth):
+    """Copies of one text with a few edits each, that are similar to some of the others only, and chains a-b-c."""
+    monkeypatch.setattr(simhash, "WORTH", worth)
+    r = random.Random(11)
+    texts = []
+    for g, edits in enumerate((1, 2, 3)):
+        base = [f"g{g}v{i}" for i in range(100)]
+        for _ in range(150):
+            words = list(base)
+            for at in r.sample(range(100), r.randint(1, edits)):
+                words[at] = f"e{r.random()}"
+            texts.append(words)
+    for g in range(40):  # each step of a chain replaces the next words
+        words = [f"c{g}v{i}" for i in range(100)]
+        for step in range(4):
+            words = [f"c{g}s{step}v{i}" if 6 * step <= i < 6 * step + 6 else w for i, w in enumerate(words)]
+            texts.append(words)
+    r.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert dict((x["doc_id"], x["group_id"]) for x in simhash.near_groups(frame(spark, rows)).collect()) == dict(enumerate(near_by_brute_force(rows)))
+
+
 def test_empty_corpus_of_fingerprints(spark):
     none = frame(spark, [])
     assert simhash.fingerprint_classes(none).count() == 0 and simhash.one_of_each(none).count() == 0
