@@ -125,6 +125,21 @@ def test_large_groups_of_near_copies_keep_every_link(spark, monkeypatch, worth):
     assert dict((x["doc_id"], x["group_id"]) for x in simhash.near_groups(frame(spark, rows)).collect()) == dict(enumerate(near_by_brute_force(rows)))
 
 
+def test_truncated_and_extended_copies_are_found(spark):
+    """At a similarity of 0.8 to 0.9, by words appended, cut off or edited, from few words to many."""
+    r = random.Random(12)
+    rows = []
+    for n in (12, 60, 200, 600):
+        for k in range(60):
+            base = [f"w{r.random()}" for _ in range(n)]
+            more = int((n - 4) * (0.25, 0.17, 0.11)[k % 3])
+            copy = base + [f"x{r.random()}" for _ in range(more)] if k % 2 else base[:n - int((n - 4) * (0.2, 0.15, 0.1)[k % 3])]
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    want = near_by_brute_force(rows)
+    assert sum(w == i - 1 for i, w in enumerate(want)) == 240
+    assert dict((x["doc_id"], x["group_id"]) for x in simhash.near_groups(frame(spark, rows)).collect()) == dict(enumerate(want))
+
+
 def test_empty_corpus_of_fingerprints(spark):
     none = frame(spark, [])
     assert simhash.fingerprint_classes(none).count() == 0 and simhash.one_of_each(none).count() == 0
