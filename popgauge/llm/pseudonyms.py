@@ -9,9 +9,10 @@ values keep equal pseudonyms everywhere and different values different ones. Wha
     telephone        7 to 15 digits: the last ten (or all) are permuted, a country code stays
     IPv4 address     four octets
     US social number area, group and serial within their valid ranges
-    date             ISO, or with slashes year or day first: a day within 1800-2199
+    date             ISO, or with slashes year or day first: a day within 1800-2199; with slashes month first where it
+                     is no date with the day first: permuted among the dates that only this layout can write
     e-mail           letters and digits of the local part, each within its kind; the domain stays
-    hexadecimal key  32 to 64 digits, permuted as hexadecimal
+    hexadecimal key  32 to 64 digits, permuted as hexadecimal in their case; with both cases, each within its kind
 
 Defined results: NULL texts stay NULL, texts without a valid value stay byte for byte; a value that repeats is
 replaced each time; NULL ids, repeated rows and empty tables need no care, as every row stands alone; other columns
@@ -28,7 +29,7 @@ ROUNDS = 8
 STEP, SERVED = 6, 32
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,8}+"
-HEX = r"(?<![0-9A-Za-z])(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,64}+(?![0-9A-Za-z])"
+HEX = r"(?<![0-9A-Za-z])(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,64}+(?![0-9A-Za-z])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[/-][0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
@@ -41,6 +42,8 @@ ANY = "|".join((EMAIL, HEX, IP, DATE, SOCIAL, PHONE, CARD))
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Proleptic Gregorian days of 400 years, 189 * 773.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
+#: Of these, the days after the twelfth of a month, 9 * 9833, and their mean number in a month.
+LATE_DAYS, LATE_MEAN = (9, 9833), 88_497 / 4_800
 
 
 def _let(value: Column, then) -> Column:
@@ -156,7 +159,28 @@ def _date(found: Column, key: str) -> Column:
     def write(n: Column) -> Column:
         value = F.date_add(F.lit(FIRST_DAY).cast("date"), (n[0] * two + n[1]).cast("int"))
         return F.when(iso, F.date_format(value, "yyyy-MM-dd")).when(slashes, F.date_format(value, "yyyy/MM/dd")).otherwise(F.date_format(value, "dd/MM/yyyy"))
-    return F.when(number.between(0, one * two - 1), _let(new, write)).otherwise(found)
+    return F.when(number.between(0, one * two - 1), _let(new, write)).when(~iso & ~slashes, _month_first(found, key)).otherwise(found)
+
+
+def _month_first(found: Column, key: str) -> Column:
+    """MM/dd/yyyy of a day after the twelfth, permuted among such days; other texts stay."""
+    first = F.lit(FIRST_DAY).cast("date")
+    parts = F.split(found, "/")
+    stamp = F.try_to_timestamp(F.concat_ws("-", parts[2], parts[0], parts[1]), F.lit("yyyy-MM-dd")).cast("date")
+    months = ((F.year(stamp) - 1800) * 12 + F.month(stamp)).cast("bigint")
+    number = F.date_diff(stamp, first).cast("bigint") - months * 12
+    one, two = LATE_DAYS
+    new = feistel(F.array(F.floor(number / two), number % two), F.array(F.lit(one).cast("bigint"), F.lit(two).cast("bigint")), "month first", key)
+    begins = lambda m: F.add_months(first, m)
+    before = lambda m: F.date_diff(begins(m), first) - m * 12
+
+    def write(n: Column) -> Column:
+        index = (n[0] * two + n[1]).cast("int")
+        # The mean gives the month up to one.
+        guess = F.floor(index / F.lit(LATE_MEAN)).cast("int")
+        month = lambda i: F.array_max(F.filter(F.sequence(F.greatest(guess - 1, F.lit(0)), guess + 1), lambda m: before(m) <= i))
+        return _let(month(index), lambda m: F.date_format(F.date_add(begins(m), index - before(m) + 12), "MM/dd/yyyy"))
+    return F.when((F.dayofmonth(stamp) > 12) & F.year(stamp).between(1800, 2199), _let(new, write)).otherwise(found)
 
 
 def _characters(text: Column, alphabets: list[str], tweak: str, key: str) -> Column:
@@ -195,6 +219,8 @@ def pseudonym(found: Column, key: str) -> Column:
         F.when(found.contains("@"), _email(found, key))
         .when(whole(r"[0-9]{13,19}|[0-9]{4}([ -])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{6}\1[0-9]{5})"), _card(found, key))
         .when(whole("[0-9a-f]{32,64}"), _characters(found, ["0123456789abcdef"], "hex", key))
+        .when(whole("[0-9A-F]{32,64}"), _characters(found, ["0123456789ABCDEF"], "hex", key))
+        .when(whole("[0-9A-Fa-f]{32,64}"), _characters(found, ["0123456789", "abcdef", "ABCDEF"], "hex", key))
         .when(whole(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"), _ip(found, key))
         .when(whole("[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}"), _date(found, key))
         .when(whole("[0-9]{3}-[0-9]{2}-[0-9]{4}"), _social(found, key))

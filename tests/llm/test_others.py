@@ -170,6 +170,22 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert changed(spark, texts)[0] == out and changed(spark, texts, "other")[0] != out
 
 
+def test_pseudonyms_of_capital_keys_and_month_first_dates(spark):
+    key = "e03422dad6b454724135a384f69ba12c7de6c8f4"
+    (out, *_), n = changed(spark, [f'TOKEN = "{key.upper()}" token = "{key}" {key.upper()[:20] + key[20:]}'])
+    upper, lower, mixed = re.fullmatch(r'TOKEN = "([0-9A-F]{40})" token = "([0-9a-f]{40})" ([0-9A-F]{20}[0-9a-f]{20})', out).groups()
+    assert n == 3 and upper.lower() == lower != key and mixed.lower() != key
+    days = np.arange(np.datetime64("1800-01-01"), np.datetime64("2200-01-01")).astype(str)
+    late = [f"{d[5:7]}/{d[8:]}/{d[:4]}" for d in days if int(d[8:]) > 12]
+    assert len(late) == 88_497
+    some = sorted({*late[:60], *late[::149], *late[-60:]})
+    written = changed(spark, some)[0]
+    assert len(set(written)) == len(some) and set(written) <= set(late)
+    out, n = changed(spark, ["born 03/25/1990", "03/04/1990", "25/03/1990", "02/30/1990 13/13/1990 03/25/1700"])
+    assert n == 3 and out[0] != "born 03/25/1990" and out[3] == "02/30/1990 13/13/1990 03/25/1700"
+    assert re.fullmatch(r"born (0[1-9]|1[0-2])/(1[3-9]|2\d|3[01])/\d{4}", out[0])
+
+
 def test_invalid_values_and_other_text_stay(spark):
     texts = ["4111111111111112", "999.1.1.1 and 1.2.3", "2023-02-29", "666-45-6789 000-12-3456", "Version 2.0, 12345, 3.14", "", None, "a@b", "x" * 100_000, "\U0001F600 é"]
     assert changed(spark, texts) == (texts, 0)
