@@ -35,7 +35,7 @@ from popgauge.session import cut_lineage
 
 #: Frequent words that are classes, classes in all, words with an input vector, hidden units, window on each side.
 FREQUENT, CLASSES, VOCABULARY, HIDDEN, SIDE = 40, 64, 4_096, 16, 2
-#: Words with an input vector of their own, and words whose counts are kept one by one.
+#: Words with an input vector of their own, and words whose counts are broadcast; the others' counts stay distributed.
 OWN, LISTED = 2_048, 32_768
 OFFSETS = (*range(-SIDE, 0), *range(1, SIDE + 1))
 STEP, RATE = 8_192, 0.25
@@ -76,7 +76,7 @@ class Lexicon(dict):
         # Row 0 is the edge of a text; words without a row of their own share one by hash.
         number = xxhash.xxh64_intdigest(word, 7)
         self.classes[place] = cls = FREQUENT + number % (CLASSES - FREQUENT)
-        if found is None:  # a word outside the list counts once
+        if found is None:  # outside the list: ``scored`` adds the logarithm of its count
             self.rows[place], self.shares[place] = 1 + OWN + (number >> 32) % (VOCABULARY - OWN), self.rare[cls]
         else:
             at, n = found
@@ -198,7 +198,7 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
 
 def lexicon(texts: DataFrame) -> Lexicon:
     """Counts of all words of ``texts`` (``text``), summed by Spark; only the most frequent words and the totals of the
-    classes come to the driver."""
+    classes come to the driver. ``unlisted`` holds the other words' hashes and counts above one as a table."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
@@ -226,6 +226,9 @@ def lexicon(texts: DataFrame) -> Lexicon:
     rows = counts.where(step >= least).collect() if least is not None else []  # LISTED rows at most
     model = Lexicon(sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda w: (-w[1], w[0])))
 
+    rest = counts if least is None else counts.where(step < least)
+    model.unlisted = rest.where("n > 1").select(F.xxhash64("word").alias("word"), "n")
+
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(CLASSES, np.int64)
         for batch in batches:
@@ -325,9 +328,20 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds:
                 each[some] = log_probabilities(model, around[some], classes[some]) + shares[some]
             before = np.concatenate([[0.0], np.cumsum(each)])
             sums = before[cuts] - before[cuts - sizes]
+            # Spark's seed, so that the hashes meet those of ``unlisted``.
+            others = [np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in one if t not in lex.listed), np.uint64).view(np.int64) for one in split]
             yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()),
-                pa.array([s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist())], pa.float64()),
-            ], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return frame.mapInArrow(score, f"doc_id {dict(frame.dtypes)['doc_id']}, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
+                part.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(others, pa.list_(pa.int64())),
+            ], ["doc_id", "n_tokens", "log_likelihood", "others"])
+
+    rows = cut_lineage(frame.mapInArrow(
+        score, f"doc_id {dict(frame.dtypes)['doc_id']}, n_tokens bigint, log_likelihood double, others array<bigint>"))
+    # Numbers of stored rows: ids may repeat or be NULL.
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    tallies = rows.select("row", F.explode("others").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
+    counts = words.unlisted.groupBy("word").agg(F.sum("n").alias("n"))
+    more = tallies.join(counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
+    total = F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))
+    return rows.drop("others").join(more, "row", "left").select(
+        "doc_id", "n_tokens", total.alias("log_likelihood"),
+        F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"))

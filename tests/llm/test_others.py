@@ -334,6 +334,23 @@ def test_scores_sum_conditional_log_probabilities(spark):
     assert pseudolikelihood.scored(frame(spark, [])).count() == 0
 
 
+def test_words_outside_the_list_have_their_share(spark, monkeypatch):
+    """Of documents of one word the context is the same, so within a class scores differ by the counts' logarithms."""
+    monkeypatch.setattr(pseudolikelihood, "LISTED", 45)
+    rows, counts = [], Counter({f"v{i}": 60 + i for i in range(40)} | {f"r{i}": 1 + i % 30 for i in range(300)})
+    for word, n in counts.items():
+        rows += [(len(rows) + k, word) for k in range(n)]
+    words = pseudolikelihood.lexicon(frame(spark, rows).select("text"))
+    assert len(words.listed) <= 45
+    found = {rows[r["doc_id"]][1]: r["log_likelihood"] for r in pseudolikelihood.scored(frame(spark, rows)).collect()}
+    by_class = defaultdict(list)
+    for word, n in counts.items():
+        by_class[words.class_of(word.encode())].append((found[word] - np.log(n), n))
+    assert all(np.ptp([base for base, _ in c]) < 1e-6 for c in by_class.values())
+    assert all(words.totals[c] == sum(n for _, n in members) for c, members in by_class.items())
+    assert np.isclose(sum(np.exp(v) for v in found.values()), 1, atol=0.05)
+
+
 def test_network_learns_context(spark):
     """Words that only their neighbours tell apart become likelier than by their frequency."""
     r = random.Random(6)
