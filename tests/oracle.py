@@ -19,7 +19,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(value):
-    if value is None or value is pd.NaT:
+    if value is None or value is pd.NaT or value is pd.NA:
         return "NULL"
     if isinstance(value, float):
         if math.isnan(value):
