@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popgauge.llm import decontaminate, outliers, packing, pseudolikelihood, pseudonyms, quality, sharding, simhash, substrings, tokens
+from popgauge.llm import archive, decontaminate, outliers, packing, pseudolikelihood, pseudonyms, quality, sharding, simhash, substrings, tokens
 from popgauge.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,22 @@ FROM w LEFT JOIN gone USING (doc_id)
 @query("op3_suffix_automata", OP3_SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.deduplicated(table(spark, folder, "documents")).drop("spans")
+
+
+OP12_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS size, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first_id FROM p WHERE size >= 100 GROUP BY digest)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (digest)
+"""
+
+
+@query("op12_content_archive", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    place = shared_path(spark, "web-archive")
+    archive.write_archive(pages, place)
+    return archive.records(spark, place, dict(pages.dtypes)["page_id"]).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
