@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popgauge.llm import archive, decontaminate, outliers, packing, pseudolikelihood, pseudonyms, quality, sharding, simhash, substrings, tokens
+from popgauge.llm import archive, decontaminate, outliers, packing, pseudolikelihood, pseudonyms, quality, runs, sharding, simhash, substrings, tokens
 from popgauge.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +181,56 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     archive.write_archive(pages, place)
     return archive.records(spark, place, dict(pages.dtypes)["page_id"]).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def planted(doc_id, words: list[bytes]) -> list[bytes]:
+    """The words with the contract's periodic tail: in a tenth of the documents, those after ``a`` repeat with period ``p``."""
+    if doc_id is None or (h := zlib.crc32(str(doc_id).encode())) % 10:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+OP11_SQL = r"""
+WITH crc AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS t
+  FROM range(256) r(i)),
+d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS h
+  FROM documents, crc),
+a AS (SELECT *, len(ws) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+w AS (SELECT k, doc_id, n, CASE WHEN a IS NULL THEN ws ELSE ws[1:a] || list_transform(range(a, n), lambda i: ws[a + (i - a) % p + 1]) END AS ws FROM p),
+e AS (SELECT k, n, unnest(range(n)) AS i, unnest(ws) AS word FROM w),
+m AS (SELECT x.k, x.i, y.i - x.i AS q FROM e x JOIN e y ON x.k = y.k AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT k, q, i, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS island FROM m),
+r AS (
+  SELECT k, min(i) AS start, count(*) + q AS length, q AS period FROM s GROUP BY k, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+u AS (SELECT k, start, length, min(period) AS period FROM r GROUP BY k, start, length),
+o AS (
+  SELECT k, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told FROM u GROUP BY k),
+b AS (
+  SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY k ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS place FROM u x) WHERE place = 1),
+gone AS (SELECT DISTINCT k, unnest(range(start + period, start + length)) AS i FROM u),
+kept AS (SELECT k, string_agg(word, ' ' ORDER BY i) AS text FROM e ANTI JOIN gone USING (k, i) GROUP BY k)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length,
+  CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM w LEFT JOIN o USING (k) LEFT JOIN b USING (k) LEFT JOIN kept USING (k)
+"""
+
+
+@query("op11_lcp_kruskal", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.runs(table(spark, folder, "documents"), rewrite=planted).withColumn("best", runs.greatest())
+    told = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(told, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit(""))).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("kept").cast("binary"), 256).alias("collapsed_sha256"),
+    )
