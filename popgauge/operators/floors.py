@@ -2,43 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from popgauge.functions.hashing import key_sum, normal, stream_uniform, text_number
+from popgauge.functions.hashing import key_sum, stream_uniform, text_number
+from popgauge.operators.draws import multinomial
 from popgauge.operators.metrics import quantile, weighted_mean
 from popgauge.operators.tabulate import normalise, scoped
 from popgauge.spec import AGGREGATE_DATASETS
 
 
-def bootstrap_errors(truth: DataFrame, *, replicates: int = 100, seed: int = 0) -> DataFrame:
-    """L1 between resampled and true distribution, per (task, condition, replicate).
+def resampled(truth: DataFrame, *, replicates: int = 100, seed: int = 0) -> DataFrame:
+    """(task_id, cond, total_weight, b, levels, counts, l1): the level counts of each replicate of each condition, and
+    their shares' distance to the true ones.
 
-    Resampling n respondents and counting their levels is a multinomial draw; its shares stray from p by
-    ``sqrt(p_k / n) (z_k - sqrt(p_k) sum_j sqrt(p_j) z_j)`` with independent normal z, the multinomial's covariance
-    exactly and its shape for all but a handful of respondents. A replicate so costs as much as there are levels, in
-    built-in expressions, and a draw depends on task, condition, level and replicate alone.
+    Resampling n respondents with chances proportional to weight and counting their levels is a multinomial draw of n
+    with the levels' shares, which is what is drawn, exactly: whole counts that sum to n, at a cost that depends on the
+    levels and the square root of n, never on the respondents. The draws are keyed by task, condition, level and
+    replicate. A condition is one record, as long as its question has levels; records are spread over all tasks.
     """
+    spark = truth.sparkSession
     shares = normalise(scoped(truth), ["task_id", "cond"])
     whole = Window.partitionBy("task_id", "cond")  # the levels of one question
+    keys = key_sum("task_id", text_number("cond"), text_number("level"))
     cells = shares.select(
-        "task_id", "cond", "p", F.sum("n").over(whole).alias("n"), F.sum("w").over(whole).alias("total_weight"),
-        key_sum("task_id", text_number("cond"), text_number("level")).alias("_keys"),
+        "task_id", "cond", "level", "p", F.sum("n").over(whole).alias("n"), F.sum("w").over(whole).alias("total_weight"),
+        F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda b: stream_uniform(keys, b + seed)).alias("u"),
     ).where((F.col("n") > 0) & (F.col("total_weight") > 0))
-    drawn = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select(
-        "task_id", "cond", "b", "n", "total_weight", "p",
-        normal(stream_uniform(F.col("_keys"), F.col("b") * 2 + seed), stream_uniform(F.col("_keys"), F.col("b") * 2 + seed + 1)).alias("z"),
-    )
-    held = drawn.groupBy("task_id", "cond", "b").agg(
-        F.collect_list(F.struct("p", "z")).alias("_levels"), F.sum(F.sqrt("p") * F.col("z")).alias("_common"),
-        F.first("n").alias("n"), F.first("total_weight").alias("total_weight"),
-    )
-    gaps = F.transform("_levels", lambda e: F.sqrt(e["p"] / F.col("n")) * F.abs(e["z"] - F.sqrt(e["p"]) * F.col("_common")))
-    return held.select(
-        "task_id", "cond", "total_weight", "b", F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x).alias("l1"),
-    )
+    records = cells.groupBy("task_id", "cond").agg(
+        F.array_sort(F.collect_list(F.struct("level", "p", "u"))).alias("cells"), F.first("n").alias("n"), F.first("total_weight").alias("total_weight"),
+    ).select("task_id", "cond", "total_weight", "n", F.col("cells.level").alias("levels"), F.col("cells.p").alias("p"), F.flatten("cells.u").alias("u"))
+    spread = records.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "task_id", "cond")
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                p = np.asarray(row.p, float)
+                counts = multinomial(int(row.n), p, np.asarray(row.u, float).reshape(len(p), replicates))
+                yield pd.DataFrame({
+                    "task_id": row.task_id, "cond": row.cond, "total_weight": row.total_weight, "b": np.arange(replicates, dtype=np.int32),
+                    "levels": [row.levels] * replicates, "counts": list(counts.T), "l1": np.abs(counts / row.n - p[:, None]).sum(axis=0),
+                })
+
+    return spread.mapInPandas(draw, "task_id int, cond string, total_weight double, b int, levels array<string>, counts array<bigint>, l1 double")
+
+
+def bootstrap_errors(truth: DataFrame, *, replicates: int = 100, seed: int = 0) -> DataFrame:
+    """L1 between resampled and true distribution: (task_id, cond, total_weight, b, l1)."""
+    return resampled(truth, replicates=replicates, seed=seed).select("task_id", "cond", "total_weight", "b", "l1")
 
 
 def bootstrap_floor(truth: DataFrame, tasks: DataFrame, *, replicates: int = 100, share: float = 0.975,

@@ -45,7 +45,7 @@ LONG = " UNION ALL ".join(
 
 
 @probe("build_tasks_scores", f"""WITH {CLEAN},
-long AS ({LONG}){S.ANSWERS[len(S.long_sql()):]}{S.FLOORS}
+long AS ({LONG}){S.ANSWERS[len(S.long_sql()):]}{S.floors_sql(8)}
 SELECT model, prompting, task_id, round(score, 6) AS score, round(worst, 6) AS worst, round(best, 6) AS best,
   round({S.bench_sql("score", "worst", "best")}, 6) AS bench FROM runs JOIN floors USING (task_id)""")
 def build_tasks_scores(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from popgauge import sources as IO
 from popgauge.operators import tabulate as T
-from popgauge.operators.floors import missing_floors
+from popgauge.operators.floors import bootstrap_floor, missing_floors
 from popgauge.operators.sampling import train_val_split
 from popgauge.probes import survey as S
 from popgauge.probes.registry import probe, r6, scratch, table, uniform_sql
+from popgauge.session import cut_lineage
+from popgauge.sources.floorstore import FloorStore, fingerprints
 from popgauge.spec import task_frame
 
 
@@ -155,10 +157,12 @@ def spec_table(spark, folder):
 @probe("best_err_store", f"""WITH {S.TRUTH}{S.FLOORS}
 SELECT task_id, round(best, 6) AS best_err, FALSE AS missing FROM floors UNION ALL SELECT unnest([101, 102, 103, 104]), -1, TRUE""")
 def floor_store(spark, folder):
-    path = scratch(spark, "floors")
-    IO.store_floors(S.floors_of(spark, S.low_cells(spark, folder)), path)
-    store = spark.read.parquet(path)
+    """A store filled by scoring: its second use finds every floor; the high-dimensional tasks are still missing."""
+    store, truth = FloorStore(spark, scratch(spark, "floors")), cut_lineage(S.truth_cells(spark, folder))
+    prints = fingerprints(truth, ["cond", "level"], ["w", "n"])
+    for _ in range(2):
+        floors = store.floors(prints, lambda ids: bootstrap_floor(truth.where(F.col("task_id").isin(ids)), task_frame(spark, [t for t in S.LOW if t.task_id in ids])))
     tasks = task_frame(spark, [*S.LOW, *S.HIGH]).select("task_id")
-    todo = missing_floors(tasks, store).withColumn("missing", F.lit(True))
-    known = tasks.join(store, "task_id", "left").join(todo, "task_id", "left")
+    todo = missing_floors(tasks, store.read()).withColumn("missing", F.lit(True))
+    known = tasks.join(floors, "task_id", "left").join(todo, "task_id", "left")
     return known.select("task_id", F.coalesce(r6("best_err"), F.lit(-1.0)).alias("best_err"), F.coalesce("missing", F.lit(False)).alias("missing"))

@@ -131,7 +131,7 @@ SELECT model, prompting, task_id, round(score, 6) AS score, round(worst, 6) AS w
   round({S.bench_sql("score", "worst", "best")}, 6) AS bench FROM hev JOIN hfloors USING (task_id)""")
 def eval_high(spark, folder):
     sums = S.high_cells(spark, folder)
-    runs = eval_high_dim(S.high_truth_of(sums), S.high_answers_of(sums), S.high_floors_of(sums))
+    runs = eval_high_dim(S.high_truth_of(sums), S.high_answers_of(sums), S.high_floors_of(spark, folder, sums))
     return runs.select(*RUN, "task_id", *[r6(c).alias(c) for c in ("score", "worst", "best", "bench")])
 
 

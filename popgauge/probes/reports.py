@@ -75,7 +75,7 @@ def by_prompting(spark, folder):
     guess = S.high_mean_of(sums).join(truth.select("task_id", "cell"), "task_id").select(
         F.lit("model_mean").alias("model"), F.lit("QA").alias("prompting"), "task_id", "cell", "q"
     )
-    baseline = eval_high_dim(truth, guess, S.high_floors_of(sums)).select(F.col("bench").alias("score"))
+    baseline = eval_high_dim(truth, guess, S.high_floors_of(spark, folder, sums)).select(F.col("bench").alias("score"))
     out = R.by_prompting(S.scores(spark, folder, sums).where(F.col("dim") > 1), baseline)
     return out.withColumns({"score": r6("score"), "baseline": r6("baseline")})
 

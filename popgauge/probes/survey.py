@@ -13,14 +13,13 @@ from pyspark.sql import functions as F
 
 from popgauge.functions.labels import cut, interval_scheme
 from popgauge.functions.recode import recode_map
-from popgauge.operators.cells import (
-    cell_sums, high_dim_floor, replicate_weights, replicated, share_positive,
-)
+from popgauge.operators.cells import bootstrap_cells, cell_sums, high_dim_floor, share_positive
 from popgauge.operators.floors import bootstrap_floor
 from popgauge.operators.tabulate import merge_cells, task_cells
 from popgauge.plans.scoring import eval_high_dim, eval_low_dim, score_table
 from popgauge.probes.registry import poisson_sql, table, text_sql, uniform_sql
-from popgauge.session import cut_lineage
+from popgauge.session import cut_lineage, shared_folder
+from popgauge.sources.floorstore import FloorStore, fingerprints
 from popgauge.spec import AGGREGATE_DATASETS, HighDimTask, LowDimTask, Subset, task_frame
 
 IDS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -150,8 +149,16 @@ def answers_of(cells: DataFrame) -> DataFrame:
     return merge_cells(cells.where(F.col("cond").isNotNull()), *RUN_COLUMNS, weight="mw")
 
 
+def floor_store(spark: SparkSession) -> FloorStore:
+    return FloorStore(spark, f"{shared_folder(spark)}/floor-store")
+
+
 def floors_of(spark: SparkSession, cells: DataFrame) -> DataFrame:
-    return bootstrap_floor(truth_of(cells), task_frame(spark, LOW))
+    """Floors of the store; those it lacks are drawn and added."""
+    truth = truth_of(cells)
+    return floor_store(spark).floors(
+        fingerprints(truth, ["cond", "level"], ["w", "n"], "low 100 0.975 0"),
+        lambda ids: bootstrap_floor(truth.where(F.col("task_id").isin(ids)), task_frame(spark, [t for t in LOW if t.task_id in ids])))
 
 
 def truth_cells(spark: SparkSession, folder: str, tasks: list[LowDimTask] = LOW) -> DataFrame:
@@ -160,9 +167,9 @@ def truth_cells(spark: SparkSession, folder: str, tasks: list[LowDimTask] = LOW)
 
 
 def high_cells(spark: SparkSession, folder: str, tasks: list[HighDimTask] = HIGH) -> DataFrame:
-    """Cells of all high-dimensional tasks by run with the weights of the bootstrap replicates, from one scan."""
-    rows, replicates = replicate_weights(survey(spark, folder, *CELL_COLUMNS, *RUN_COLUMNS), tasks, IDS)
-    return cut_lineage(cell_sums(rows, tasks, RUN_COLUMNS, extra={"mw": F.col("spend"), "one": F.lit(1.0), **replicates}))
+    """Cells of all high-dimensional tasks by run, from one scan."""
+    rows = survey(spark, folder, *CELL_COLUMNS, *RUN_COLUMNS)
+    return cut_lineage(cell_sums(rows, tasks, RUN_COLUMNS, extra={"mw": F.col("spend"), "one": F.lit(1.0)}))
 
 
 def high_truth_of(cells: DataFrame) -> DataFrame:
@@ -173,8 +180,12 @@ def high_answers_of(cells: DataFrame) -> DataFrame:
     return share_positive(cells, *RUN_COLUMNS, weight="mw", name="q").drop("w", "n")
 
 
-def high_floors_of(cells: DataFrame) -> DataFrame:
-    return high_dim_floor(replicated(cells))
+def high_floors_of(spark: SparkSession, folder: str, cells: DataFrame) -> DataFrame:
+    """Floors of the store; for the tasks it lacks the respondents are resampled in one more scan."""
+    truth = high_truth_of(cells).withColumn("cell", F.to_json("cell"))
+    return floor_store(spark).floors(
+        fingerprints(truth, ["cell"], ["w", "n", "p"], "high 10 0.975 0"),
+        lambda ids: high_dim_floor(bootstrap_cells(survey(spark, folder, *CELL_COLUMNS), [t for t in HIGH if t.task_id in ids], IDS)))
 
 
 def high_mean_of(cells: DataFrame) -> DataFrame:
@@ -183,10 +194,10 @@ def high_mean_of(cells: DataFrame) -> DataFrame:
 
 
 def scores(spark: SparkSession, folder: str, sums: DataFrame | None = None) -> DataFrame:
-    """The probe's score table: all models, promptings and tasks, from two scans."""
+    """The probe's score table: all models, promptings and tasks, from two scans and the floors of the store."""
     cells, sums = low_cells(spark, folder), sums or high_cells(spark, folder)
     low = eval_low_dim(truth_of(cells), answers_of(cells), floors_of(spark, cells))
-    high = eval_high_dim(high_truth_of(sums), high_answers_of(sums), high_floors_of(sums))
+    high = eval_high_dim(high_truth_of(sums), high_answers_of(sums), high_floors_of(spark, folder, sums))
     return score_table(task_frame(spark, [*LOW, *HIGH]), low, high)
 
 
@@ -265,15 +276,35 @@ errs AS (SELECT model, prompting, task_id, cond, CASE WHEN bool_or(told) THEN su
 runs AS (SELECT model, prompting, task_id, CASE WHEN count(l1) = count(*) THEN sum(l1 * tw) / sum(tw) END AS score, sum(uni * tw) / sum(tw) AS worst
   FROM errs JOIN conds USING (task_id, cond) GROUP BY ALL)"""
 
-_Z1, _Z2 = (uniform_sql("task_id", text_sql("cond"), text_sql("level"), stream=f"2 * b + {i}") for i in (0, 1))
 _COUNTS = ", ".join(str(t.task_id) for t in LOW if t.dataset in AGGREGATE_DATASETS) or "-1"
-FLOORS = f""",
-bz AS (SELECT reality.task_id, reality.cond, b, p, conds.n, tw, sqrt(-2.0::DOUBLE * ln({_Z1.replace("cond", "reality.cond").replace("task_id", "reality.task_id")})) * cos(2.0::DOUBLE * pi() * {_Z2.replace("cond", "reality.cond").replace("task_id", "reality.task_id")}) AS z
-  FROM reality JOIN conds USING (task_id, cond), generate_series(0, 99) g(b)),
-bs AS (SELECT *, sum(sqrt(p) * z) OVER (PARTITION BY task_id, cond, b) AS common FROM bz),
-bl AS (SELECT task_id, cond, b, sum(sqrt(p / n) * abs(z - sqrt(p) * common)) AS l1, any_value(tw) AS tw FROM bs GROUP BY ALL),
+
+
+def floors_sql(levels: int, counts: str = _COUNTS) -> str:
+    """The multinomial as a chain of binomial counts, one step a level; a count is the least k whose distribution function
+    reaches the uniform draw. ``levels``: the most that a question has."""
+    ctes = [f"""fl AS (SELECT reality.task_id, reality.cond, level, p, row_number() OVER q AS ord, count(*) OVER (PARTITION BY reality.task_id, reality.cond) AS k
+  FROM reality JOIN conds USING (task_id, cond) WHERE conds.n > 0 AND tw > 0 WINDOW q AS (PARTITION BY reality.task_id, reality.cond ORDER BY level)),
+fs0 AS (SELECT task_id, cond, b, CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS rest, 1.0::DOUBLE AS pr, 0.0::DOUBLE AS l1
+  FROM (SELECT DISTINCT task_id, cond FROM fl) JOIN conds USING (task_id, cond), generate_series(0, 99) g(b))"""]
+    u = uniform_sql("task_id", text_sql("cond"), text_sql("level"), stream="b")
+    for j in range(1, levels + 1):
+        ctes.append(f"""fx{j} AS (SELECT task_id, cond, b, n, rest, pr, l1, p, ord = k AS last, CASE WHEN pr > 0 THEN least(1.0::DOUBLE, p / pr) ELSE 0.0::DOUBLE END AS r, {u} AS u
+  FROM fs{j - 1} JOIN fl USING (task_id, cond) WHERE ord = {j}),
+fw{j} AS (SELECT task_id, cond, b, u, x, sum(exp(lgamma(rest + 1) - lgamma(x + 1) - lgamma(rest - x + 1) + x * ln(r) + (rest - x) * ln(1 - r))) OVER (PARTITION BY task_id, cond, b ORDER BY x) AS f
+  FROM (SELECT task_id, cond, b, u, rest, r, unnest(generate_series(CAST(greatest(0, floor(rest * r - 8 * sqrt(rest * r * (1 - r)) - 30)) AS BIGINT),
+    CAST(least(rest, ceil(rest * r + 8 * sqrt(rest * r * (1 - r)) + 30)) AS BIGINT))) AS x FROM fx{j} WHERE NOT last AND r > 0 AND r < 1 AND rest > 0)),
+fc{j} AS (SELECT task_id, cond, b, coalesce(min(x) FILTER (f >= u), max(x)) AS c FROM fw{j} GROUP BY ALL),
+fd{j} AS (SELECT fx{j}.*, CASE WHEN last OR r >= 1 THEN rest WHEN r <= 0 OR rest = 0 THEN 0 ELSE c END AS c FROM fx{j} LEFT JOIN fc{j} USING (task_id, cond, b)),
+fs{j} AS (SELECT task_id, cond, b, n, rest - c AS rest, pr - p AS pr, l1 + abs(c / n::DOUBLE - p) AS l1 FROM fd{j}),
+fe{j} AS (SELECT task_id, cond, b, l1 + abs(c / n::DOUBLE - p) AS l1 FROM fd{j} WHERE last)""")
+    told = " UNION ALL ".join(f"SELECT * FROM fe{j}" for j in range(1, levels + 1))
+    return ",\n" + ",\n".join(ctes) + f""",
+bl AS (SELECT e.task_id, e.cond, b, l1, tw FROM ({told}) e JOIN conds USING (task_id, cond)),
 bm AS (SELECT task_id, b, sum(l1 * tw) / sum(tw) AS l1 FROM bl GROUP BY ALL),
-floors AS (SELECT task_id, CASE WHEN task_id IN ({_COUNTS}) THEN 0.0::DOUBLE ELSE quantile_cont(l1, 0.975) END AS best FROM bm GROUP BY 1)"""
+floors AS (SELECT task_id, CASE WHEN task_id IN ({counts}) THEN 0.0::DOUBLE ELSE quantile_cont(l1, 0.975) END AS best FROM bm GROUP BY 1)"""
+
+
+FLOORS = floors_sql(5)
 
 
 def bench_sql(score: str, worst: str, best: str) -> str:
