@@ -8,6 +8,9 @@ whole-stage codegen, and expressible in any SQL engine. Two rows share a draw on
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,6 +82,18 @@ def stream_uniform(keys: Column, stream: int | Column = 0) -> Column:
     return (stream_hash(keys, stream).cast("double") + F.lit(0.5)) / F.lit(float(RANGE))
 
 
+def uniform_array(keys: np.ndarray, streams: Sequence[int]) -> np.ndarray:
+    """``stream_uniform`` of every key (rows) and stream (columns), in numpy; no product leaves 63 bits."""
+    a, b = keys.astype(np.int64) >> 31, keys.astype(np.int64) & (LANE - 1)
+    out = np.empty((len(keys), len(streams)))
+    for at, stream in enumerate(streams):
+        terms, drawn = stream_terms(int(stream)), []
+        for prime, (by_a, by_b, plus) in zip(PRIMES, (terms[:3], terms[3:])):
+            drawn.append(cubic((a * by_a % prime + b * by_b % prime + plus) % prime, prime))
+        out[:, at] = ((drawn[0] * PRIMES[1] + drawn[1]).astype(float) + 0.5) / float(RANGE)
+    return out
+
+
 def hash62(*keys: Column | str, stream: int | Column = 0) -> Column:
     """Integer in [0, RANGE) drawn from the keys."""
     return stream_hash(key_sum(*keys), stream)

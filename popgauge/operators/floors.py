@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from popgauge.functions.hashing import key_sum, stream_uniform, text_number
+from popgauge.functions.hashing import key_sum, text_number, uniform_array
 from popgauge.operators.draws import multinomial
 from popgauge.operators.metrics import quantile, weighted_mean
 from popgauge.operators.tabulate import normalise, scoped
@@ -28,21 +28,20 @@ def resampled(truth: DataFrame, *, replicates: int = 100, seed: int = 0) -> Data
     spark = truth.sparkSession
     shares = normalise(scoped(truth), ["task_id", "cond"])
     whole = Window.partitionBy("task_id", "cond")  # the levels of one question
-    keys = key_sum("task_id", text_number("cond"), text_number("level"))
     cells = shares.select(
         "task_id", "cond", "level", "p", F.sum("n").over(whole).alias("n"), F.sum("w").over(whole).alias("total_weight"),
-        F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda b: stream_uniform(keys, b + seed)).alias("u"),
+        key_sum("task_id", text_number("cond"), text_number("level")).alias("key"),
     ).where((F.col("n") > 0) & (F.col("total_weight") > 0))
     records = cells.groupBy("task_id", "cond").agg(
-        F.array_sort(F.collect_list(F.struct("level", "p", "u"))).alias("cells"), F.first("n").alias("n"), F.first("total_weight").alias("total_weight"),
-    ).select("task_id", "cond", "total_weight", "n", F.col("cells.level").alias("levels"), F.col("cells.p").alias("p"), F.flatten("cells.u").alias("u"))
+        F.array_sort(F.collect_list(F.struct("level", "p", "key"))).alias("cells"), F.first("n").alias("n"), F.first("total_weight").alias("total_weight"),
+    ).select("task_id", "cond", "total_weight", "n", F.col("cells.level").alias("levels"), F.col("cells.p").alias("p"), F.col("cells.key").alias("keys"))
     spread = records.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "task_id", "cond")
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 p = np.asarray(row.p, float)
-                counts = multinomial(int(row.n), p, np.asarray(row.u, float).reshape(len(p), replicates))
+                counts = multinomial(int(row.n), p, uniform_array(np.asarray(row.keys), range(seed, seed + replicates)))
                 yield pd.DataFrame({
                     "task_id": row.task_id, "cond": row.cond, "total_weight": row.total_weight, "b": np.arange(replicates, dtype=np.int32),
                     "levels": [row.levels] * replicates, "counts": list(counts.T), "l1": np.abs(counts / row.n - p[:, None]).sum(axis=0),
