@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popgauge.functions import recode as R
@@ -59,13 +56,12 @@ fd AS (SELECT *, CAST({u_sql(*IDS_SQL, stream=42)} % 5 AS INTEGER) AS fold FROM
 SELECT task_id, count(DISTINCT (cell, fold)) AS n_cells, round(sum(w), 3) AS w, round(sum(w * y) / sum(w), 6) AS share, TRUE AS near FROM fd GROUP BY 1"""
 
 
-def _against_share(spark, folder, predicted, by: list[str], column: str):
-    """Out-of-fold predictions of all tasks against what any calibrated estimate must give: they average to the
-    task's share of positives. Tolerance: 0.02 plus four standard errors of that share."""
+def _against_share(spark, folder, by: list[str], replicates: int):
+    """Out-of-fold predictions of all tasks, fitted together, against what any calibrated estimate must give: they average
+    to the task's share of positives. Tolerance: 0.02 plus four standard errors of that share."""
     df = S.survey(spark, folder, *S.CELL_COLUMNS)
-    parts = [predicted(df, t).select(F.lit(t.task_id).alias("task_id"), *by, "w", column) for t in S.HIGH]
-    means = reduce(DataFrame.unionByName, parts).groupBy("task_id", *by).agg(
-        F.count(F.lit(1)).alias("n_cells"), F.sum("w").alias("total"), (F.sum(F.col(column) * F.col("w")) / F.sum("w")).alias("mean"))
+    means = B.boosted(df, S.HIGH, S.IDS, replicates=replicates).groupBy("task_id", *by).agg(
+        F.count(F.lit(1)).alias("n_cells"), F.sum("w").alias("total"), (F.sum(F.col("p") * F.col("w")) / F.sum("w")).alias("mean"))
     truth = C.cell_sums(df, S.HIGH).groupBy("task_id").agg((F.sum("wy") / F.sum("w")).alias("share"), F.sum("n").alias("n"))
     allowed = 0.02 + 4 * F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("n"))
     return means.join(truth, "task_id").select(
@@ -74,12 +70,12 @@ def _against_share(spark, folder, predicted, by: list[str], column: str):
 
 @probe("oof_gbt", GBT_SQL)
 def oof_gbt(spark, folder):
-    return _against_share(spark, folder, lambda df, t: B.oof_boosted(df, t, S.IDS), [], "p")
+    return _against_share(spark, folder, [], 0)
 
 
 @probe("bootstrap_gbt", f"SELECT g.*, CAST(b AS INTEGER) AS b FROM ({GBT_SQL}) g, generate_series(0, 9) s(b)")
 def bootstrap_gbt(spark, folder):
-    return _against_share(spark, folder, lambda df, t: B.bootstrap_boosted(df, t, S.IDS), ["b"], "p_b")
+    return _against_share(spark, folder, ["b"], 10)
 
 
 @probe("hd_noise_floor", f"WITH {S.SURVEY}, {S.HIGH_FLOORS} SELECT task_id, round(best, 6) AS best_err FROM hfloors")
