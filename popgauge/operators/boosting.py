@@ -10,7 +10,8 @@ ones, and the others together; numeric conditions are cut at ``CUTS`` quantiles
 
 Respondents who share fold, outcome and (binned) conditions are interchangeable and are folded into one weighted cell
 first, in one scan for all tasks. Trees are symmetric in shape, not in splits: ``DEPTH`` levels, each leaf with its own
-split. A fit ends when the loss on its held-out fold has not fallen for ``patience`` rounds; its best round counts.
+split. A fit ends when the loss on its held-out fold has not fallen by ``LEAST_FALL`` of itself for ``patience`` rounds;
+its best round counts.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +35,8 @@ from popgauge.spec import HighDimTask
 UNKNOWN = "(missing)"
 #: Levels of a tree, step of a round, penalty on a leaf (in respondents of average weight), values of a condition, quantile cuts.
 DEPTH, RATE, PENALTY, BINS, CUTS = 3, 0.3, 1.0, 254, 31
+#: A round that lowers the held-out loss by less than this share of it does not count as better.
+LEAST_FALL = 1e-4
 
 
 def _binned(df: DataFrame, names: Sequence[str]) -> dict[str, Column]:
@@ -95,10 +98,9 @@ def training_cells(df: DataFrame, tasks: Sequence[HighDimTask], ids: Sequence[st
     # Codes of the values: the most frequent ones in their order, 0 for all others.
     seen = finest.select("n", F.inline(F.array(*[F.struct(F.lit(i).alias("v"), F.col(f"_x{i}").alias("value")) for i in range(len(names))])))
     totals = seen.groupBy("v", "value").agg(F.sum("n").alias("n"))
-    codes: list[dict[str, int]] = []
-    for i in range(len(names)):
-        top = totals.where(F.col("v") == i).orderBy(F.desc("n"), "value").limit(BINS).collect()  # BINS rows
-        codes.append({value: k + 1 for k, value in enumerate(sorted(r["value"] for r in top))})
+    place = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("n"), "value"))
+    top = totals.withColumn("place", place).where(F.col("place") <= BINS).collect()  # BINS rows for each condition
+    codes = [{value: k + 1 for k, value in enumerate(sorted(r["value"] for r in top if r["v"] == i))} for i in range(len(names))]
 
     def code(i: int) -> Column:
         known = F.create_map(*[F.lit(x) for pair in codes[i].items() for x in pair]) if codes[i] else F.lit(None).cast("map<string,int>")
@@ -273,7 +275,7 @@ def fitted(cells: Cells, rounds: int, patience: int) -> tuple[list[Trees], list[
         sums, losses = _sums(cells, models, active, 0)
         jobs += 1
         for t, of in enumerate(active):
-            better = losses[t] < least[t][of] - 1e-9
+            better = losses[t] < least[t][of] * (1 - LEAST_FALL)
             least[t][of[better]], best[t][of[better]] = losses[t][better], number
         keep = [number - best[t][of] < patience for t, of in enumerate(active)]
         sums = [s[:, k] for s, k in zip(sums, keep)]
@@ -299,8 +301,8 @@ def fitted(cells: Cells, rounds: int, patience: int) -> tuple[list[Trees], list[
     return models, best, jobs
 
 
-def boosted(df: DataFrame, tasks: Sequence[HighDimTask], ids: Sequence[str], *, replicates: int = 0, folds: int = 5, rounds: int = 60,
-            patience: int = 5, seed: int = 42) -> DataFrame:
+def boosted(df: DataFrame, tasks: Sequence[HighDimTask], ids: Sequence[str], *, replicates: int = 0, folds: int = 5, rounds: int = 40,
+            patience: int = 3, seed: int = 42) -> DataFrame:
     """(task_id, cell, fold, b, w, p): predictions of each cell by the fit that never saw its fold, for all tasks at once.
 
     With ``replicates``, ``b`` numbers fits under Poisson bootstrap weights; otherwise it is 0 and the fits use the weights.
@@ -329,14 +331,14 @@ def _of_task(out: DataFrame, task: HighDimTask) -> DataFrame:
     return out.select(*[F.col("cell")[i].alias(c) for i, c in enumerate(task.conditions)], "fold", "b", "w", "p")
 
 
-def oof_boosted(df: DataFrame, task: HighDimTask, ids: Sequence[str], *, folds: int = 5, rounds: int = 60,
-                patience: int = 5, seed: int = 42) -> DataFrame:
+def oof_boosted(df: DataFrame, task: HighDimTask, ids: Sequence[str], *, folds: int = 5, rounds: int = 40,
+                patience: int = 3, seed: int = 42) -> DataFrame:
     """(conditions.., fold, w, p) of one task; see ``boosted``."""
     return _of_task(boosted(df, [task], ids, folds=folds, rounds=rounds, patience=patience, seed=seed), task).drop("b")
 
 
 def bootstrap_boosted(df: DataFrame, task: HighDimTask, ids: Sequence[str], *, replicates: int = 10,
-                      folds: int = 5, rounds: int = 60, patience: int = 5, seed: int = 42) -> DataFrame:
+                      folds: int = 5, rounds: int = 40, patience: int = 3, seed: int = 42) -> DataFrame:
     """(conditions.., fold, b, w, p_b) of one task under Poisson bootstrap weights; see ``boosted``."""
     out = boosted(df, [task], ids, replicates=replicates, folds=folds, rounds=rounds, patience=patience, seed=seed)
     return _of_task(out, task).withColumnRenamed("p", "p_b")
