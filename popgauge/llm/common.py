@@ -37,6 +37,14 @@ def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it, in either case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Parts of a batch, so that what is derived from long texts stays small."""
     for start in range(0, batch.num_rows, rows):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popgauge.llm.common import binary, slices
+from popgauge.llm.common import free_name, binary, slices
 
 #: Letters and digits stay (A-Z lower-cased), other ASCII becomes a blank, non-ASCII bytes stay.
 PLAIN = bytes(
@@ -212,16 +212,16 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_items: int) -> lis
     ]
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, text: str, size: int, block_items: int, shard_words: int) -> DataFrame:
-    """``docs`` with a column ``_found`` of all occurrences; one narrow pass for each block of items."""
-    frame = docs.withColumn("_found", F.expr(f"CAST(array() AS {FOUND})"))
+def _searched(docs: DataFrame, benchmark: DataFrame, text: str, size: int, block_items: int, shard_words: int, column: str = "_found") -> DataFrame:
+    """``docs`` with a column of all occurrences; one narrow pass for each block of items."""
+    frame = docs.withColumn(column, F.expr(f"CAST(array() AS {FOUND})"))
     schema = frame.schema
     for block in _blocks(benchmark, "_item", "_phrase", block_items):
         phrases = frame.sparkSession.sparkContext.broadcast(Phrases(block, size))
 
         def search(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
             for part, _, split in shards(batches, text, shard_words):
-                at = part.schema.get_field_index("_found")
+                at = part.schema.get_field_index(column)
                 earlier = part.column(at).to_pylist()
                 found = [
                     old + [{"first": f, "size": n, "item": i} for f, n, i in new]
@@ -271,12 +271,13 @@ def decontaminated(
 ) -> DataFrame:
     """The documents, all columns kept, with every benchmark occurrence cut out of ``text``."""
     queries = benchmark.select(F.col(item_id).alias("_item"), F.col(phrase).alias("_phrase"))
-    frame, columns = _searched(docs, queries, text, size, block_items, shard_words), docs.columns
+    found_in, columns = free_name(docs, "_found"), docs.columns
+    frame = _searched(docs, queries, text, size, block_items, shard_words, found_in)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                at, where = (part.schema.get_field_index(c) for c in (text, "_found"))
+                at, where = (part.schema.get_field_index(c) for c in (text, found_in))
                 found = part.column(where).to_pylist()
                 kept = [
                     without(data, merged([(f["first"], f["first"] + f["size"]) for f in one])).decode() if one else data and data.decode()

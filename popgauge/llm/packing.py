@@ -17,13 +17,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popgauge.llm.common import binary, slices
-from popgauge.llm.tokens import Encoder
+from popgauge.llm.tokens import encoder_of
 
 #: Permitted sequence lengths.
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -71,7 +70,7 @@ def token_lengths(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     frame = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             for part in slices(batch):
                 sizes = [len(ids) // encoder.width + 1 for ids in encoder.encode(binary(part.column(1)))]
@@ -99,22 +98,26 @@ def packed(
         "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_tokens") - 1) / largest), F.lit(64).cast("bigint"))).alias("piece_from"),
     ).withColumn("pack", F.pmod(F.xxhash64("doc_id", "n_tokens", "copy_from", "piece_from"), F.lit(groups)))
 
-    def fill(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        pieces = []
-        for row in group.itertuples(index=False):
-            for copy in range(row.copy_from, min(row.copies, row.copy_from + 64)):
-                for piece in range(row.piece_from, min(-(-row.n_tokens // largest), row.piece_from + 64)):
-                    size = min(largest, row.n_tokens - piece * largest)
-                    pieces.append((-size, row.doc_id is not None and row.doc_id == row.doc_id, row.doc_id, copy, piece))
-        pieces.sort(key=lambda p: (p[0], p[1], p[2] if p[1] else 0, p[3], p[4]))
+    def fill(key: tuple, group: pa.Table) -> pa.Table:
+        ids, pieces = group["doc_id"].combine_chunks(), []
+        columns = (group[c].to_pylist() for c in ("n_tokens", "copies", "copy_from", "piece_from"))
+        for row, (doc, n_tokens, copies, copy_from, piece_from) in enumerate(zip(ids.to_pylist(), *columns)):
+            place = (doc is not None, 0 if doc is None else doc)
+            for copy in range(copy_from, min(copies, copy_from + 64)):
+                for piece in range(piece_from, min(-(-n_tokens // largest), piece_from + 64)):
+                    pieces.append((-min(largest, n_tokens - piece * largest), *place, copy, piece, row))
+        pieces.sort()
         bins, offsets, sizes = best_fit([-p[0] for p in pieces], costs)
-        return pd.DataFrame({
-            "doc_id": pd.Series([p[2] for p in pieces], dtype=group["doc_id"].dtype),
+        numbers = {
             "copy": [p[3] for p in pieces], "piece": [p[4] for p in pieces],
             "first": [p[4] * largest for p in pieces], "n_tokens": [-p[0] for p in pieces],
-            "bin_id": [(int(key[0]) << 32) + b for b in bins], "capacity": [sizes[b] for b in bins], "offset": offsets,
+            "bin_id": [(key[0].as_py() << 32) + b for b in bins],
+        }
+        return pa.table({
+            "doc_id": ids.take(pa.array([p[5] for p in pieces], pa.int64())), **{n: pa.array(v, pa.int64()) for n, v in numbers.items()},
+            "capacity": pa.array([sizes[b] for b in bins], pa.int32()), "offset": pa.array(offsets, pa.int32()),
         })
 
-    return runs.groupBy("pack").applyInPandas(
+    return runs.groupBy("pack").applyInArrow(
         fill, f"doc_id {kind}, copy bigint, piece bigint, first bigint, n_tokens bigint, bin_id bigint, capacity int, offset int",
     )

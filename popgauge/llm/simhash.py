@@ -7,7 +7,7 @@ meets is tallied over all positions, kept if it reaches the guarantee, and verif
 
 A posting of many fingerprints is never expanded into its pairs. With ``max_bits`` of 2 its members are linked
 exactly through the fingerprints at most one bit away: two differ in at most two bits if and only if they share one,
-and each is shared by 65 at most. ``near_groups`` finds what is similar at any distance of the fingerprints.
+and each is shared by 65 at most.
 
 Defined results: NULL and blank texts have no shingle and the fingerprint zero; texts with fewer words than a shingle
 are one shingle; equal texts share a fingerprint and are one node; empty tables give empty results; other columns
@@ -16,7 +16,6 @@ are ignored (``fingerprints``, ``linked``) or passed through (``one_of_each``).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,10 +32,6 @@ from popgauge.session import cut_lineage
 SEED = 42
 #: Postings up to this length are expanded into pairs.
 EXPAND = 32
-#: Shingles known as common, which only go to the end of the order, and the part of the documents that names them;
-#: lanes of a parity sketch; members of a block of a posting; pairs left by leaders that are worth another round of
-#: them, and rounds.
-COMMON, SHARE, SKETCH, BLOCK, WORTH, ROUNDS = 1 << 17, 4, 8, 64, 1_000_000, 4
 
 
 def shingles(data: bytes, words: int) -> list[bytes]:
@@ -67,11 +62,9 @@ def fingerprint(features: list[bytes], lanes: int = 1) -> list[int]:
 
 
 def fingerprints(
-    docs: DataFrame, words: int = 3, lanes: int = 1, distinct: bool = False, doc_id: str = "doc_id", text: str = "text",
-    keep_node: bool = False,
+    docs: DataFrame, words: int = 3, lanes: int = 1, doc_id: str = "doc_id", text: str = "text", keep_node: bool = False,
 ) -> DataFrame:
-    """``doc_id, lanes`` of whole texts; ``distinct`` counts repeated shingles once, ``keep_node`` adds the number of
-    the text, equal for equal texts only."""
+    """``doc_id, lanes`` of whole texts; ``keep_node`` adds the number of the text, the same for equal texts."""
     frame = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *[_text_node(text).alias("node")] * keep_node)
 
@@ -80,8 +73,7 @@ def fingerprints(
             for part in slices(batch):
                 prints = []
                 for data in binary(part.column(1)):
-                    found = shingles(data or b"", words)
-                    prints.append(fingerprint(list(set(found)) if distinct else found, lanes))
+                    prints.append(fingerprint(shingles(data or b"", words), lanes))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *part.columns[2:], pa.array(prints, pa.list_(pa.int64()))],
                     ["doc_id", *["node"] * keep_node, "lanes"])
@@ -191,163 +183,25 @@ def _text_node(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def near_groups(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8,
-) -> DataFrame:
-    """``doc_id, node, group_id`` of every document with an id: near duplicates by Jaccard similarity of their
-    ``words``-word shingles, linked pairs and what is reachable over them. No pair of that similarity is missed.
-
-    Two sets with a similarity of t share an element among the first ``n - ceil(t n) + 1`` of each in any common
-    order, so texts are posted under these; common shingles come last in the order, so that postings stay short. Only
-    the groups are wanted, hence pairs inside one group need no comparison: texts whose SimHash (distinct words) the
-    byte index links are compared with one of them, then members of a posting with its leader, and then all pairs that
-    meet in a posting and are still in different groups, in blocks of bounded size. Sizes and parity
-    sketches rule out only pairs that cannot be similar; the others are verified by their shingles."""
-    frame = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    known = frame.where("doc_id IS NOT NULL")
-    prints = cut_lineage(fingerprints(known.select("doc_id", "text"), 1, distinct=True, keep_node=True))
-    nodes = cut_lineage(prints.groupBy("node", "lanes").agg(F.min("doc_id").alias("doc_id")))
-    once = known.withColumn("node", _text_node("text"))
-
-    def texts(of: DataFrame) -> DataFrame:
-        return once.join(of.select("node", "doc_id"), ["node", "doc_id"]).dropDuplicates(["node", "doc_id"]).select("node", "text")
-
-    # A share of the documents tells what is common; the order changes the work only, not the result.
-    seen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0).select(F.lit(0).cast("bigint").alias("node"), "text").mapInArrow(_prefixes(words, similarity), PREFIXES)
-    common = seen.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(
-        F.col("n") > EXPAND // SHARE).orderBy(F.desc("n"), "key").limit(COMMON).collect()
-    common = sorted((r["key"], r["n"]) for r in common)
-    order = docs.sparkSession.sparkContext.broadcast(tuple(np.array(c, np.int64) for c in zip(*common)) if common else None)
-    cut = cut_lineage(texts(nodes).mapInArrow(_prefixes(words, similarity, order), PREFIXES))
-    postings = cut.select("node", F.explode("keys").alias("key"))
-    lengths = cut_lineage(_lengths(postings).where("n > 1"))
-    met = cut_lineage(postings.join(lengths, "key"))
-    weights = cut_lineage(met.groupBy("node").agg(F.sum("n").alias("w")))
-    facts = cut.select("node", "size", "sketch")
-    held = cut_lineage(_shingle_sets(texts(nodes.join(weights, "node", "left_semi")), words))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar."""
-        side = lambda name, n, s: facts.select(F.col("node").alias(name), F.col("size").alias(n), F.col("sketch").alias(s))
-        hashes = lambda name, s: held.select(F.col("node").alias(name), F.col("hashes").alias(s))
-        can = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(
-            side("a", "n", "p"), "a").join(side("b", "m", "q"), "b")
-        can = can.where(_can_be(similarity, F.col("n"), F.col("m"), F.col("p"), F.col("q"))).select("a", "b")
-        both = cut_lineage(can).join(hashes("a", "s"), "a").join(hashes("b", "t"), "b")
-        overlap = F.size(F.array_intersect("s", "t"))
-        return cut_lineage(both.where(overlap >= similarity * (F.size("s") + F.size("t") - overlap)).select("a", "b"))
-
-    def led(rows: DataFrame) -> DataFrame:
-        """Pairs of a posting's members (``key, node, w``) with the one that weighs most."""
-        lead = rows.groupBy("key").agg(F.max(F.struct("w", "node")).alias("lead")).select("key", F.col("lead.node").alias("a"))
-        return rows.join(lead, "key").select("a", F.col("node").alias("b"))
-
-    close = linked(nodes.select("lanes"))
-    near = nodes.select("node", F.col("lanes")[0].alias("print")).join(close, F.col("print") == close["node"]).select(nodes["node"], "root")
-    links = verified(near.join(near.groupBy("root").agg(F.min("node").alias("a")), "root").select("a", F.col("node").alias("b")).unionByName(
-        led(met.join(weights, "node").select("key", "node", "w"))))
-    for round_ in range(ROUNDS):
-        groups = components(links)
-        placed = met.select("key", "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        each = cut_lineage(placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("own")))
-        split = cut_lineage(each.groupBy("key").agg(F.sum("own").alias("n"), F.sum(F.col("own") * F.col("own")).alias("inner")).where("n * n > inner"))
-        left = cut_lineage(placed.join(split.select("key", "n"), "key"))
-        if round_ == ROUNDS - 1 or (split.agg(F.sum(F.col("n") * F.col("n") - F.col("inner"))).first()[0] or 0) < 2 * WORTH:
-            break
-        # Whom most others, not of its own group, meet leads next.
-        apart = left.join(each, ["key", "root"]).select("key", "node", (F.col("n") - F.col("own")).alias("apart"))
-        again = apart.join(apart.groupBy("node").agg(F.sum("apart").alias("w")), "node").select("key", "node", "w")
-        links = cut_lineage(links.unionByName(verified(led(again))))
-    links = links.unionByName(verified(_across(left.join(facts, "node"), similarity)))
-    roots = components(links)
-    named = cut_lineage(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("group_id"))
-    return prints.select("doc_id", "node").join(named.join(least, "root").select("node", "group_id"), "node")
-
-
-def _can_be(similarity: float, n: Column, m: Column, p: Column, q: Column) -> Column:
-    """Whether sets of ``n`` and ``m`` elements with the parity sketches ``p`` and ``q`` can be similar: the smaller
-    has room for the overlap, and at least as many elements as bits differ belong to one set only."""
-    bits = F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (bits <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6)
-
-
-def _across(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different roots that share a key and can be similar, of ``key, n, node, size, root, sketch``.
-
-    A posting of ``n`` members is cut into blocks by hash, and each two blocks meet in a cell of their own."""
-    member = F.struct("node", "size", "root", "sketch", "block").alias("x")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = mine.select("key", "block", member, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).groupBy(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list("x").alias("m"))
-
-    def meets(x: Column, y: Column) -> Column:
-        return (x["root"] != y["root"]) & _can_be(similarity, x["size"], y["size"], x["sketch"], y["sketch"])
-
-    each = cells.select("i", "j", F.explode("m").alias("x"), "m").where("x.block = i")
-    mates = F.filter("m", lambda y: (y["block"] == F.col("j")) & ((F.col("i") < F.col("j")) | (F.col("x.node") < y["node"])) & meets(F.col("x"), y))
-    return each.select(F.col("x.node").alias("a"), F.explode(F.transform(mates, lambda y: y["node"])).alias("b"))
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents, all columns kept: of each group of near duplicates the one with the least id, once. A document
-    without an id cannot be named by a group and stays."""
-    groups = near_groups(docs, doc_id, text, **options)
-    kept = groups.where("doc_id = group_id").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
-    least = kept.groupBy("_id").agg(F.min("_node").alias("_node"))
-    marked = docs.where(F.col(doc_id).isNotNull()).withColumn("_node", _text_node(text))
-    one = marked.join(least, (F.col(doc_id) == F.col("_id")) & marked["_node"].eqNullSafe(least["_node"])).select(
-        *[marked[c] for c in docs.columns]).dropDuplicates([doc_id])
-    return one.unionByName(docs.where(F.col(doc_id).isNull()))
-
-
-PREFIXES = "node bigint, size int, sketch array<bigint>, keys array<bigint>"
-
-
-def _hashes(data: bytes | None, words: int) -> np.ndarray:
-    """The distinct shingles' hashes in rising order; texts without a shingle share one element."""
-    found = set(shingles(data or b"", words)) or {b""}
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(f, SEED) for f in found), np.uint64, len(found)).view(np.int64))
-
-
-def _sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parities of ``64 * SKETCH`` buckets' element counts."""
-    counts = np.bincount((hashes & (64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
-
-
-def _prefixes(words: int, similarity: float, order=None):
-    """From ``node, text`` to the rows of ``PREFIXES``. ``order`` broadcasts the common shingles' hashes, rising, and
-    their counts: the rarest come first, equals by hash."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = order.value if order is not None else None
-        for batch in batches:
-            for part in slices(batch):
-                sizes, sketches, keys = [], [], []
-                for data in binary(part.column(1)):
-                    hashes = _hashes(data, words)
-                    sizes.append(n := len(hashes))
-                    sketches.append(_sketch(hashes))
-                    if common is not None:
-                        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
-                        counts = np.where(common[0][at] == hashes, common[1][at], 0)
-                        hashes = hashes[np.argsort(counts, kind="stable")]
-                    keys.append(hashes[:n - math.ceil(similarity * n - 1e-6) + 1])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                    ["node", "size", "sketch", "keys"])
-
-    return cut
-
-
-def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """``node, hashes`` of ``node, text``: the distinct shingles' hashes."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                sets = [_hashes(data, words) for data in binary(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
-
-    return texts.mapInArrow(cut, "node bigint, hashes array<bigint>")
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """The documents, all columns kept: of each class of near duplicates (fingerprints linked at two bits, as in
+    ``fingerprint_classes``) the row with the least id; of several rows with that id the one whose text has the least hash,
+    and of rows equal in id and text one. NULL ids come last."""
+    prints = cut_lineage(fingerprints(docs, words, doc_id=doc_id, text=text, keep_node=True).select(
+        "doc_id", F.col("node").alias("text"), F.col("lanes")[0].alias("node")))
+    roots = linked(prints.select(F.array("node").alias("lanes")))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text")
+    least = prints.groupBy("node").agg(F.min(place).alias("first")).join(roots, "node", "left")
+    winners = least.groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select("first.doc_id", "first.text")
+    rows = prints.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+    same = F.col("w.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("w.text") == F.col("r.text"))
+    kept = cut_lineage(winners.alias("w").join(rows.alias("r"), same).select("w.*", "n"))
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"), _text_node(text).alias("text"))
+
+    def of(chosen: DataFrame) -> DataFrame:
+        match = whole["doc_id"].eqNullSafe(chosen["doc_id"]) & (whole["text"] == chosen["text"])
+        return whole.join(chosen, match, "left_semi")
+
+    # Only rows that are repeated have to meet; the others stay where they are if the kept ids are few enough to send.
+    repeated = of(kept.where("n > 1")).groupBy("doc_id", "text").agg(F.first("row").alias("row"))
+    return of(kept.where("n = 1")).select("row.*").unionByName(repeated.select("row.*"))

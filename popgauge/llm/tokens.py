@@ -13,6 +13,7 @@ next to each other in the order of their texts' hashes; an empty table gives no
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -37,15 +38,18 @@ class Encoder:
     the ids of a text are those of its chunks in a row."""
 
     CUT = re.compile(r" (?=\S)")
-    #: Chunks remembered, and chunks encoded at once.
-    MOST, AT_ONCE = 400_000, 4_096
+    #: Bytes of chunks and ids remembered (with ``ENTRY`` for each one's objects), and chunks encoded at once.
+    MOST, ENTRY, AT_ONCE = 96 << 20, 230, 4_096
 
     def __init__(self, path: str):
+        # A task owns one core; the library's threads would take others, and keep memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.width = self.kind.itemsize
         self.known: dict[str, bytes] = {}
         self.met_again: set[str] = set()
+        self.held = 0
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         kind, out = "H" if self.width == 2 else "I", []
@@ -59,11 +63,17 @@ class Encoder:
         chunks = set().union(*split)
         new = chunks.difference(self.known)
         self.met_again |= chunks - new
-        if len(self.known) + len(new) > self.MOST:
+        if self.held > self.MOST:
             self.known = {c: self.known[c] for c in self.met_again}
             self.met_again = set()
+            self.held = sum(map(len, self.known)) + sum(map(len, self.known.values())) + self.ENTRY * len(self.known)
+            if 2 * self.held > self.MOST:  # too many were met again
+                self.known, self.held = {}, 0
+                new = chunks
         fresh = list(new)
-        self.known.update(zip(fresh, self._ids([" " + c for c in fresh])))
+        ids = self._ids([" " + c for c in fresh])
+        self.known.update(zip(fresh, ids))
+        self.held += sum(map(len, fresh)) + sum(map(len, ids)) + self.ENTRY * len(fresh)
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of ``width`` bytes."""
@@ -80,6 +90,17 @@ class Encoder:
         return [b"".join([head, *map(get, chunks[1:])]) for head, chunks in zip(heads, split)]
 
 
+#: One encoder a Python worker for each vocabulary: tasks that reuse the worker start with what it knows.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder for the vocabulary file at ``path``."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _lists(flat: pa.Array, length: int) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(flat, length)
 
@@ -150,7 +171,7 @@ def write_sequences(
         "tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer = Encoder(tokenizer), None
+        encoder, writer = encoder_of(tokenizer), None
         end = np.array([end_id], encoder.kind)
         number = TaskContext.get().partitionId()
         files, root = pafs.FileSystem.from_uri(folder)

@@ -77,67 +77,35 @@ def edited(r, words, every):
 
 
 @pytest.mark.parametrize("expand", [32, 2])
-def test_one_of_each_near_group(spark, monkeypatch, expand):
+def test_one_of_each_class(spark, monkeypatch, expand):
+    """Of each class of linked fingerprints the row with the least id stays, whatever the ids, and all columns with it."""
     monkeypatch.setattr(simhash, "EXPAND", expand)
     r = random.Random(5)
-    rows, group = [], {}
-    for g in range(6):
-        base = [f"g{g}v{r.randrange(300)}" for _ in range(200)]
-        for k in range(6):
-            group[len(rows)] = g
-            rows.append((len(rows), " ".join(edited(r, base, 101 + 7 * k) if k else base)))
-    rows += [(None, rows[0][1]), (500, None), (501, ""), (502, "  "), (5, rows[5][1])]
-    docs = frame(spark, rows)
-    kept = simhash.one_of_each(docs).collect()
-    ids = Counter(k["doc_id"] for k in kept)
-    sets = {i: set(simhash.shingles((t or "").encode(), 5)) for i, t in rows if i is not None and i < 100}
-    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-    root = classes(len(sets), similar)
-    assert {i for i in ids if i is not None and i < 100} == set(root) and max(ids.values()) == 1 and ids[None] == 1
-    assert {500, 501, 502} & set(ids) and docs.columns == list(kept[0].asDict())
-
-
-def near_by_brute_force(rows):
-    sets = [set(simhash.shingles(t.encode(), 5)) for _, t in rows]
-    return classes(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
-
-
-@pytest.mark.parametrize("worth", [1_000_000, 0])
-def test_large_groups_of_near_copies_keep_every_link(spark, monkeypatch, worth):
-    """Copies of one text with a few edits each, that are similar to some of the others only, and chains a-b-c."""
-    monkeypatch.setattr(simhash, "WORTH", worth)
-    r = random.Random(11)
-    texts = []
-    for g, edits in enumerate((1, 2, 3)):
-        base = [f"g{g}v{i}" for i in range(100)]
-        for _ in range(150):
-            words = list(base)
-            for at in r.sample(range(100), r.randint(1, edits)):
-                words[at] = f"e{r.random()}"
-            texts.append(words)
-    for g in range(40):  # each step of a chain replaces the next words
-        words = [f"c{g}v{i}" for i in range(100)]
-        for step in range(4):
-            words = [f"c{g}s{step}v{i}" if 6 * step <= i < 6 * step + 6 else w for i, w in enumerate(words)]
-            texts.append(words)
-    r.shuffle(texts)
-    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    assert dict((x["doc_id"], x["group_id"]) for x in simhash.near_groups(frame(spark, rows)).collect()) == dict(enumerate(near_by_brute_force(rows)))
-
-
-def test_truncated_and_extended_copies_are_found(spark):
-    """At a similarity of 0.8 to 0.9, by words appended, cut off or edited, from few words to many."""
-    r = random.Random(12)
     rows = []
-    for n in (12, 60, 200, 600):
-        for k in range(60):
-            base = [f"w{r.random()}" for _ in range(n)]
-            more = int((n - 4) * (0.25, 0.17, 0.11)[k % 3])
-            copy = base + [f"x{r.random()}" for _ in range(more)] if k % 2 else base[:n - int((n - 4) * (0.2, 0.15, 0.1)[k % 3])]
-            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
-    want = near_by_brute_force(rows)
-    assert sum(w == i - 1 for i, w in enumerate(want)) == 240
-    assert dict((x["doc_id"], x["group_id"]) for x in simhash.near_groups(frame(spark, rows)).collect()) == dict(enumerate(want))
+    for g in range(8):
+        base = [f"g{g}v{r.randrange(300)}" for _ in range(1_500)]
+        for k in range(8):
+            rows.append((len(rows), " ".join(edited(r, base, 701 + 7 * k) if k else base)))
+    rows += [(None, rows[0][1]), (None, "alone without an id " * 9), (None, "alone without an id " * 9), (500, None), (501, ""), (502, "  "), (5, rows[5][1])]
+    rows += [(70, "one text of id seventy and more"), (70, "another text with the same id here"), (71, "a third text, of another id altogether"), (71, "a third text, of another id altogether")]
+    r.shuffle(rows)
+    prints = [simhash.fingerprint(simhash.shingles((t or "").encode(), 3))[0] & (2 ** 64 - 1) for _, t in rows]
+    root = classes(len(rows), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
+    want = Counter()
+    for c in set(root):
+        ids = [rows[i][0] for i in range(len(rows)) if root[i] == c]
+        want[min((i is None, i or 0) for i in ids)] += 1
+    docs = frame(spark, rows).repartition(3)
+    kept = simhash.one_of_each(docs).collect()
+    assert Counter((k["doc_id"] is None, k["doc_id"] or 0) for k in kept) == want and want[True, 0] == 1
+    assert docs.columns == list(kept[0].asDict()) and len(set(root)) < 40
+    assert sorted(k["text"] for k in kept if k["doc_id"] in (70, 71)) == sorted({t for i, t in rows if i in (70, 71)})
+
+
+def test_rows_that_share_an_id_are_not_lost(spark):
+    rows = [(1, "this text is the first of them"), (1, "quite another one under the same number"), (2, "and a third that nothing resembles")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' AS _node", "1 AS row")
+    assert sorted(tuple(r)[:2] for r in simhash.one_of_each(docs).collect()) == sorted(rows)
 
 
 def test_empty_corpus_of_fingerprints(spark):

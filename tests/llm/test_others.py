@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpora import awkward, blank_words, frame, sentence
 from hypothesis import given, settings
@@ -64,7 +65,8 @@ def test_packed_covers_every_token(spark):
         sizes[i, at] += 1
     # Rows of one id with different lengths number their copies each on their own; compare sums by id.
     assert sum(k[1] * n for k, n in want.items()) == sum(r["n_tokens"] for r in out)
-    assert {k: n for k, n in want.items() if k[0] != 7} == {k: n for k, n in sizes.items() if k[0] != 7}
+    assert want == sizes
+
     bins = defaultdict(int)
     for r in out:
         bins[r["bin_id"], r["capacity"]] += r["n_tokens"]
@@ -72,6 +74,31 @@ def test_packed_covers_every_token(spark):
     assert packing.packed(packing.token_lengths(frame(spark, []), TOKENIZER), 0).count() == 0
 
 
+def test_ids_next_to_missing_ones_stay_whole(spark):
+    rows = [((1 << 60) + 1, 5), ((1 << 60) + 3, 6), (None, 7), (None, 7)]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint"), 4).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=repr) == sorted(rows, key=repr)
+
+
+def test_encoder_holds_little_memory_over_many_tasks(spark):
+    """Twenty partitions, in whatever workers they run: none grows with the number of its tasks."""
+    import os
+    import resource
+
+    def grown(batches):
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        encoder = tokens.encoder_of(TOKENIZER)
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                encoder.encode([" ".join(f"w{(i * 400 + k) % 20_011}" for k in range(400)).encode()])
+        yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "before": [before], "after": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss]})
+
+    rows = spark.range(0, 600, 1, 20).coalesce(20).mapInArrow(grown, "pid bigint, before bigint, after bigint").collect()
+    for pid in {r["pid"] for r in rows}:
+        mine = sorted((r["before"], r["after"]) for r in rows if r["pid"] == pid)
+        assert mine[-1][1] - mine[0][1] < 50 * 1024, mine
+
+
 # Token files
 
 ENCODER = tokens.Encoder(TOKENIZER)

@@ -35,9 +35,9 @@ def test_rejected_documents_go(spark, stages):
 
 def test_one_of_each_group_stays(stages):
     texts = stages[1].text
-    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
-    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
-    want = {min(texts.index[j] for j in range(len(sets)) if root[j] == r) for root in [classes(len(sets), alike)] for r in root}
+    prints = [simhash.fingerprint(simhash.shingles(t.encode(), 3))[0] & (2 ** 64 - 1) for t in texts]
+    alike = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2
+    want = {min(texts.index[j] for j in range(len(prints)) if root[j] == r) for root in [classes(len(prints), alike)] for r in root}
     assert set(stages[2].index) == want
 
 
