@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popgauge.llm.common import free_name, binary, slices
+from popgauge.llm.common import binary, free_name, lean, slices
 
 #: Letters and digits stay (A-Z lower-cased), other ASCII becomes a blank, non-ASCII bytes stay.
 PLAIN = bytes(
@@ -229,7 +229,7 @@ def _searched(docs: DataFrame, benchmark: DataFrame, text: str, size: int, block
                 ]
                 yield part.set_column(at, part.schema.field(at), pa.array(found, part.schema.field(at).type))
 
-        frame = frame.mapInArrow(search, schema)
+        frame = frame.mapInArrow(lean(search), schema)
     return frame
 
 
@@ -262,7 +262,7 @@ def contamination(
                 pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()),
             ], ["doc_id", "n_words", "n_hit", "spans", "items", "items_sha256"])
 
-    return frame.mapInArrow(sums, schema)
+    return frame.mapInArrow(lean(sums), schema)
 
 
 def decontaminated(
@@ -285,4 +285,4 @@ def decontaminated(
                 ]
                 yield part.set_column(at, part.schema.field(at), pa.array(kept, part.schema.field(at).type)).select(columns)
 
-    return frame.mapInArrow(cut, docs.schema)
+    return frame.mapInArrow(lean(cut), docs.schema)

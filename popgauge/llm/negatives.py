@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from popgauge.llm.common import stored
+from popgauge.llm.common import lean, stored
 
 #: Rows the codebooks are fitted on; centroids of a half at most; rows of a block; anchors of a group; rows looked at first.
 SAMPLE, MOST_CODES, BLOCK, ANCHORS, FIRST = 4_096, 64, 1_024, 4_096, 4_096
@@ -180,7 +180,7 @@ def index(rows: DataFrame, block: int = BLOCK, sample: int = SAMPLE) -> tuple[Da
                     [*batch.schema.names, "one", "two", "far_one", "far_two"])
 
     schema = "vec_id bigint, label bigint, vector array<int>, row bigint, one int, two int, far_one double, far_two double"
-    placed = stored(points.select("vec_id", "label", "vector", "row").mapInArrow(place, schema), "negatives-cells")
+    placed = stored(points.select("vec_id", "label", "vector", "row").mapInArrow(lean(place), schema), "negatives-cells")
     sizes = placed.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.max("far_one").alias("a"), F.max("far_two").alias("b"))
     found = {(r["one"], r["two"]): (r["n"], r["a"], r["b"]) for r in sizes.collect()}  # MOST_CODES squared rows at most
     made = MultiIndex(books, found, block)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popgauge.llm.common import binary, slices
+from popgauge.llm.common import binary, lean, slices
 from popgauge.llm.tokens import encoder_of
 
 #: Permitted sequence lengths.
@@ -76,7 +76,7 @@ def token_lengths(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                 sizes = [len(ids) // encoder.width + 1 for ids in encoder.encode(binary(part.column(1)))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
 
-    return frame.mapInArrow(count, f"doc_id {dict(frame.dtypes)['doc_id']}, n_tokens bigint")
+    return frame.mapInArrow(lean(count), f"doc_id {dict(frame.dtypes)['doc_id']}, n_tokens bigint")
 
 
 def packed(

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popgauge.llm.common import binary, slices
+from popgauge.llm.common import binary, lean, slices
 from popgauge.session import cut_lineage
 
 #: Frequent words that are classes, classes in all, words with an input vector, hidden units, window on each side.
@@ -214,7 +214,7 @@ def lexicon(texts: DataFrame) -> Lexicon:
         if held:
             yield out()
 
-    counts = cut_lineage(texts.mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = cut_lineage(texts.mapInArrow(lean(count), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     # How many words have about how many occurrences, on a grid of a few hundred steps; the list takes whole steps.
     step = F.floor(F.log2("n") * 16).cast("int")
     steps = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True)
@@ -237,7 +237,7 @@ def lexicon(texts: DataFrame) -> Lexicon:
         yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(totals)], ["class", "n"])
 
     totals = [0] * CLASSES
-    for r in counts.mapInArrow(classes, "class int, n bigint").groupBy("class").agg(F.sum("n").alias("n")).collect():
+    for r in counts.mapInArrow(lean(classes), "class int, n bigint").groupBy("class").agg(F.sum("n").alias("n")).collect():
         totals[r["class"]] = r["n"]
     model.weigh(totals)
     return model
@@ -286,7 +286,7 @@ def trained(texts: DataFrame, words: Lexicon, rounds: int = 1) -> list[np.ndarra
             return add
 
         kind = "piece int, part int, tokens bigint, v binary"
-        parts = texts.mapInArrow(learn, kind).repartition("piece", "part").mapInArrow(added(True), kind)
+        parts = texts.mapInArrow(lean(learn), kind).repartition("piece", "part").mapInArrow(added(True), kind)
         sums = parts.repartition("piece").mapInArrow(added(False), kind).collect()  # one row for each piece of the parameters
         if not sums:
             return model

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from popgauge.llm.common import binary, slices
+from popgauge.llm.common import binary, lean, slices
 from popgauge.session import cut_lineage
 
 #: Grid of raw scores for calibration.
@@ -80,7 +80,7 @@ def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
                 rows = [statistics(data or b"") for data in binary(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return frame.mapInArrow(take, f"doc_id {dict(frame.dtypes)['doc_id']}, x array<double>")
+    return frame.mapInArrow(lean(take), f"doc_id {dict(frame.dtypes)['doc_id']}, x array<double>")
 
 
 def _residue(doc_id: str) -> Column:
@@ -162,7 +162,7 @@ def fit(stats: DataFrame, labels: DataFrame, most_rows: int = 200_000, waves: in
                 ["i", "v"])
 
     fitting = rows.where("part != 1").select("x", "y")
-    parts = fitting.mapInArrow(normal, "i int, v array<double>")
+    parts = fitting.mapInArrow(lean(normal), "i int, v array<double>")
     summed = parts.select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")) \
         .groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("row"))
     lines = sorted(summed.select("i", F.col("row.v").alias("v")).collect(), key=lambda r: r["i"])  # waves + 1 rows
@@ -177,7 +177,7 @@ def fit(stats: DataFrame, labels: DataFrame, most_rows: int = 200_000, waves: in
             at = np.minimum((model.raw(_rows(batch.column(0))) * CELLS).astype(np.int32), CELLS - 1)
             yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(1)], ["cell", "y"])
 
-    grid = rows.where("part = 1").select("x", "y").mapInArrow(cells, "cell int, y double").groupBy("cell").agg(
+    grid = rows.where("part = 1").select("x", "y").mapInArrow(lean(cells), "cell int, y double").groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.avg("y").alias("share")).orderBy("cell").collect()  # CELLS rows at most
     if grid:
         model.knots = np.array([(r["cell"] + 0.5) / CELLS for r in grid])
@@ -197,7 +197,7 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(model.score(_rows(batch.column(1))), pa.float64())], ["doc_id", "score"])
 
-    return stats.mapInArrow(score, f"doc_id {dict(stats.dtypes)['doc_id']}, score double").select(
+    return stats.mapInArrow(lean(score), f"doc_id {dict(stats.dtypes)['doc_id']}, score double").select(
         "doc_id", F.coalesce(_residue("doc_id") == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -213,4 +213,4 @@ def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
                 x = np.array([statistics(data or b"") for data in binary(part.column(at))])
                 yield part.filter(pa.array(model.score(x) >= THRESHOLD))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from popgauge.llm.common import binary, slices
+from popgauge.llm.common import binary, lean, slices
 from popgauge.llm.components import components
 from popgauge.session import cut_lineage
 
@@ -79,7 +79,7 @@ def fingerprints(
                     ["doc_id", *["node"] * keep_node, "lanes"])
 
     node = ", node bigint" if keep_node else ""
-    return frame.mapInArrow(take, f"doc_id {dict(frame.dtypes)['doc_id']}{node}, lanes array<bigint>")
+    return frame.mapInArrow(lean(take), f"doc_id {dict(frame.dtypes)['doc_id']}{node}, lanes array<bigint>")
 
 
 def cover(n_bytes: int, matches: int, key_bytes: int) -> list[tuple[int, ...]]:

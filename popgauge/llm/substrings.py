@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popgauge.llm.common import binary, slices, stored
+from popgauge.llm.common import binary, lean, slices, stored
 from popgauge.session import cut_lineage
 
 #: Words of an anchor (a power of two), and occurrences from which an anchor counts as very frequent.
@@ -205,7 +205,7 @@ def _pieces(texts: DataFrame, window: int, frequent, only: bool = False) -> Data
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(c).view(np.int64)) for c in zip(*held)], ["anchor", "row", "place", "piece"])
 
-    return texts.mapInArrow(cut, "anchor bigint, row bigint, place bigint, piece bigint")
+    return texts.mapInArrow(lean(cut), "anchor bigint, row bigint, place bigint, piece bigint")
 
 
 def _packed(keyed: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def _packed(keyed: DataFrame) -> DataFrame:
                     [part.column(0), part.column(1), pa.array([squeeze(t) for t in binary(part.column(2))], pa.binary())],
                     ["doc_id", "row", "packed"])
 
-    return keyed.mapInArrow(pack, f"doc_id {dict(keyed.dtypes)['doc_id']}, row bigint, packed binary")
+    return keyed.mapInArrow(lean(pack), f"doc_id {dict(keyed.dtypes)['doc_id']}, row bigint, packed binary")
 
 
 def _unpacked(column: pa.Array) -> Iterator[list[bytes]]:

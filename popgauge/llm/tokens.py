@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from popgauge.llm.common import binary, slices
+from popgauge.llm.common import binary, lean, slices
 
 
 class Encoder:
@@ -190,7 +190,7 @@ def write_sequences(
                 "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens],
             })
 
-    manifest = ordered.mapInArrow(write, "part bigint, path string, n_docs bigint, n_tokens bigint")
+    manifest = ordered.mapInArrow(lean(write), "part bigint, path string, n_docs bigint, n_tokens bigint")
     start, out = 0, []
     for row in sorted(manifest.collect(), key=lambda r: r["part"]):  # a row for each file
         out.append({"path": row["path"], "start": start, "n_docs": row["n_docs"], "n_tokens": row["n_tokens"]})
@@ -253,4 +253,4 @@ def read_documents(spark: SparkSession, manifest: list[dict], doc_type: str = "b
                         index.column(0), pa.array(index.column(1).to_numpy() + base), index.column(2), pa.array(crcs, pa.int64()),
                     ], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return parts.repartition(len(manifest)).mapInArrow(read, schema)
+    return parts.repartition(len(manifest)).mapInArrow(lean(read), schema)
