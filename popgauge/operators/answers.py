@@ -26,16 +26,31 @@ def mc_vote_distribution(answers: DataFrame, keys: Sequence[str], text: str, opt
     return votes.groupBy(*keys, "level").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def permutation_average(masses: DataFrame, keys: Sequence[str], permutation: str, level: str, mass: str) -> DataFrame:
-    """Mean probability of each level over the option orders it was shown in.
+def letter_masses(answers: DataFrame, keys: Sequence[str], permutation: str, shown: str, masses: str) -> DataFrame:
+    """Mass of every level in every order: (keys.., permutation, level, mass), 0 for a level whose letter got none.
 
-    Mass is normalised within each prompt and order first; an order that got no mass at all counts as
-    uniform. ``level`` is what the option letter stood for in that order.
-    """
-    shown = Window.partitionBy(*keys, permutation)
-    total, options = F.sum(mass).over(shown), F.count(F.lit(1)).over(shown)
-    share = F.when(total == 0, F.lit(1.0) / options).otherwise(F.col(mass) / total)
-    return masses.withColumn("_p", share).groupBy(*keys, level).agg(F.avg("_p").alias("p"))
+    ``shown`` has the levels in the order shown, lettered A, B, ..; ``masses`` maps answer tokens to their mass. Tokens that
+    are a letter but for blanks around it count for that letter's level; all others are no answer."""
+    letter = lambda i: F.char(F.lit(65) + i)
+    said = F.map_entries(masses)
+    levels = F.transform(shown, lambda level, i: F.struct(level.alias("level"), F.aggregate(
+        F.filter(said, lambda e: F.trim(e["key"]) == letter(i)), F.lit(0.0), lambda total, e: total + e["value"]).alias("mass")))
+    return answers.select(*keys, permutation, F.inline(levels))
+
+
+def permutation_average(masses: DataFrame, keys: Sequence[str], permutation: str, level: str, mass: str) -> DataFrame:
+    """Mean probability of each level over the option orders its prompt was shown in; a prompt's means sum to 1.
+
+    Mass is normalised within each prompt and order; an order that got no mass at all counts as uniform over the prompt's
+    levels, and a level without a row in an order has probability 0 there. Orders count, not rows."""
+    orders = masses.groupBy(*keys, permutation).agg(F.sum(mass).alias("_total"))
+    shown = orders.groupBy(*keys).agg(F.count(F.lit(1)).alias("_orders"), F.count_if(F.coalesce("_total", F.lit(0.0)) == 0).alias("_empty"))
+    total = F.sum(mass).over(Window.partitionBy(*keys, permutation))  # the options of one prompt
+    share = F.when(total != 0, F.coalesce(F.col(mass), F.lit(0.0)) / total).otherwise(0.0)
+    sums = masses.withColumn("_p", share).groupBy(*keys, level).agg(F.sum("_p").alias("_p"))
+    counted = sums.withColumn("_options", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return counted.join(shown, list(keys)).select(
+        *keys, level, ((F.col("_p") + F.col("_empty") / F.col("_options")) / F.col("_orders")).alias("p"))
 
 
 def mean_logprob(tokens: DataFrame, keys: Sequence[str], prompt: str, logprob: str) -> DataFrame:

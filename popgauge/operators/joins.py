@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from popgauge.functions.hashing import hash62
+from popgauge.session import cut_lineage
 
 
 def attach(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", *, bounded: bool = False) -> DataFrame:
@@ -47,9 +48,17 @@ def lookup_default(df: DataFrame, codes: DataFrame, on: Mapping[str, str], order
 def merge_by_id(tables: Sequence[DataFrame], key: str) -> DataFrame:
     """Component tables side by side, one row per id that occurs in any of them.
 
-    The tables are stacked and folded by id in one shuffle, however many they are."""
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-    return stacked.groupBy(key).agg(*[F.max(c).alias(c) for c in stacked.columns if c != key])
+    The tables are stacked and folded by id in one shuffle, however many they are. A column comes from the one table that
+    has it (of several the first); an id that occurs twice in a table is an error, as its rows would be mixed."""
+    numbered = [t.select(F.col(key), F.lit(i).alias("_table"), F.struct(*[c for c in t.columns if c != key]).alias(f"_row{i}")) for i, t in enumerate(tables)]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
+    counts = [F.count_if(F.col("_table") == i) for i in range(len(tables))]
+    folded = stacked.groupBy(key).agg(
+        F.greatest(*counts, F.lit(0)).alias("_most"), *[F.any_value(f"_row{i}", ignoreNulls=True).alias(f"_row{i}") for i in range(len(tables))])
+    columns = dict.fromkeys(c for t in tables for c in t.columns if c != key)
+    sources = {c: [F.col(f"_row{i}")[c] for i, t in enumerate(tables) if c in t.columns] for c in columns}
+    sound = F.when(F.col("_most") > 1, F.raise_error(F.concat(F.lit("id occurs twice in a table: "), F.col(key).cast("string")))).otherwise(F.lit(True))
+    return folded.where(sound).select(key, *[F.coalesce(*found).alias(c) for c, found in sources.items()])
 
 
 def self_variants(scores: DataFrame, keys: Sequence[str], tuned: str, value: str = "score") -> DataFrame:
@@ -74,22 +83,34 @@ def already_done(todo: DataFrame, done: DataFrame, identity: Sequence[str]) -> D
     return todo.join(done.select(*identity), list(identity), "left_anti")
 
 
-def running_total(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str],
-                  buckets: int = 1024) -> DataFrame:
+def equal_depth(df: DataFrame, keys: Sequence[str], order: str, side: int = 16) -> DataFrame:
+    """``df`` with ``_bucket``: its place among the ``side * side`` quantile ranges of its group.
+
+    The bounds come from a mergeable quantile sketch of each group, so that buckets are about equally full however the
+    values are spread. A sketch depends on the order in which parts were merged; its bounds are therefore checkpointed,
+    and every use and every recomputation reads the same ones. A row finds its bucket in two short lists."""
+    keys, n = list(keys), side * side
+    sketch = F.percentile_approx(order, [i / n for i in range(1, n)], 40 * n)
+    bounds = cut_lineage(df.groupBy(*keys).agg(sketch.alias("_bounds")).select(
+        *keys, F.transform(F.sequence(F.lit(1), F.lit(side - 1)), lambda i: F.element_at("_bounds", i * side)).alias("_coarse"),
+        F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.slice("_bounds", i * side + 1, F.lit(side - 1))).alias("_fine")))
+    below = lambda bound: bound < F.col(order)
+    placed = attach(df, bounds, keys, "inner").withColumn("_first", F.size(F.filter("_coarse", below)))
+    fine = F.size(F.filter(F.element_at("_fine", F.col("_first") + 1), below))
+    return placed.withColumn("_bucket", F.col("_first") * side + fine).drop("_coarse", "_fine", "_first")
+
+
+def running_total(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], side: int = 16) -> DataFrame:
     """Inclusive running totals ``cum_<c>`` and group totals ``tot_<c>`` along a numeric order.
 
-    Expects one row per (keys, order). Each group's own range is cut into buckets; totals per bucket are summed up
-    first, so no task sorts a whole group. The buckets follow from the groups' least and greatest values alone, so
-    every use and every recomputation agrees on them.
+    Expects one row per (keys, order). Each group is cut into buckets of about equal depth; totals per bucket are summed
+    up first, so no task sorts a whole group.
     """
     keys = list(keys)
-    span = df.groupBy(*keys).agg(F.min(order).alias("_least"), F.max(order).alias("_most"))
-    share = F.try_divide(F.col(order) - F.col("_least"), F.col("_most") - F.col("_least"))
-    place = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1)).cast("int")
-    parts = attach(df, span, keys, "inner").withColumn("_bucket", place).drop("_least", "_most")
+    parts = equal_depth(df, keys, order, side)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    # At most ``buckets`` rows per group.
+    # At most 256 rows per group.
     totals = parts.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
     offsets = totals.select(
         *keys, "_bucket",
@@ -109,3 +130,19 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence
 def fold_of(*keys: Column | str, folds: int = 5, seed: int = 42) -> Column:
     """Fold number from the respondent's own keys: no shuffle, stratified in expectation."""
     return (hash62(*keys, stream=seed) % F.lit(folds)).cast("int")
+
+
+def stratified_folds(df: DataFrame, outcome: str, ids: Sequence[str], *, folds: int = 5, seed: int = 42, buckets: int = 1024) -> DataFrame:
+    """``df`` with ``fold``: rows of each outcome dealt out in a random order, so that fold sizes differ by one at most.
+
+    The order is that of the ids' hashes. A row's number is its rank in its hash bucket plus the sizes of the buckets
+    before it; no window spans an outcome."""
+    hashed = df.withColumn("_hash", hash62(*ids, stream=seed)).withColumn("_bucket", (F.col("_hash") % buckets).cast("int"))
+    sizes = hashed.groupBy(outcome, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # At most ``buckets`` rows per outcome.
+    before = Window.partitionBy(outcome).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(outcome, "_bucket").orderBy("_hash", *ids)
+    ranked = hashed.withColumn("_rank", F.row_number().over(inside) - 1)
+    return attach(ranked, offsets, [outcome, "_bucket"], "inner").withColumn(
+        "fold", ((F.col("_before") + F.col("_rank")) % folds).cast("int")).drop("_hash", "_bucket", "_rank", "_before")

@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from popgauge.functions.hashing import hash62, key_sum, stream_uniform, uniform
+from popgauge.functions.hashing import key_sum, stream_uniform, uniform
+from popgauge.session import cut_lineage
 
 
 def once(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -15,68 +16,85 @@ def once(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def weighted_sample(df: DataFrame, n: int, weight: str, ids: Sequence[str], *, seed: int = 0) -> DataFrame:
+#: Rows that one task may put in order; bins of a histogram; expected draws of a row that are taken at once.
+AT_ONCE, BINS, MOST = 1 << 16, 1024, 64
+
+
+def smallest(df: DataFrame, key: str, n: int, ties: Sequence[str], at_once: int = AT_ONCE) -> DataFrame:
+    """The ``n`` rows with the smallest ``key`` (in (0, 1)), equal ones by ``ties``.
+
+    Beyond ``at_once`` rows the n-th key is found by histograms: each pass counts the bins of the one bin that holds it,
+    until few enough rows are left to be put in order; all others are taken or left by a filter."""
+    if n <= at_once:
+        return df.orderBy(key, *ties).limit(n)
+    sure, open_, low, width, rest = F.lit(False), F.lit(True), 0.0, 1.0 / BINS, n
+    for _ in range(6):  # 1024 ** 6 bins are as fine as a double
+        place = F.least(F.floor((F.col(key) - F.lit(low)) / F.lit(width)), F.lit(BINS - 1))
+        counts = {r["bin"]: r["n"] for r in df.where(open_).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()}  # BINS rows
+        if sum(counts.values()) <= rest:
+            return df.where(sure | open_)
+        chosen, passed = 0, 0
+        for chosen in sorted(counts):
+            if passed + counts[chosen] >= rest:
+                break
+            passed += counts[chosen]
+        sure, open_, rest = sure | (open_ & (place < chosen)), open_ & (place == chosen), rest - passed
+        low, width = low + chosen * width, width / BINS
+        if counts[chosen] <= at_once:
+            break
+    return df.where(sure).unionByName(df.where(open_).orderBy(key, *ties).limit(rest))
+
+
+def weighted_sample(df: DataFrame, n: int, weight: str, ids: Sequence[str], *, seed: int = 0, at_once: int = AT_ONCE) -> DataFrame:
     """``n`` rows without replacement, chances proportional to weight: the n smallest -ln(u) / w."""
     key = -F.ln(uniform(*ids, stream=seed)) / F.col(weight)
-    keyed = df.where(F.col(weight) > 0).withColumn("_key", key)
-    return keyed.orderBy("_key", *ids).limit(n).drop("_key")
+    keyed = df.where(F.col(weight) > 0).withColumn("_key", key).withColumn("_place", F.col("_key") / (1 + F.col("_key")))
+    return smallest(keyed, "_place", n, ["_key", *ids], at_once).drop("_key", "_place")
 
 
-def weighted_sample_replace(df: DataFrame, n: int, weight: str, ids: Sequence[str], *, seed: int = 0,
-                            side: int = 1024) -> DataFrame:
-    """``n`` draws with replacement, chances proportional to weight; adds the draw number ``draw``.
+def _poisson(mean: Column, u: Column) -> Column:
+    """Poisson count of any moderate mean, by inverting its distribution function at ``u``."""
+    def step(state: Column, k: Column) -> Column:
+        p = state["p"] * mean / k
+        return F.struct(p.alias("p"), (state["f"] + p).alias("f"), (state["n"] + (u > state["f"] + p).cast("int")).alias("n"))
 
-    Rows fall into ``side * side`` hash buckets, laid end to end on a line by their total weight. A
-    draw is a point on it, placed by two short lookups (at most ``side`` starts each). Only rows of
-    buckets that were hit - a share of about n / side^2 - are moved and sorted, and a draw meets its
-    row in one pass over the bucket, not by comparing pairs.
-    """
-    slot = (hash62(*ids, stream=seed + 1) % F.lit(side * side)).cast("int")
-    weighted = df.where(F.col(weight) > 0).withColumn("_fine", slot)
-    totals = weighted.groupBy("_fine").agg(F.sum(weight).alias("_w")).withColumn(
-        "_coarse", F.floor(F.col("_fine") / side).cast("int")
-    )
-    inside = Window.partitionBy("_coarse").orderBy("_fine")
-    fine = (
-        totals.withColumn("_lo", F.sum("_w").over(inside) - F.col("_w"))
-        .groupBy("_coarse")
-        .agg(F.array_sort(F.collect_list(F.struct("_lo", "_fine"))).alias("_starts"), F.sum("_w").alias("_w"))
-    )
-    # At most `side` rows from here on.
-    coarse = fine.select("_coarse", "_w", (F.sum("_w").over(Window.orderBy("_coarse")) - F.col("_w")).alias("_lo"))
-    line = coarse.agg(
-        F.array_sort(F.collect_list(F.struct("_lo", "_coarse"))).alias("_line"), F.sum("_w").alias("_all"),
-        F.lit(1).alias("_one"),
-    )
+    none = F.exp(-mean)
+    start = F.struct(none.alias("p"), none.alias("f"), F.lit(1).alias("n"))
+    most = F.ceil(mean + 9 * F.sqrt(mean) + 30).cast("int")
+    return F.when(u <= none, F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["n"]))
 
-    def hit(starts: str, at: str) -> Column:
-        return once(F.col(at), lambda x: F.element_at(starts, F.size(F.filter(starts, lambda s: s["_lo"] <= x))))
-
-    draws = (
-        df.sparkSession.range(n).select(F.col("id").alias("draw"), F.lit(1).alias("_one"))
-        .withColumn("_keys", key_sum("draw"))
-        .join(F.broadcast(line), "_one")
-        .withColumn("_at", stream_uniform(F.col("_keys"), seed + 2) * F.col("_all"))
-        .withColumn("_hit", hit("_line", "_at"))
-        .select("draw", F.col("_hit._coarse").alias("_coarse"), (F.col("_at") - F.col("_hit._lo")).alias("_at"))
-        .join(fine.select("_coarse", "_starts"), "_coarse")
-        .withColumn("_hit", hit("_starts", "_at"))
-        .select("draw", F.col("_hit._fine").alias("_fine"), (F.col("_at") - F.col("_hit._lo")).alias("_pos"))
-    )
-    drawn = weighted.join(draws.select("_fine").distinct(), "_fine", "left_semi")
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    within = Window.partitionBy("_fine").orderBy(*ids, weight).rowsBetween(*upto)
-    rows = drawn.select(
-        "_fine", (F.sum(weight).over(within) - F.col(weight)).alias("_pos"),
-        F.lit(None).cast("bigint").alias("draw"), F.struct(*df.columns).alias("_row"),
-    )
-    stacked = rows.unionByName(draws.select(
-        "_fine", "_pos", "draw", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row")
-    ))
-    # A row starts at its position; a draw takes the last row that starts at or before it.
-    merged = Window.partitionBy("_fine").orderBy("_pos", F.col("draw").asc_nulls_first())
-    found = stacked.withColumn("_row", F.last("_row", ignorenulls=True).over(merged))
-    return found.where(F.col("draw").isNotNull()).select("draw", "_row.*")
+
+def weighted_sample_replace(df: DataFrame, n: int, weight: str, ids: Sequence[str], *, seed: int = 0) -> DataFrame:
+    """``n`` draws with replacement, chances proportional to weight; adds the draw number ``draw``.
+
+    Counts of independent Poisson draws, given their sum, are multinomial, and so is what is left of them when draws are
+    struck out at random. So one pass sums the weights, and one lets each row draw its own Poisson count, from its own
+    keys, at a rate that gives a few more than ``n`` draws in all; rows without a draw go no further. Each draw gets a
+    random number; the ``n`` smallest count, and their order numbers the draws. Rows are never sorted or shuffled."""
+    weighted = df.where(F.col(weight) > 0)
+    total = weighted.agg(F.sum(F.col(weight).cast("double"))).first()[0]
+    if not total or n <= 0:
+        return weighted.limit(0).select(F.lit(0).cast("bigint").alias("draw"), *df.columns)
+    for attempt in range(100):  # the first one fails about once in 10 ** 15 times
+        stream = seed + 1 + 1000 * attempt
+        mean = F.col(weight).cast("double") * F.lit((n + 8 * n ** 0.5 + 20) / total)
+        pieces = F.ceil(mean / MOST)
+        laid = weighted.select(F.struct(*df.columns).alias("_row"), *[F.col(c).alias(f"_id{i}") for i, c in enumerate(ids)], (mean / pieces).alias("_mean"),
+                               F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)).alias("_piece"))
+        names = [f"_id{i}" for i in range(len(ids))]
+        drawn = laid.withColumn("_keys", key_sum(*names, "_piece")).withColumn("_u", stream_uniform(F.col("_keys"), stream))
+        counted = drawn.where(F.col("_u") > F.exp(-F.col("_mean"))).withColumn("_count", _poisson(F.col("_mean"), F.col("_u")))
+        each = counted.select("_row", *names, "_piece", F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("_copy"))
+        hits = cut_lineage(each.withColumn("_at", uniform(*names, "_piece", "_copy", stream=stream + 1)))
+        if hits.count() >= n:
+            break
+    ties = [*names, "_piece", "_copy"]
+    kept = smallest(hits, "_at", n, ties).withColumn("_bin", F.floor(F.col("_at") * BINS).cast("int"))
+    sizes = kept.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))
+    # At most ``BINS`` rows.
+    offsets = sizes.select("_bin", F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("_bin").orderBy("_at", *ties)) - 1)
+    return ranked.join(F.broadcast(offsets), "_bin").select((F.col("_before") + F.col("_rank")).cast("bigint").alias("draw"), "_row.*")
 
 
 def train_val_split(df: DataFrame, *ids: str, share: float = 0.8, seed: int = 42) -> DataFrame:

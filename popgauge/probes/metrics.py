@@ -269,15 +269,26 @@ def mean_logprob(spark, folder):
     return A.mean_logprob(tokens, ["task_id"], "prompt", "logprob").withColumn("mean_logprob", r6("mean_logprob"))
 
 
-@probe("permutation_average", """WITH m AS (SELECT user_id, hour(ts) AS perm, event_type, sum(value) AS mass FROM events GROUP BY ALL),
-p AS (SELECT user_id, event_type, CASE WHEN sum(mass) OVER g = 0 THEN 1.0 / count(*) OVER g ELSE mass / sum(mass) OVER g END AS p
-  FROM m WINDOW g AS (PARTITION BY user_id, perm))
-SELECT user_id, event_type, round(avg(p), 6) AS p FROM p GROUP BY ALL""")
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@probe("permutation_average", f"""WITH m AS (SELECT user_id, hour(ts) AS perm, event_type, sum(value) AS mass FROM events GROUP BY ALL),
+o AS (SELECT user_id, perm, sum(mass) AS total FROM m GROUP BY ALL),
+s AS (SELECT o.user_id, perm, event_type, total, coalesce(mass, 0) AS mass
+  FROM (SELECT * FROM o CROSS JOIN (SELECT unnest({list(EVENT_TYPES)}) AS event_type)) o LEFT JOIN m USING (user_id, perm, event_type))
+SELECT user_id, event_type, round(avg(CASE WHEN total = 0 THEN 0.2::DOUBLE ELSE mass / total END), 6) AS p FROM s GROUP BY ALL""")
 def permutation_average(spark, folder):
-    masses = table(spark, folder, "events").groupBy(
-        "user_id", F.hour("ts").alias("perm"), "event_type"
-    ).agg(F.sum("value").alias("mass"))
-    return A.permutation_average(masses, ["user_id"], "perm", "event_type", "mass").withColumn("p", r6("p"))
+    """Each hour shows the event types in another order; what the letters got is mapped back by that order."""
+    levels = F.array(*[F.lit(e) for e in EVENT_TYPES])
+    hour, k = F.hour("ts"), len(EVENT_TYPES)
+    place = F.pmod(F.array_position(levels, F.col("event_type")) - 1 - F.col("perm"), F.lit(k))
+    said = table(spark, folder, "events").groupBy("user_id", hour.alias("perm"), "event_type").agg(F.sum("value").alias("mass"))
+    tokens = said.groupBy("user_id", "perm").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit(" "), F.char(F.lit(65) + place)).alias("key"), F.col("mass").alias("value")))).alias("masses"))
+    turn = F.pmod(F.col("perm"), F.lit(k))
+    order = F.concat(F.slice(levels, turn + 1, F.lit(k)), F.slice(levels, F.lit(1), turn))
+    masses = A.letter_masses(tokens.withColumn("shown", order), ["user_id"], "perm", "shown", "masses")
+    return A.permutation_average(masses, ["user_id"], "perm", "level", "mass").select("user_id", F.col("level").alias("event_type"), r6("p").alias("p"))
 
 
 @probe("mc_vote_distribution", """WITH a AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'A' WHEN 'error' THEN 'B' WHEN 'purchase' THEN 'C' WHEN 'view' THEN 'D' ELSE 'Z' END AS letter FROM events)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from popgauge.functions.text import WHITESPACE, probability_bins
 from popgauge.operators import sampling as P
 from popgauge.operators.answers import budget_levels
-from popgauge.operators.joins import fold_of
+from popgauge.operators.joins import stratified_folds
 from popgauge.operators.metrics import rank_within
 from popgauge.operators.reshape import order_custom, sequence_pack
 from popgauge.plans import reports as R
@@ -61,9 +61,10 @@ def custom_order(spark, folder):
     )
 
 
-@probe("kfold_assign", f"""SELECT {IDS_LIST}, CAST({u_sql(*IDS_SQL, stream=42)} % 5 AS INTEGER) AS fold FROM lineitem""")
+@probe("kfold_assign", f"""WITH h AS (SELECT {IDS_LIST}, l_returnflag, {u_sql(*IDS_SQL, stream=42)} AS h FROM lineitem)
+SELECT {IDS_LIST}, l_returnflag, CAST((row_number() OVER (PARTITION BY l_returnflag ORDER BY h % 1024, h, {IDS_LIST}) - 1) % 5 AS INTEGER) AS fold FROM h""")
 def kfold(spark, folder):
-    return table(spark, folder, "lineitem").select(*S.IDS, fold_of(*S.IDS).alias("fold"))
+    return stratified_folds(table(spark, folder, "lineitem").select(*S.IDS, "l_returnflag"), "l_returnflag", S.IDS)
 
 
 @probe("weighted_sample", f"""SELECT {IDS_LIST}, l_quantity FROM lineitem WHERE l_quantity > 0
@@ -73,11 +74,14 @@ def weighted_sample(spark, folder):
     return P.weighted_sample(lines, 1000, "l_quantity", S.IDS)
 
 
-@probe("weighted_sample_replace", f"""WITH r AS (SELECT {IDS_LIST}, l_quantity, {u_sql(*IDS_SQL, stream=1)} % 1048576 AS fine FROM lineitem WHERE l_quantity > 0),
-c AS (SELECT *, sum(l_quantity) OVER (ORDER BY fine, {IDS_LIST}, l_quantity ROWS UNBOUNDED PRECEDING) AS hi FROM r),
-t AS (SELECT sum(l_quantity) AS total FROM r),
-d AS (SELECT i AS draw, {uniform_sql("i", stream=2)} * total AS at FROM t, generate_series(0, 2499) s(i))
-SELECT draw, {IDS_LIST}, l_quantity FROM d ASOF JOIN (SELECT *, hi - l_quantity AS lo FROM c) c ON d.at >= c.lo""")
+@probe("weighted_sample_replace", f"""WITH r AS (SELECT {IDS_LIST}, l_quantity, l_quantity * ({2500 + 8 * 2500 ** 0.5 + 20!r}::DOUBLE / (SELECT sum(l_quantity) FROM lineitem WHERE l_quantity > 0)) AS mu,
+  {uniform_sql(*IDS_SQL, "0", stream=1)} AS u FROM lineitem WHERE l_quantity > 0),
+k AS (SELECT *, unnest(generate_series(0, 60)) AS k FROM r WHERE u > exp(-mu)),
+f AS (SELECT {IDS_LIST}, l_quantity, u, k, sum(exp(k * ln(mu) - mu - lgamma(k + 1))) OVER (PARTITION BY {IDS_LIST} ORDER BY k) AS f FROM k),
+c AS (SELECT {IDS_LIST}, l_quantity, count(*) FILTER (u > f) AS n FROM f GROUP BY ALL),
+e AS (SELECT {IDS_LIST}, l_quantity, unnest(generate_series(1, n)) AS copy FROM c),
+a AS (SELECT *, {uniform_sql(*IDS_SQL, "0", "copy", stream=2)} AS spot FROM e)
+SELECT * FROM (SELECT row_number() OVER (ORDER BY spot, {IDS_LIST}, copy) - 1 AS draw, {IDS_LIST}, l_quantity FROM a) WHERE draw < 2500""")
 def weighted_sample_replace(spark, folder):
     lines = table(spark, folder, "lineitem").select(*S.IDS, "l_quantity")
     return P.weighted_sample_replace(lines, 2500, "l_quantity", S.IDS)

@@ -106,6 +106,24 @@ def test_attach_keeps_every_fact_and_matches_null_keys(spark):
     assert all(v == f"v{k}" for _, k, v in plain if k in (0, 1, 2, None))
 
 
+def test_permutation_average_sums_to_one(spark):
+    """Letters follow the shown order; levels without mass count 0, empty orders are uniform."""
+    rows = [("q", 0, ["x", "y", "z"], {" A": 3.0, "B": 1.0, "no": 9.0}), ("q", 1, ["z", "x", "y"], {"A ": 2.0}), ("q", 2, ["y", "z", "x"], {})]
+    df = spark.createDataFrame(rows, "q string, perm int, shown array<string>, masses map<string,double>")
+    masses = A.letter_masses(df, ["q"], "perm", "shown", "masses")
+    out = {r.level: r.p for r in A.permutation_average(masses, ["q"], "perm", "level", "mass").collect()}
+    want = {"x": (0.75 + 0 + 1 / 3) / 3, "y": (0.25 + 0 + 1 / 3) / 3, "z": (0 + 1 + 1 / 3) / 3}
+    assert out == {k: pytest.approx(v) for k, v in want.items()} and sum(out.values()) == pytest.approx(1)
+    kept = {r.level: r.p for r in A.permutation_average(masses.where("mass > 0 OR perm = 2"), ["q"], "perm", "level", "mass").collect()}
+    assert kept == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_merge_by_id_refuses_repeated_ids(spark):
+    one, two = spark.createDataFrame([(1, "a"), (1, "b")], "id int, x string"), spark.createDataFrame([(1, 2)], "id int, y int")
+    with pytest.raises(Exception, match="occurs twice"):
+        J.merge_by_id([one, two], "id").collect()
+
+
 def test_merge_by_id(spark):
     parts = [spark.createDataFrame(rows, f"id int, {c} string") for c, rows in (("a", [(1, "x"), (2, "y")]), ("b", [(2, "z"), (3, None)]), ("c", [(1, "w")]))]
     assert sorted(map(tuple, J.merge_by_id(parts, "id").collect())) == [(1, "x", None, "w"), (2, "y", "z", None), (3, None, None, None)]
@@ -125,14 +143,14 @@ def test_streams_mix_and_take_texts(spark):
 def test_running_total_matches_brute_force(spark):
     rows = [(i % 2, float((i * 37) % 101), float(i % 4)) for i in range(101)]
     df = spark.createDataFrame(rows, "k int, v double, w double")
-    for r in J.running_total(df, ["k"], "v", ["w"], buckets=5).collect():
+    for r in J.running_total(df, ["k"], "v", ["w"], side=2).collect():
         assert r.cum_w == pytest.approx(sum(w for k, v, w in rows if k == r.k and v <= r.v))
         assert r.tot_w == pytest.approx(sum(w for k, _, w in rows if k == r.k))
 
 
 def test_sample_with_replacement_follows_weights(spark):
     df = spark.range(50).withColumn("w", (F.col("id") + 1).cast("double"))
-    drawn = P.weighted_sample_replace(df, 20000, "w", ["id"], side=8)
+    drawn = P.weighted_sample_replace(df, 20000, "w", ["id"])
     counts = {r.id: r["count"] for r in drawn.groupBy("id").count().collect()}
     assert sum(counts.values()) == 20000
     for i in range(50):
@@ -171,3 +189,50 @@ def test_encode(spark):
     out = R.encode_categoricals(df, {"y": ["no", "yes"], "o": ["lo", "mid", "hi"], "c": ["r", "g", "b"]}, ordered=["o"])
     assert out.columns == ["y", "o", "c_r", "c_g", "c_b"]
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, 1, 1, 0, 0), (0, 0, 0, 1, 0), (None, 3, 0, 0, 0)], key=str)
+
+
+def test_buckets_are_equally_deep_whatever_the_values(spark):
+    """Log-normal values with a sigma of 5 span twenty powers of ten; no bucket holds over 2 % of a group."""
+    import random
+
+    r = random.Random(3)
+    rows = [(k, r.lognormvariate(0, 5), 1.0) for k in "ab" for _ in range(20_000)]
+    df = spark.createDataFrame(rows, "k string, x double, w double").repartition(5).cache()
+    fullest = J.equal_depth(df, ["k"], "x").groupBy("k", "_bucket").count().groupBy("k").agg(F.max("count").alias("n")).collect()
+    assert len(fullest) == 2 and all(f.n < 0.02 * 20_000 for f in fullest)
+    got = {(g.k, g.x): (g.cum_w, g.tot_w) for g in J.running_total(df, ["k"], "x", ["w"]).collect()}
+    for k in "ab":
+        mine = sorted(x for key, x, _ in rows if key == k)
+        assert [got[k, x] for x in mine[::997]] == [(i + 1.0, 20_000.0) for i in range(0, 20_000, 997)]
+
+
+def test_a_large_sample_is_the_same_without_one_task(spark):
+    df = spark.range(5_000).withColumn("w", (F.col("id") % 7 + 1).cast("double")).repartition(6)
+    want = {r.id for r in P.weighted_sample(df, 2_500, "w", ["id"]).collect()}
+    out = P.weighted_sample(df, 2_500, "w", ["id"], at_once=20)
+    assert {r.id for r in out.collect()} == want and out.count() == 2_500
+    alike = df.withColumn("k", F.lit(0.25))
+    assert sorted(r.id for r in P.smallest(alike, "k", 100, ["id"], 20).collect()) == list(range(100))
+    assert P.smallest(alike, "k", 9_999, ["id"], 20).count() == 5_000
+
+
+def test_draws_with_replacement_are_numbered_and_multinomial(spark):
+    df = spark.createDataFrame([(i, w) for i, w in enumerate([1.0, 2.0, 0.0, 5.0, None])], "id int, w double")
+    counts = {}
+    for seed in range(3):
+        out = P.weighted_sample_replace(df, 4_000, "w", ["id"], seed=seed).collect()
+        assert sorted(r.draw for r in out) == list(range(4_000))
+        for r in out:
+            counts[r.id] = counts.get(r.id, 0) + 1
+        first = [r.id for r in sorted(out, key=lambda r: r.draw)]
+        assert abs(sum(a == b for a, b in zip(first, first[1:])) / 3_999 - (1 + 4 + 25) / 64) < 0.05
+    assert counts.keys() == {0, 1, 3} and all(counts[i] == pytest.approx(12_000 * w / 8, rel=0.1) for i, w in ((0, 1), (1, 2), (3, 5)))
+    assert P.weighted_sample_replace(df.where("w = 0"), 5, "w", ["id"]).count() == 0
+
+
+def test_folds_are_stratified_to_the_row(spark):
+    df = spark.range(1_003).withColumn("y", F.when(F.col("id") % 10 < 7, "a").when(F.col("id") % 10 < 9, "b"))
+    sizes = {}
+    for r in J.stratified_folds(df, "y", ["id"]).groupBy("y", "fold").count().collect():
+        sizes.setdefault(r.y, []).append(r["count"])
+    assert sizes.keys() == {"a", "b", None} and all(len(n) == 5 and max(n) - min(n) <= 1 for n in sizes.values())
