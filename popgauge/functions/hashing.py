@@ -8,7 +8,7 @@ whole-stage codegen, and expressible in any SQL engine. Two rows share a draw on
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column
@@ -82,6 +82,29 @@ def stream_uniform(keys: Column, stream: int | Column = 0) -> Column:
     return (stream_hash(keys, stream).cast("double") + F.lit(0.5)) / F.lit(float(RANGE))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` uses it, also per array element."""
+    return F.transform(F.array(value), then)[0]
+
+
+def uniform_for_filter(keys: Column, stream: int) -> Column:
+    """``stream_uniform`` for use in a filter. Filters are pushed below the projection that names a draw and then compute
+    each of its nested terms anew wherever it is used; here every term is bound to a variable first."""
+    terms = [F.lit(t).cast("bigint") for t in stream_terms(stream)]
+
+    def scattered(prime: int) -> Callable[[Column], Column]:
+        return lambda x: cubic(x, prime)
+
+    def draw(k: Column) -> Column:
+        a, b, drawn = F.shiftright(k, 31), k.bitwiseAND(F.lit(LANE - 1)), []
+        for prime, (by_a, by_b, plus) in zip(PRIMES, (terms[:3], terms[3:])):
+            mixed = (a * by_a % F.lit(prime) + b * by_b % F.lit(prime) + plus) % F.lit(prime)
+            drawn.append(once(mixed, scattered(prime)))
+        return (drawn[0] * F.lit(PRIMES[1]).cast("bigint") + drawn[1]).cast("double")
+
+    return (once(keys, draw) + F.lit(0.5)) / F.lit(float(RANGE))
+
+
 def uniform_array(keys: np.ndarray, streams: Sequence[int]) -> np.ndarray:
     """``stream_uniform`` of every key (rows) and stream (columns), in numpy; no product leaves 63 bits."""
     a, b = keys.astype(np.int64) >> 31, keys.astype(np.int64) & (LANE - 1)

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from popgauge.functions.hashing import key_sum, stream_uniform, uniform
+from popgauge.functions.hashing import key_sum, once, stream_uniform, uniform, uniform_for_filter
 from popgauge.session import cut_lineage
 
 
-def once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with the value computed once, however often ``then`` uses it, also per array element."""
-    return F.transform(F.array(value), then)[0]
-
-
 #: Rows that one task may put in order; bins of a histogram; expected draws of a row that are taken at once.
 AT_ONCE, BINS, MOST = 1 << 16, 1024, 64
 
@@ -82,7 +77,7 @@ def weighted_sample_replace(df: DataFrame, n: int, weight: str, ids: Sequence[st
         laid = weighted.select(F.struct(*df.columns).alias("_row"), *[F.col(c).alias(f"_id{i}") for i, c in enumerate(ids)], (mean / pieces).alias("_mean"),
                                F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)).alias("_piece"))
         names = [f"_id{i}" for i in range(len(ids))]
-        drawn = laid.withColumn("_keys", key_sum(*names, "_piece")).withColumn("_u", stream_uniform(F.col("_keys"), stream))
+        drawn = laid.withColumn("_keys", key_sum(*names, "_piece")).withColumn("_u", uniform_for_filter(F.col("_keys"), stream))
         counted = drawn.where(F.col("_u") > F.exp(-F.col("_mean"))).withColumn("_count", _poisson(F.col("_mean"), F.col("_u")))
         each = counted.select("_row", *names, "_piece", F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("_copy"))
         hits = cut_lineage(each.withColumn("_at", uniform(*names, "_piece", "_copy", stream=stream + 1)))
