@@ -12,6 +12,7 @@ from popgauge.operators import metrics as M
 from popgauge.operators.answers import reference_as_model, score_batch as run_scorer
 from popgauge.operators.environments import envs_dataset
 from popgauge.operators.impute import impute_chained
+from popgauge.operators.matching import impute_matched
 from popgauge.operators.tabulate import task_cells
 from popgauge.plans.scoring import eval_low_dim
 from popgauge.probes import survey as S
@@ -125,6 +126,24 @@ def impute(spark, folder):
     return impute_chained(df, PREDICTORS, ["doc_id"], rounds=5)
 
 
+@probe("impute_matched", """WITH t AS (SELECT doc_id, lang, quality, toxic, CASE WHEN doc_id % 10 <> 0 THEN n_chars END AS n_chars FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, lang, CASE quality WHEN 1 THEN 'good' WHEN 0 THEN 'bad' ELSE 'filled' END AS quality, CASE toxic WHEN 1 THEN 'yes' WHEN 0 THEN 'no' ELSE 'filled' END AS toxic,
+  coalesce(n_chars, -1) AS n_chars, TRUE AS observed_value FROM t""")
+def impute_with_matches(spark, folder):
+    """Categorical and numeric gaps filled from all other columns: what was known stays, every fill is a value of its column."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 10 != 0, F.col("n_chars")).alias("n_chars"))
+    df = docs.join(table(spark, folder, "labels"), "doc_id", "left").select(
+        "doc_id", "lang", R.recode_map("quality", {1: "good", 0: "bad"}).alias("quality"),
+        R.recode_map("toxic", {1: "yes", 0: "no"}).alias("toxic"), "n_chars")
+    filled = impute_matched(df, ["lang", "quality", "toxic", "n_chars"], ["doc_id"], rounds=2)
+    known = df.select("doc_id", *[F.col(c).alias(f"_{c}") for c in ("quality", "toxic", "n_chars")])
+    seen = df.where("n_chars IS NOT NULL").select(F.col("n_chars").alias("_value")).distinct()
+    told = filled.join(known, "doc_id").join(seen, F.col("n_chars") == F.col("_value"), "left")
+    kept = lambda c, other: F.when(F.col(f"_{c}").isNull(), F.lit(other)).otherwise(F.col(c)).alias(c)
+    right = F.col("_value").isNotNull() & F.col("quality").isin("good", "bad") & F.col("toxic").isin("yes", "no")
+    return told.select("doc_id", "lang", kept("quality", "filled"), kept("toxic", "filled"), kept("n_chars", -1), right.alias("observed_value"))
+
+
 @probe("kde_weighted", f"""WITH {S.SURVEY},
 st AS (SELECT ptype, stddev_samp(spend) AS sd, (quantile_cont(spend, 0.75) - quantile_cont(spend, 0.25)) / 1.349 AS iqr, count(*) AS n, min(spend) AS lo, max(spend) AS hi, sum(weight) AS tot FROM survey GROUP BY 1),
 b AS (SELECT *, 1.059 * CASE WHEN iqr > 0 THEN least(sd, iqr) ELSE sd END * n ** (-0.2) AS bw FROM st),
