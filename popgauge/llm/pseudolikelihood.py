@@ -2,13 +2,15 @@
 
 Each token is predicted from the words on both sides of it, itself masked. The words around it (``SIDE`` on each)
 choose vectors from one table per position; their sum passes through tanh and a softmax over word classes. A class
-is one of the most frequent words, or all rarer words that share a hash; inside a class a word has its share of the
-class's occurrences in the corpus. A document's score is the sum of the conditional log-probabilities of its tokens.
+is one of the most frequent words, a band of less frequent ones (bands of about equal mass, so that words of one band
+are about equally frequent), or all words outside the list; inside a class a word has its share of the class's
+occurrences in the corpus. A document's score is the sum of the conditional log-probabilities of its tokens.
 
-Word counts cover the whole corpus and are summed by Spark. Training goes over every document: each partition runs
-stochastic gradient steps from the same start over its own tokens and gives its parameters, which Spark averages,
-weighted by tokens, in two levels of sums; nothing is gathered in one place but the averaged parameters, whose size
-is fixed. ``rounds`` repeats this from the average.
+Word counts cover the whole corpus and are summed by Spark. Training goes over every document once: a hash of id and text
+deals the documents into ``rounds`` parts; in each round Spark sums the gradients of one part over all partitions, and
+the parameters take one step along them (rates that follow the gradients' moments). The bias starts at the classes'
+shares, so training starts from the word frequencies. Gradients are sums, so the model does not depend on how the table
+is partitioned, but for the rounding of sums; nothing is gathered in one place but these sums, whose size is fixed.
 
 Words are runs free of ASCII blanks, A-Z lower-cased.
 
@@ -37,8 +39,13 @@ from popgauge.session import cut_lineage
 FREQUENT, CLASSES, VOCABULARY, HIDDEN, SIDE = 40, 64, 4_096, 16, 2
 #: Words with an input vector of their own, and words whose counts are broadcast; the others' counts stay distributed.
 OWN, LISTED = 2_048, 32_768
+#: Class of the words outside the list.
+UNLISTED = CLASSES - 1
 OFFSETS = (*range(-SIDE, 0), *range(1, SIDE + 1))
-STEP, RATE = 8_192, 0.25
+#: Tokens of one forward pass, and of one sum of gradients by row.
+STEP, LOT = 8_192, 65_536
+#: Size of a step, and what the gradients' mean and mean square keep of their past.
+RATE, KEEP_MEAN, KEEP_SQUARE = 0.1, 0.8, 0.9
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -51,41 +58,45 @@ class Lexicon(dict):
 
     MOST = 400_000
 
-    def __init__(self, listed: list[tuple[bytes, int]]):
+    def __init__(self, listed: list[tuple[bytes, int]], total: int | None = None):
+        """``listed``: words and counts by falling count; ``total``: tokens of the corpus, those of other words too."""
         super().__init__()
         self.listed = {w: (i, n) for i, (w, n) in enumerate(listed)}
         self.rows, self.classes = array("i", bytes(4 * self.MOST)), array("i", bytes(4 * self.MOST))
         self.shares = array("d", bytes(8 * self.MOST))
-        self.weigh([0] * CLASSES)
-
-    def weigh(self, totals: list[int]) -> None:
-        """Set the classes' totals. In the share of a word, one more stands for words never seen."""
-        self.totals = totals
-        self.rare = [math.log(1.0 / (t + 1.0)) for t in totals]
+        counts = np.array([n for _, n in listed], np.int64)
+        self.total = int(counts.sum()) if total is None else total
+        banded = counts[FREQUENT:]
+        middle = (np.cumsum(banded) - banded / 2) / max(1, banded.sum())
+        bands = FREQUENT + (middle * (UNLISTED - FREQUENT)).astype(np.int64)
+        self.placed = np.concatenate([np.arange(min(FREQUENT, len(counts))), bands]).astype(np.int64)
+        totals = np.zeros(CLASSES, np.int64)
+        np.add.at(totals, self.placed, counts)
+        totals[UNLISTED] = self.total - counts.sum()
+        self.totals, self.placed = totals.tolist(), self.placed.tolist()
 
     def class_of(self, word: bytes) -> int:
-        at = self.listed[word][0] if word in self.listed else VOCABULARY
-        return at if at < FREQUENT else FREQUENT + xxhash.xxh64_intdigest(word, 7) % (CLASSES - FREQUENT)
+        return self.placed[self.listed[word][0]] if word in self.listed else UNLISTED
+
+    def log_shares(self) -> np.ndarray:
+        """Logarithm of each class's share of all tokens; half an occurrence more stands for what was never seen."""
+        totals = np.array(self.totals, np.float64) + 0.5
+        return np.log(totals / totals.sum())
 
     def __missing__(self, word: bytes) -> int:
         self[word] = place = len(self)
-        found = self.listed.get(word)
-        if found is not None and found[0] < FREQUENT:
-            self.rows[place], self.classes[place], self.shares[place] = found[0] + 1, found[0], 0.0
-            return place
+        at, n = self.listed.get(word, (VOCABULARY, 1))
+        self.classes[place] = cls = self.class_of(word)
         # Row 0 is the edge of a text; words without a row of their own share one by hash.
-        number = xxhash.xxh64_intdigest(word, 7)
-        self.classes[place] = cls = FREQUENT + number % (CLASSES - FREQUENT)
-        if found is None:  # outside the list: ``scored`` adds the logarithm of its count
-            self.rows[place], self.shares[place] = 1 + OWN + (number >> 32) % (VOCABULARY - OWN), self.rare[cls]
+        self.rows[place] = at + 1 if at < OWN else 1 + OWN + (xxhash.xxh64_intdigest(word, 7) >> 32) % (VOCABULARY - OWN)
+        if cls == UNLISTED:  # one more stands for words never seen; ``scored`` adds the logarithm of the word's count
+            self.shares[place] = -math.log(self.totals[cls] + 1.0)
         else:
-            at, n = found
-            self.rows[place] = at + 1 if at < OWN else 1 + OWN + (number >> 32) % (VOCABULARY - OWN)
-            self.shares[place] = math.log(n) + self.rare[cls]
+            self.shares[place] = math.log(n / self.totals[cls])
         return place
 
     def __reduce__(self):
-        return _lexicon, ([(w, n) for w, (_, n) in self.listed.items()], self.totals)
+        return Lexicon, ([(w, n) for w, (_, n) in self.listed.items()], self.total)
 
     def numbers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Input rows, classes and log shares of the words."""
@@ -102,12 +113,6 @@ class Lexicon(dict):
         return tuple(np.concatenate(p) for p in zip(*parts)) if len(parts) > 1 else parts[0]
 
 
-def _lexicon(listed: list[tuple[bytes, int]], totals: list[int]) -> Lexicon:
-    out = Lexicon(listed)
-    out.weigh(totals)
-    return out
-
-
 def start(seed: int = 5) -> list[np.ndarray]:
     """Input tables (position, word, unit), output weights and bias. Row 0 stands for the edge of a text."""
     random = np.random.default_rng(seed)
@@ -163,31 +168,51 @@ def gradients(model: list[np.ndarray], around: np.ndarray, classes: np.ndarray)
     return [back, hidden.T @ error, error.sum(axis=0)]
 
 
-class Trainer:
-    """Stochastic gradient steps with rates that fall with the squared gradients seen (Adagrad)."""
+class Gradients:
+    """Sums of the gradients over the tokens of many texts: by position and input row, output weights and bias."""
 
     def __init__(self, model: list[np.ndarray]):
-        self.model = [m.copy() for m in model]
-        self.seen = [np.full(model[0].shape[:2], 1e-6, np.float32), *[np.full_like(m, 1e-6) for m in model[1:]]]
-
-    def step(self, line: np.ndarray, at: np.ndarray, classes: np.ndarray) -> None:
-        """One step over the tokens at these places of a line."""
-        back, *rest = gradients(self.model, np.stack([line[at + o] for o in OFFSETS], axis=1), classes)
-        padded = np.zeros((len(line) + 2 * SIDE, back.shape[1]), np.float32)
-        padded[at + SIDE] = back
+        self.model, self.sums, self.tokens = model, [np.zeros(m.shape) for m in model], 0
+
+    def add(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Texts as (input rows, classes)."""
+        line, at = laid([r for r, _ in texts])
+        classes = np.concatenate([c for _, c in texts])
+        padded = np.zeros((len(line) + 2 * SIDE, HIDDEN), np.float32)
+        for first in range(0, len(at), STEP):
+            some = at[first:first + STEP]
+            back, *rest = gradients(self.model, np.stack([line[some + o] for o in OFFSETS], axis=1), classes[first:first + STEP])
+            padded[some + SIDE] = back * len(some)
+            for total, g in zip(self.sums[1:], rest):
+                total += g * len(some)
         # The line sorted by row serves all positions: only the gradients that meet a row are shifted.
         order = np.argsort(line.astype(np.int16), kind="stable")
         rows = line.take(order)
-        last = np.flatnonzero(np.concatenate([rows[1:] != rows[:-1], [True]]))
-        rows = rows[last]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         for p, o in enumerate(OFFSETS):
-            upto = np.cumsum(padded.take(order - o + SIDE, axis=0), axis=0, dtype=np.float64)[last]
-            total = np.diff(upto, axis=0, prepend=0.0).astype(np.float32)
-            self.seen[0][p, rows] += (total * total).mean(axis=1)
-            self.model[0][p, rows] -= RATE * total / np.sqrt(self.seen[0][p, rows])[:, None]
-        for i, g in enumerate(rest, 1):
-            self.seen[i] += g * g
-            self.model[i] -= RATE * g / np.sqrt(self.seen[i])
+            self.sums[0][p, rows[first]] += np.add.reduceat(padded.take(order - o + SIDE, axis=0), first, axis=0)
+        self.tokens += len(at)
+
+
+class Descent:
+    """Steps along mean gradients, scaled by moving averages of the gradients and of their squares (Adam); an input
+    row's vector has one scale."""
+
+    def __init__(self, model: list[np.ndarray]):
+        self.model, self.steps = model, 0
+        self.mean = [np.zeros(m.shape) for m in model]
+        self.square = [np.zeros((*m.shape[:-1], 1) if m.ndim == 3 else m.shape) for m in model]
+
+    def step(self, sums: list[np.ndarray], tokens: int) -> None:
+        self.steps += 1
+        for i, total in enumerate(sums):
+            g = total / tokens
+            power = (g * g).mean(axis=-1, keepdims=True) if g.ndim == 3 else g * g
+            self.mean[i] = KEEP_MEAN * self.mean[i] + (1 - KEEP_MEAN) * g
+            self.square[i] = KEEP_SQUARE * self.square[i] + (1 - KEEP_SQUARE) * power
+            scale = np.sqrt(self.square[i] / (1 - KEEP_SQUARE ** self.steps)) + 1e-12
+            move = self.mean[i] / (1 - KEEP_MEAN ** self.steps) / scale
+            self.model[i] = (self.model[i] - RATE * np.clip(move, -3.0, 3.0)).astype(np.float32)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
@@ -197,8 +222,8 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
 
 
 def lexicon(texts: DataFrame) -> Lexicon:
-    """Counts of all words of ``texts`` (``text``), summed by Spark; only the most frequent words and the totals of the
-    classes come to the driver. ``unlisted`` holds the other words' hashes and counts above one as a table."""
+    """Counts of all words of ``texts`` (``text``), summed by Spark; only the most frequent words and the number of
+    tokens come to the driver. ``unlisted`` holds the other words' hashes and counts above one as a table."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
@@ -217,68 +242,66 @@ def lexicon(texts: DataFrame) -> Lexicon:
     counts = cut_lineage(texts.mapInArrow(lean(count), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     # How many words have about how many occurrences, on a grid of a few hundred steps; the list takes whole steps.
     step = F.floor(F.log2("n") * 16).cast("int")
-    steps = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True)
+    steps = sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect(), reverse=True)
     least, listed = None, 0
     for r in steps:
-        if (listed := listed + r["count"]) > LISTED:
+        if (listed := listed + r["words"]) > LISTED:
             break
         least = r["step"]
     rows = counts.where(step >= least).collect() if least is not None else []  # LISTED rows at most
-    model = Lexicon(sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda w: (-w[1], w[0])))
-
+    model = Lexicon(sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda w: (-w[1], w[0])), sum(r["n"] for r in steps))
     rest = counts if least is None else counts.where(step < least)
     model.unlisted = rest.where("n > 1").select(F.xxhash64("word").alias("word"), "n")
-
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(CLASSES, np.int64)
-        for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                totals[model.class_of(word)] += n
-        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(totals)], ["class", "n"])
-
-    totals = [0] * CLASSES
-    for r in counts.mapInArrow(lean(classes), "class int, n bigint").groupBy("class").agg(F.sum("n").alias("n")).collect():
-        totals[r["class"]] = r["n"]
-    model.weigh(totals)
     return model
 
 
-def trained(texts: DataFrame, words: Lexicon, rounds: int = 1) -> list[np.ndarray]:
-    """Parameters averaged over all partitions, each of which learns from all of its tokens."""
+def trained(texts: DataFrame, words: Lexicon, rounds: int = 8) -> list[np.ndarray]:
+    """Parameters after one step along the summed gradients of each of ``rounds`` parts of the documents.
+
+    Parts are dealt by a hash of all columns of ``texts``, so that an id beside ``text`` spreads equal texts."""
     model = start()
-    shapes = [m.shape for m in model]
-    size = sum(m.size for m in model)
+    model[2] = words.log_shares().astype(np.float32)
+    descent = Descent(model)
+    shapes, size = [m.shape for m in model], sum(m.size for m in model)
     piece = 4_096
-    for _ in range(rounds):
-        sent = texts.sparkSession.sparkContext.broadcast((words, model))
+    context = texts.sparkSession.sparkContext
+    # A task gives sums of a fixed size, however small its part: no more tasks than twice the cores.
+    tasks = 2 * context.defaultParallelism
+    lexicon_sent = context.broadcast(words)
+    for number in range(rounds):
+        sent = context.broadcast(descent.model)
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            lex, first = sent.value
-            trainer, tokens, held = Trainer(first), 0, []
+            lex, sums, held, tokens = lexicon_sent.value, Gradients(sent.value), [], 0
             for _, split in _texts(batches, 0):
-                held += [lex.numbers(w)[:2] for w in split if w]
-                if held and sum(len(r) for r, _ in held) >= STEP:
-                    tokens += _steps(trainer, held)
+                for one in split:
+                    if one:
+                        held.append(lex.numbers(one)[:2])
+                        tokens += len(one)
+                    if tokens >= LOT:
+                        sums.add(held)
+                        held, tokens = [], 0
             if held:
-                tokens += _steps(trainer, held)
-            if tokens:
-                flat = np.concatenate([m.ravel() for m in trainer.model])
-                flat = np.append(flat, np.zeros(-size % piece, np.float32)).reshape(-1, piece)
+                sums.add(held)
+            if sums.tokens:
+                flat = np.concatenate([m.ravel() for m in sums.sums])
+                flat = np.append(flat, np.zeros(-size % piece)).astype(np.float32).reshape(-1, piece)
                 where = xxhash.xxh32_intdigest(flat.tobytes()) % 64
-                for at in range(len(flat)):
+                for at in sorted({*np.flatnonzero(flat.any(axis=1)).tolist(), len(flat) - 1}):
                     yield pa.RecordBatch.from_pydict({
                         "piece": pa.array([at], pa.int32()), "part": pa.array([where], pa.int32()),
-                        "tokens": pa.array([tokens], pa.int64()), "v": pa.array([flat[at].tobytes()], pa.binary())})
+                        "tokens": pa.array([sums.tokens if at == len(flat) - 1 else 0], pa.int64()),
+                        "v": pa.array([flat[at].tobytes()], pa.binary())})
 
-        def added(weighted: bool):
-            """Sums of parameters by ``piece`` and ``part``; ``weighted``: of single ones, times their tokens."""
+        def added(single: bool):
+            """Sums by ``piece`` and ``part``, or by ``piece``; ``single``: of single precision."""
             def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums: dict[tuple[int, int], list] = {}
                 for batch in batches:
                     for key, part, n, v in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                        slot = sums.setdefault((key, part if weighted else 0), [0, np.zeros(piece)])
+                        slot = sums.setdefault((key, part if single else 0), [0, np.zeros(piece)])
                         slot[0] += n
-                        slot[1] += np.frombuffer(v, np.float32).astype(np.float64) * n if weighted else np.frombuffer(v)
+                        slot[1] += np.frombuffer(v, np.float32 if single else np.float64)
                 for (key, part), (n, v) in sums.items():
                     yield pa.RecordBatch.from_pydict({
                         "piece": pa.array([key], pa.int32()), "part": pa.array([part], pa.int32()),
@@ -286,33 +309,26 @@ def trained(texts: DataFrame, words: Lexicon, rounds: int = 1) -> list[np.ndarra
             return add
 
         kind = "piece int, part int, tokens bigint, v binary"
-        parts = texts.mapInArrow(lean(learn), kind).repartition("piece", "part").mapInArrow(added(True), kind)
-        sums = parts.repartition("piece").mapInArrow(added(False), kind).collect()  # one row for each piece of the parameters
-        if not sums:
-            return model
-        flat = np.concatenate([np.frombuffer(r["v"], np.float64) / r["tokens"] for r in sorted(sums, key=lambda r: r["piece"])])
+        some = texts.where(F.pmod(F.xxhash64(*texts.columns), F.lit(rounds)) == number).select("text").coalesce(tasks)
+        parts = some.mapInArrow(lean(learn), kind).repartition("piece", "part").mapInArrow(added(True), kind)
+        rows = parts.repartition("piece").mapInArrow(added(False), kind).collect()  # one row for each piece of the sums
+        sent.destroy()
+        tokens = sum(r["tokens"] for r in rows)
+        if not tokens:
+            continue
+        flat = np.zeros((-(-size // piece), piece))
+        for r in rows:
+            flat[r["piece"]] += np.frombuffer(r["v"])
         cuts = np.cumsum([int(np.prod(s)) for s in shapes])
-        model = [p.reshape(s).astype(np.float32) for p, s in zip(np.split(flat[:size], cuts[:-1]), shapes)]
-    return model
-
-
-def _steps(trainer: Trainer, held: list[tuple[np.ndarray, np.ndarray]]) -> int:
-    """Learn from the held texts in steps of ``STEP`` tokens; empties ``held``."""
-    line, at = laid([r for r, _ in held])
-    classes = np.concatenate([c for _, c in held])
-    held.clear()
-    for first in range(0, len(at), STEP):
-        some = at[first:first + STEP]
-        low, high = some[0] - SIDE, some[-1] + SIDE + 1
-        trainer.step(line[low:high], some - low, classes[first:first + STEP])
-    return len(classes)
+        descent.step([p.reshape(s) for p, s in zip(np.split(flat.ravel()[:size], cuts[:-1]), shapes)], tokens)
+    return descent.model
 
 
-def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 1) -> DataFrame:
+def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 8) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood`` (sum) and ``mean_log_likelihood`` of every document."""
     frame = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     words = lexicon(frame.select("text"))
-    sent = frame.sparkSession.sparkContext.broadcast((words, trained(frame.select("text"), words, rounds)))
+    sent = frame.sparkSession.sparkContext.broadcast((words, trained(frame, words, rounds)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, model = sent.value
@@ -329,9 +345,12 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds:
             before = np.concatenate([[0.0], np.cumsum(each)])
             sums = before[cuts] - before[cuts - sizes]
             # Spark's seed, so that the hashes meet those of ``unlisted``.
-            others = [np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in one if t not in lex.listed), np.uint64).view(np.int64) for one in split]
+            places = np.flatnonzero(classes == UNLISTED)
+            others = np.fromiter((xxhash.xxh64_intdigest(tokens[i], 42) for i in places.tolist()), np.uint64, len(places)).view(np.int64)
+            bounds = np.searchsorted(places, np.concatenate([[0], cuts]))
             yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(others, pa.list_(pa.int64())),
+                part.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()),
+                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(others, pa.int64())),
             ], ["doc_id", "n_tokens", "log_likelihood", "others"])
 
     rows = cut_lineage(frame.mapInArrow(

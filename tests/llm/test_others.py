@@ -344,7 +344,7 @@ def test_scores_sum_conditional_log_probabilities(spark):
     counts = Counter(w for _, t in rows for w in (t or "").encode().lower().split())
     assert {w: n for w, (_, n) in words.listed.items()} == counts
     assert sum(words.totals) == sum(counts.values())
-    model = pseudolikelihood.trained(docs.select("text"), words)
+    model = pseudolikelihood.trained(docs.select("doc_id", "text"), words)
     out = pseudolikelihood.scored(docs).collect()
     got = Counter((r["doc_id"], r["n_tokens"]) for r in out)
     assert got == Counter((i, len((t or "").encode().lower().split())) for i, t in rows)
@@ -385,3 +385,42 @@ def test_network_learns_context(spark):
     rows = [(i, " ".join(w for _ in range(100) for w in r.choice(pairs))) for i in range(300)]
     out = pseudolikelihood.scored(frame(spark, rows)).collect()
     assert sum(r["log_likelihood"] for r in out) / sum(r["n_tokens"] for r in out) > np.log(1 / 6) + 0.8
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    r = random.Random(7)
+    rows = awkward() + [(100 + i, " ".join(r.choice(["left right", "up down", sentence(r, 2, 3_000)]) for _ in range(60))) for i in range(200)]
+    rows += [(1_000 + i, "the same text in a third of all rows") for i in range(100)]
+    found = []
+    for parts in (1, 4, 32):
+        out = pseudolikelihood.scored(frame(spark, rows).repartition(parts)).collect()
+        found.append(sorted((str(q["doc_id"]), q["n_tokens"], q["log_likelihood"]) for q in out))
+    for other in found[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in found[0]]
+        assert np.allclose([x[2] for x in other], [x[2] for x in found[0]], rtol=1e-3)
+
+
+def test_training_beats_word_frequencies():
+    """The start is the word frequencies; sums over any split of the texts are the same, and steps only gain."""
+    r = np.random.default_rng(3)
+    texts = [(c + 1, c) for c in (np.repeat(r.integers(0, 30, 40), 2).astype(np.int32) for _ in range(50))]
+    model = pseudolikelihood.start()
+    whole, parts = pseudolikelihood.Gradients(model), pseudolikelihood.Gradients(model)
+    whole.add(texts)
+    for at in range(0, 50, 7):
+        parts.add(texts[at:at + 7])
+    assert whole.tokens == parts.tokens == 4_000
+    assert all(np.allclose(a, b, atol=1e-3) for a, b in zip(whole.sums, parts.sums))
+    around, classes = pseudolikelihood.windows([t for t, _ in texts]), np.concatenate([c for _, c in texts])
+    direct = pseudolikelihood.gradients([m.astype(np.float64) for m in model], around, classes)[0] * len(classes)
+    for p in range(len(pseudolikelihood.OFFSETS)):
+        want = np.zeros_like(whole.sums[0][p])
+        np.add.at(want, around[:, p], direct)
+        assert np.allclose(whole.sums[0][p], want, atol=1e-3)
+    descent = pseudolikelihood.Descent(model)
+    before = pseudolikelihood.log_probabilities(model, around, classes).mean()
+    for _ in range(8):
+        now = pseudolikelihood.Gradients(descent.model)
+        now.add(texts)
+        descent.step(now.sums, now.tokens)
+    assert pseudolikelihood.log_probabilities(descent.model, around, classes).mean() > before + 0.5
