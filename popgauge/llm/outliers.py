@@ -11,8 +11,8 @@ collected, however large. Estimates (a few numbers per cell) are stored in the s
 joined by cell; Spark broadcasts them where their files are small enough.
 
 Defined results: NULL and blank texts have no words and fail the base rules; NULL languages and sources are values of
-their own; equal rows are judged alike; a corpus smaller than ``LEAST_ROWS`` is judged by the base rules alone; empty
-tables give empty results; other columns are ignored.
+their own; equal rows are judged alike; a corpus smaller than ``LEAST_ROWS`` is one pooled cell (the floors keep its
+covariance regular, down to one row); empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -185,14 +185,12 @@ def minimum_determinant(rows: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """Counts, ``base_failed``, ``distance`` (scaled; NULL in a corpus too small) and ``kept`` of every document."""
+    """Counts, ``base_failed``, ``distance`` (scaled; NULL where the base rules reject all of a cell) and ``kept`` of every document."""
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     rows = stored(counts(docs, doc_id, text, lang, source).select("*", failed.alias("base_failed"), *[v.alias(x) for v, x in zip(vector(), X)]), "mcd-counts")
     sound = rows.where("NOT base_failed")
     cells = stored(_cells(sound), "mcd-cells")
     in_cells = sound.join(cells, "fine").select("cell", *X)
-    if sound.count() < LEAST_ROWS:
-        return rows.withColumn("distance", F.lit(None).cast("double")).withColumn("kept", ~F.col("base_failed"))
     estimate = minimum_determinant(stored(in_cells, "mcd-vectors"))
     scale = F.greatest(F.exp((F.col("middle") + 1) / GRID) / CHI_MEDIAN, F.lit(1.0))
     placed = cells.join(estimate, "cell")
