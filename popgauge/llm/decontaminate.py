@@ -200,16 +200,21 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_items: int) -> list[list[tuple[str, bytes]]]:
-    """The query set in blocks of about ``block_items`` rows, each small enough for every task."""
+def _blocks(benchmark: DataFrame, item: str, text: str, block_items: int, block_bytes: int = 4 << 20) -> Iterator[list[tuple[str, bytes]]]:
+    """The query set in blocks of about ``block_items`` rows and ``block_bytes`` bytes (a longer text is a block of its
+    own), each small enough for every task and gathered when it is asked for; rows equal in item and text come once."""
     rows = benchmark.select(
         F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(text).cast("string").alias("words"),
     ).where("words IS NOT NULL")
-    count = -(-rows.count() // block_items)
-    return [
-        [(r["item"], r["words"].encode()) for r in rows.where(F.pmod(F.xxhash64("item", "words"), F.lit(count)) == b).collect()]
-        for b in range(count)
-    ]
+    size = F.octet_length("words").cast("bigint")
+    number = F.xxhash64("item", "words")
+    some = rows.where(size <= block_bytes)
+    total = some.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    count = max(-(-total["n"] // block_items), -(-total["bytes"] // block_bytes))
+    for b in range(count):
+        yield [(r["item"], r["words"].encode()) for r in some.where(F.pmod(number, F.lit(count)) == b).distinct().collect()]
+    for r in rows.where(size > block_bytes).distinct().toLocalIterator():
+        yield [(r["item"], r["words"].encode())]
 
 
 def _searched(docs: DataFrame, benchmark: DataFrame, text: str, size: int, block_items: int, shard_words: int, column: str = "_found") -> DataFrame:
