@@ -51,10 +51,18 @@ d AS (
     xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)),
       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS text_crc32
   FROM documents, crc),
-u AS (
-  SELECT DISTINCT key, s, -ln((CAST('0x' || substr(md5(s || ':' || key), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE) AS draw
-  FROM d, range(41) r(s)),
-p AS (SELECT key, arg_min(s, draw) FILTER (s < 40) AS shard, arg_min(s, draw) AS grown_shard FROM u GROUP BY key),
+k AS (SELECT DISTINCT key FROM d),
+n AS (
+  SELECT key, node, -ln((CAST('0x' || substr(md5(node || ':' || key), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE) AS draw
+  FROM k, (SELECT 'region' || i AS node FROM range(2) r(i) UNION ALL SELECT 'rack' || i FROM range(8) r(i) UNION ALL SELECT 'shard' || i FROM range(41) r(i))),
+r AS (SELECT key, arg_min(i, draw) AS region, min(draw) / 20 AS least FROM n JOIN range(2) r(i) ON node = 'region' || i GROUP BY key),
+c AS (
+  SELECT key, any_value(region) AS region, any_value(least) AS least, arg_min(i, draw) AS rack
+  FROM r JOIN n USING (key) JOIN range(8) r(i) ON node = 'rack' || i AND i // 4 = region GROUP BY key),
+s AS (
+  SELECT key, any_value(least) AS least, arg_min(i, draw) AS shard
+  FROM c JOIN n USING (key) JOIN range(40) r(i) ON node = 'shard' || i AND i // 5 = rack GROUP BY key),
+p AS (SELECT key, shard, CASE WHEN draw < least THEN 40 ELSE shard END AS grown_shard FROM s JOIN n USING (key) WHERE node = 'shard40'),
 b AS (
   SELECT *, CAST('0x' || substr(md5('slot:' || key), 1, 12) AS BIGINT) % (SELECT CAST(ceil(count(*) / 800000) AS BIGINT) + 1 FROM documents) AS bucket
   FROM d JOIN p USING (key))

@@ -1,10 +1,14 @@
 """Sharding by a hierarchical weighted hash tree.
 
-The tree has regions, racks and shards. Every leaf draws ``-ln(u) / weight`` from a hash of the key and its own
-number, an exponential variable with the leaf's weight as rate; the draw of an inner node is the least draw below
-it, so it is exponential with the summed weight of its subtree. A key descends from the root: at each level the
-child with the least draw takes it, which is a weighted hash draw among the children. When a leaf joins or its
-weight grows, only its own draw and those of its ancestors fall: keys move into that leaf and nowhere else.
+The tree has regions, racks and shards. A key descends from the root: at each level every child draws
+``-ln(u) / weight`` from a hash of the key and its own name, an exponential variable whose rate is the summed weight of
+the child's subtree, and the least draw takes the key. A key thus meets the children of three nodes, not all leaves.
+When a weight changes, only draws on the path to it change: keys move into, out of or below the nodes of that path, and
+all others stay.
+
+A leaf that joins later brings a draw of its own against the root's least draw, which is exponential with the weight of
+the whole tree: the leaf gets its share, and keys move into it and nowhere else. (Raising the weights of its ancestors
+instead would draw keys into their older leaves too.)
 
 Defined results: a NULL key is a key of its own; equal keys go to the same shard; NULL and empty texts have no
 bytes; repeated rows each get a slot; an empty table gives an empty result; other columns are ignored.
@@ -32,22 +36,34 @@ def _digits(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
 
 
-def draw(key: Column, leaf: int, weight: float) -> Column:
-    """Exponential draw of a leaf from 48 bits of a hash of (leaf, key)."""
-    u = (_digits(F.concat(F.lit(f"{leaf}:"), key)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
+def draw(key: Column, node: str, weight: float) -> Column:
+    """Exponential draw of a node from 48 bits of a hash of (node, key)."""
+    u = (_digits(F.concat(F.lit(f"{node}:"), key)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
     return -F.ln(u) / F.lit(weight)
 
 
-def descend(key: Column, leaves: list[tuple[int, int, int, float]]) -> Column:
-    """The leaf a key reaches: struct of ``draw, region, rack, shard``.
+def _least(key: Column, kind: str, weights: dict[int, float]) -> Column:
+    """The child with the least draw: struct of ``draw`` and ``node``."""
+    return F.array_min(F.array(*[F.struct(draw(key, f"{kind}{n}", w).alias("draw"), F.lit(n).alias("node")) for n, w in weights.items()]))
+
+
+def descend(rows: DataFrame, key: Column, leaves: list[tuple[int, int, int, float]]) -> DataFrame:
+    """``rows`` with the leaf that ``key`` reaches (``region, rack, shard``) and the root's least draw (``draw``)."""
+    regions: dict[int, float] = {}
+    racks: dict[int, dict[int, float]] = {}
+    shards: dict[int, dict[int, float]] = {}
+    for region, rack, shard, weight in leaves:
+        regions[region] = regions.get(region, 0.0) + weight
+        below = racks.setdefault(region, {})
+        below[rack] = below.get(rack, 0.0) + weight
+        shards.setdefault(rack, {})[shard] = weight
+
+    def among(node: str, kind: str, children: dict[int, dict[int, float]]) -> Column:
+        # Only the branch of the node that was reached is evaluated.
+        return F.coalesce(*[F.when(F.col(node) == n, _least(key, kind, c)["node"]) for n, c in children.items()])
 
-    The least (draw, region, rack, shard) of all leaves lies below the region with the least draw, below the rack
-    with the least draw in it, and is the least there: one minimum makes all three choices."""
-    text = F.coalesce(key.cast("string"), F.lit("null"))
-    return F.array_min(F.array(*[
-        F.struct(draw(text, s, w).alias("draw"), F.lit(region).alias("region"), F.lit(rack).alias("rack"), F.lit(s).alias("shard"))
-        for region, rack, s, w in leaves
-    ]))
+    rooted = rows.withColumn("_root", _least(key, "region", regions)).select("*", F.col("_root.draw").alias("draw"), F.col("_root.node").alias("region"))
+    return rooted.drop("_root").withColumn("rack", among("region", "rack", racks)).withColumn("shard", among("rack", "shard", shards))
 
 
 def place(
@@ -71,11 +87,10 @@ def place(
     new = tree(shards + 1, weights)[-1]
     same = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
     text_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    placed = same.withColumn("leaf", descend(F.col("doc_id"), leaves)).select(
-        "*", F.col("leaf.region").alias("region"), F.col("leaf.rack").alias("rack"), F.col("leaf.shard").alias("shard"),
-        F.when(draw(text_key, new[2], new[3]) < F.col("leaf.draw"), F.lit(new[2])).otherwise(F.col("leaf.shard")).alias("grown_shard"),
+    placed = descend(same, text_key, leaves).select(
+        "*", F.when(draw(text_key, f"shard{new[2]}", new[3]) < F.col("draw"), F.lit(new[2])).otherwise(F.col("shard")).alias("grown_shard"),
         F.pmod(_digits(F.concat(F.lit("slot:"), text_key)), F.lit(buckets)).cast("int").alias("bucket"),
-    ).drop("leaf")
+    ).drop("draw")
     placed = cut_lineage(placed)
     upto = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
     inside = placed.withColumn("after", F.sum("copies").over(upto))

@@ -141,14 +141,22 @@ def test_sequences_round_trip(spark):
 
 # Sharding
 
-def slow_shard(key, shards, weights=None):
+def slow_shard(key, shards, weights=None, base=40):
+    """Region, rack and shard by descent from the root of a tree of ``base`` leaves; later leaves draw against the root."""
     import hashlib
     import math
-    draws = []
-    for s in range(shards):
-        u = (int(hashlib.md5(f"{s}:{key}".encode()).hexdigest()[:12], 16) + 0.5) / 2 ** 48
-        draws.append((-math.log(u) / (weights or {}).get(s, 1.0), s))
-    return min(draws)[1]
+
+    def draw(node, rate):
+        u = (int(hashlib.md5(f"{node}:{key}".encode()).hexdigest()[:12], 16) + 0.5) / 2 ** 48
+        return -math.log(u) / rate
+
+    weight = lambda s: (weights or {}).get(s, 1.0)
+    below = lambda per, n: sum(weight(s) for s in range(base) if s // per == n)
+    least, region = min((draw(f"region{r}", below(20, r)), r) for r in range(base // 20))
+    rack = min((draw(f"rack{k}", below(5, k)), k) for k in range(base // 5) if k // 4 == region)[1]
+    shard = min((draw(f"shard{s}", weight(s)), s) for s in range(base) if s // 5 == rack)[1]
+    late = [s for s in range(base, shards) if draw(f"shard{s}", weight(s)) < least]
+    return late[0] if late else shard
 
 
 @pytest.mark.parametrize("weights", [None, {0: 3.0, 7: 0.25}])
@@ -167,6 +175,26 @@ def test_hash_tree(spark, weights):
     assert sharding.place(frame(spark, []), 40).count() == 0
 
 
+def test_hash_tree_moves_along_the_changed_path(spark):
+    """Keys go by weight, and move only into, out of or below nodes whose weights change; a new leaf takes its share."""
+    rows = frame(spark, [(i, "x") for i in range(6_000)])
+    before, after = ({r["doc_id"]: r for r in sharding.place(rows, 40, weights=w).collect()} for w in (None, {7: 6.0}))
+    moved = 0
+    for i, old in before.items():
+        new = after[i]
+        moved += old["shard"] != new["shard"]
+        assert old["shard"] == new["shard"] or 0 in (old["region"], new["region"])
+        if old["region"] == new["region"] and 1 not in (old["rack"], new["rack"]):
+            assert old["shard"] == new["shard"]
+        if old["rack"] == new["rack"] and 7 not in (old["shard"], new["shard"]):
+            assert old["shard"] == new["shard"]
+    assert 0 < moved < 2_000
+    shares = Counter(r["shard"] for r in after.values())
+    assert abs(shares[7] / 6_000 - 6 / 45) < 0.02 and all(abs(shares[s] / 6_000 - 1 / 45) < 0.01 for s in range(40) if s != 7)
+    grown = Counter(r["grown_shard"] for r in before.values())
+    assert abs(grown[40] / 6_000 - 1 / 41) < 0.01
+
+
 # Pseudonyms
 
 def luhn(digits):
@@ -246,7 +274,16 @@ def test_base_rules(spark):
     out = outliers.judged(frame(spark, rows)).collect()
     got = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in out)
     assert got == Counter((i, *slow_counts(t)) for i, t in rows)
-    assert all(r["kept"] == (not r["base_failed"]) for r in out)  # too few rows for an estimate
+    sound = [r for r in out if not r["base_failed"]]  # few rows: one pooled cell
+    x = np.array([[
+        np.log((q["word_chars"] + 50) / (q["n_words"] + 10)), np.sqrt(q["n_symbols"] / (q["word_chars"] + 100)), np.sqrt(q["n_dup_lines"] / (q["n_lines"] + 5)),
+        np.sqrt(q["n_repeat_words"] / (q["n_words"] + 30)), np.sqrt(q["n_upper"] / (q["word_chars"] + 100))] for q in sound])
+    want, found = slow_mcd(x), np.array([r["distance"] for r in sound])
+    assert np.corrcoef(np.log(found), np.log(want))[0, 1] > 0.95
+    assert all(r["kept"] == (r["distance"] <= outliers.CUTOFF) for r in sound) and not any(r["kept"] for r in out if r["base_failed"])
+    for few in (rows[:4], [(1, " ".join(f"v{i}" for i in range(60)))]):  # no sound row, and one
+        small = outliers.judged(frame(spark, few[:4])).collect()
+        assert len(small) == len(few) and all(r["kept"] == (not r["base_failed"]) for r in small if r["doc_id"] is not None)
     assert outliers.judged(frame(spark, [])).count() == 0
 
 
