@@ -198,3 +198,13 @@ def test_fm_index(text, phrases):
     got = {p: sorted(index.locate(np.arange(a, b)).tolist()) for p, a, b in zip(found.tolist(), low, high)}
     want = {p: [i for i in range(len(text) - 2) if text[i:i + 3] == phrase] for p, phrase in enumerate(phrases)}
     assert got == {p: places for p, places in want.items() if places}
+
+
+def test_benchmark_blocks_hold_each_row_once(spark):
+    """Long texts are blocks of their own; rows equal in item and text come once; NULL texts have no words."""
+    rows = [(f"i{k % 40}", f"text number {k % 40}") for k in range(80)] + [("long", "word " * 40), ("long", "word " * 40), (None, "text of no item"), ("none", None)]
+    table = spark.createDataFrame(rows, "i string, t string")
+    blocks = list(decontaminate._blocks(table, "i", "t", 10, block_bytes=100))
+    assert sorted(r for b in blocks for r in b) == sorted({(i or "null", t.encode()) for i, t in rows if t is not None})
+    assert all(len(b) == 1 for b in blocks if any(len(t) > 100 for _, t in b)) and len(blocks) > 4
+    assert [b for b in decontaminate._blocks(table.limit(0), "i", "t", 10)] == []
