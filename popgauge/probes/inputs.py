@@ -15,6 +15,18 @@ from popgauge.sources.floorstore import FloorStore, fingerprints
 from popgauge.spec import task_frame
 
 
+def landed_sheets(df, order, columns, titles, path):
+    """Write one text file a ``sheet``: the title rows, then the columns as delimited lines by rising place."""
+    body = df.select("sheet", F.col(order).cast("bigint").alias("place"), F.to_csv(F.struct(*columns)).alias("value"))
+    heads = df.select("sheet").distinct().select("sheet", F.posexplode(F.array(*[F.lit(t) for t in titles])).alias("place", "value"))
+    lines = body.unionByName(heads.withColumn("place", F.col("place").cast("bigint") - len(titles)))
+    lines.repartition("sheet").sortWithinPartitions("sheet", "place").select("sheet", "value").write.partitionBy("sheet").text(path)
+
+
+def sheet_of(file):
+    return F.regexp_extract(file, r"/sheet=(\d+)/", 1).cast("bigint").alias("sheet")
+
+
 @probe("scan_parquet", """SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS qty FROM lineitem WHERE l_quantity > 10 GROUP BY 1""")
 def scan_parquet(spark, folder):
     df = IO.read_parquet(spark, f"{folder}/lineitem.parquet", ["l_returnflag", "l_quantity"])
@@ -35,16 +47,22 @@ def write_once(spark, folder):
 
 @probe("scan_header_rows_json", "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS priority, o_orderstatus AS status FROM orders")
 def header_rows(spark, folder):
-    cells = [F.col("o_orderstatus"), F.col("o_orderkey").cast("string"), F.col("o_orderpriority")]
-    head = F.array(F.lit("status"), F.lit("id"), F.lit("priority"))
-    landed = table(spark, folder, "orders").select(F.to_json(F.array(head, F.array(*cells))).alias("doc"))
-    return IO.header_rows(landed, "doc", ["id", "priority", "status"])
+    """Documents of up to 100 rows under one header each."""
+    cells = F.array("o_orderstatus", F.col("o_orderkey").cast("string"), "o_orderpriority")
+    head = F.array(F.array(F.lit("status"), F.lit("id"), F.lit("priority")))
+    sheets = table(spark, folder, "orders").groupBy(F.expr("o_orderkey DIV 100").alias("sheet")).agg(F.collect_list(cells).alias("rows"))
+    return IO.header_rows(sheets.select(F.to_json(F.concat(head, "rows")).alias("doc")), "doc", ["id", "priority", "status"])
 
 
-@probe("scan_with_skiprows", """SELECT p_partkey AS row, p_name AS name, p_brand AS brand FROM part WHERE p_partkey > 10""")
+@probe("scan_with_skiprows", """SELECT p_partkey // 500 AS sheet, row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) + 3 AS row,
+  p_name AS name, p_brand AS brand, p_size AS size FROM part""")
 def skip_rows(spark, folder):
-    sheet = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    return IO.skip_rows(sheet, "p_partkey", 10, ["name", "brand"]).withColumnRenamed("p_partkey", "row")
+    """Landed sheets of up to 500 rows, with three title rows and a header that names other columns."""
+    path = scratch(spark, "part-sheets")
+    part = table(spark, folder, "part").withColumn("sheet", F.expr("p_partkey DIV 500"))
+    landed_sheets(part, "p_partkey", ["p_name", "p_brand", "p_size", "p_type"], ["Parts", "as landed, in full", "", "a,b,c,d"], path)
+    rows = IO.read_sheet(spark, path, "name string, brand string, size int", 3)
+    return rows.select(sheet_of("file"), F.col("line").alias("row"), "name", "brand", "size")
 
 
 @probe("scan_csv", "SELECT doc_id, quality, toxic FROM labels")

@@ -12,7 +12,9 @@ from popgauge.operators.reshape import ordered_levels
 from popgauge.plans.names import DATASET_NAMES, MODEL_NAMES
 from popgauge.plans.reports import dashboard_filter, is_sensitive, small_tasks
 from popgauge.probes import survey as S
-from popgauge.probes.registry import probe, r6, table
+from popgauge.probes.inputs import landed_sheets, sheet_of
+from popgauge.probes.registry import probe, r6, scratch, table
+from popgauge.sources import read_sheet
 from popgauge.spec import task_frame
 
 PRIORITY_LABELS = {"1-URGENT": "high", "2-HIGH": "high", "3-MEDIUM": "normal", "5-LOW": "low"}
@@ -180,12 +182,18 @@ def filter_headings(spark, folder):
     return drop_headings(part, "p_name", ["small ring", "red widget"], r"\bhot\b")
 
 
-@probe("filter_prefix_rows", """SELECT o_orderkey, CAST(o_orderdate::DATE AS VARCHAR) AS day FROM orders
-WHERE o_orderkey <= (SELECT min(o_orderkey) FROM orders WHERE o_orderpriority = '5-LOW' AND o_totalprice > 490000)""")
+@probe("filter_prefix_rows", """WITH o AS (SELECT *, o_orderkey // 5000 AS sheet, row_number() OVER (PARTITION BY o_orderkey // 5000 ORDER BY o_orderkey) + 1 AS line FROM orders),
+m AS (SELECT sheet, min(line) AS until FROM o WHERE o_orderpriority = '5-LOW' AND o_totalprice > 490000 GROUP BY 1)
+SELECT sheet, line, o_orderkey, CAST(o_orderdate::DATE AS VARCHAR) AS day FROM o LEFT JOIN m USING (sheet) WHERE until IS NULL OR line <= until""")
 def filter_prefix_rows(spark, folder):
-    orders = table(spark, folder, "orders")
-    marker = (F.col("o_orderpriority") == "5-LOW") & (F.col("o_totalprice") > 490000)
-    return keep_until(orders, "o_orderkey", marker).select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("day"))
+    """Landed sheets, each cut at its own last row by the lines' numbers in the file."""
+    path = scratch(spark, "order-sheets")
+    orders = table(spark, folder, "orders").withColumn("sheet", F.expr("o_orderkey DIV 5000"))
+    landed_sheets(orders, "o_orderkey", ["o_orderkey", "o_orderpriority", "o_totalprice", F.to_date("o_orderdate").alias("day")],
+                  ["Orders", "key,priority,total,day"], path)
+    rows = read_sheet(spark, path, "o_orderkey bigint, priority string, total double, day string", 1)
+    marker = (F.col("priority") == "5-LOW") & (F.col("total") > 490000)
+    return keep_until(rows, "line", marker, ["file"]).select(sheet_of("file"), "line", "o_orderkey", "day")
 
 
 @probe("filter_task_size", f"""WITH {S.SCORES},
