@@ -39,7 +39,7 @@ class Encoder:
 
     CUT = re.compile(r" (?=\S)")
     #: Bytes of chunks and ids remembered (with ``ENTRY`` for each one's objects), and chunks encoded at once.
-    MOST, ENTRY, AT_ONCE = 96 << 20, 230, 4_096
+    MOST, ENTRY, AT_ONCE = 96 << 20, 230, 1_024
 
     def __init__(self, path: str):
         # A task owns one core; the library's threads would take others, and keep memory of their own.
@@ -47,6 +47,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.width = self.kind.itemsize
+        #: Bytes that each id stands for: a byte-level token has one character a byte.
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = list(map(len, vocabulary))
         self.known: dict[str, bytes] = {}
         self.met_again: set[str] = set()
         self.held = 0
@@ -58,10 +62,27 @@ class Encoder:
             out += [array(kind, e.ids).tobytes() for e in found]
         return out
 
-    def _learn(self, split: list[list[str]]) -> None:
-        """Encode the chunks that are not known. When too many are, only those that were met again stay."""
-        chunks = set().union(*split)
-        new = chunks.difference(self.known)
+    def _ids_after_blank(self, chunks: list[str]) -> list[bytes]:
+        """The ids of every chunk behind a blank. Many are encoded as one text, whose ids are dealt out by the bytes they
+        stand for; where these do not end with the chunks, each is encoded by itself."""
+        out = []
+        for at in range(0, len(chunks), self.AT_ONCE):
+            part = chunks[at:at + self.AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            reached = np.cumsum(self.bytes_of[ids])
+            ends = np.cumsum([len(c.encode()) + 1 for c in part])
+            after = np.searchsorted(reached, ends) + 1
+            if len(ids) < after[-1] or reached[-1] != ends[-1] or (reached[after - 1] != ends).any():
+                out += self._ids([" " + c for c in part])
+                continue
+            flat, start = ids.tobytes(), 0
+            for stop in (after * self.width).tolist():
+                out.append(flat[start:stop])
+                start = stop
+        return out
+
+    def _learn(self, chunks: set[str], new: set[str]) -> None:
+        """Encode the ``new`` of the chunks, which are not known. When too many are, only those that were met again stay."""
         self.met_again |= chunks - new
         if self.held > self.MOST:
             self.known = {c: self.known[c] for c in self.met_again}
@@ -71,20 +92,24 @@ class Encoder:
                 self.known, self.held = {}, 0
                 new = chunks
         fresh = list(new)
-        ids = self._ids([" " + c for c in fresh])
+        ids = self._ids_after_blank(fresh)
         self.known.update(zip(fresh, ids))
         self.held += sum(map(len, fresh)) + sum(map(len, ids)) + self.ENTRY * len(fresh)
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of ``width`` bytes."""
         split = [(t or b"").decode().split(" ") for t in texts]
-        odd = {c for c in set().union(*split).difference(self.known) if not c or c[0].isspace()}
+        chunks = set().union(*split)
+        new = chunks.difference(self.known)
+        odd = {c for c in new if not c or c[0].isspace()}
         if odd:
             split = [
                 self.CUT.split(t.decode()) if t and not odd.isdisjoint(chunks[1:]) else chunks
                 for t, chunks in zip(texts, split)
             ]
-        self._learn(split)
+            chunks = set().union(*split)
+            new = chunks.difference(self.known)
+        self._learn(chunks, new)
         heads = self._ids([chunks[0] for chunks in split])
         get = self.known.__getitem__
         return [b"".join([head, *map(get, chunks[1:])]) for head, chunks in zip(heads, split)]
