@@ -1,6 +1,7 @@
 """Clean survey tables from landed raw tables.
 
-Each builder takes raw DataFrames (files already landed as Parquet or CSV) and returns the clean one.
+Each builder takes raw DataFrames (files already landed as Parquet or CSV) and returns the clean one. ``keep`` names raw
+columns, respondent ids as a rule, to carry along: resampling and imputation need them.
 The code lists are fixed values of the sources.
 """
 
@@ -75,7 +76,7 @@ ACS_REGIONS = [
 SALARY_BREAKS = [12000, 25000, 50000, 75000, 100000, 150000, 200000]
 
 
-def acs(raw: DataFrame, occupations: DataFrame, industries: DataFrame) -> DataFrame:
+def acs(raw: DataFrame, occupations: DataFrame, industries: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``raw`` holds the survey codes as text; the code lists are (row, code, name, group)."""
     place = sentinel_to_null("POWSP", "N")
     rules = [(place.isin(*codes), region) for region, codes in ACS_REGIONS]
@@ -83,7 +84,7 @@ def acs(raw: DataFrame, occupations: DataFrame, industries: DataFrame) -> DataFr
     level = F.nullif(F.col("SCHL").try_cast("int"), F.lit(0))
     salary = sentinel_to_null(coerce_numeric("WAGP"), -1)
     clean = raw.select(
-        recode_binary("SEX", "2", "female", "male").alias("sex"), F.col("AGEP").try_cast("int").alias("age"),
+        *keep, recode_binary("SEX", "2", "female", "male").alias("sex"), F.col("AGEP").try_cast("int").alias("age"),
         recode_map("RAC1P", ACS_RACE).alias("race"), recode_binary("HISP", "01", "no", "yes").alias("hispanic_origin"),
         recode_map("CIT", ACS_CITIZENSHIP).alias("citizenship"),
         recode_map("NATIVITY", {"1": "native", "2": "foreign-born"}).alias("nativity"),
@@ -137,10 +138,10 @@ def yes_no(source: str, yes: Sequence[int], no: Sequence[int]) -> Column:
     return recode_map(source, {**dict.fromkeys(yes, "Yes"), **dict.fromkeys(no, "No")})
 
 
-def brfss(raw: DataFrame) -> DataFrame:
+def brfss(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     flags = {name: yes_no(*spec) for name, spec in BRFSS_YES_NO.items()}
     return raw.select(
-        recode_map("_STATE", STATES).alias("state"), recode_map("_SEX", {1: "Male", 2: "Female"}).alias("sex"),
+        *keep, recode_map("_STATE", STATES).alias("state"), recode_map("_SEX", {1: "Male", 2: "Female"}).alias("sex"),
         recode_map("_IMPRACE", BRFSS_RACE).alias("race"), F.col("_AGE80").alias("age"),
         cut("_AGE80", BRFSS_AGE_EDGES, BRFSS_AGE_LABELS, right=False).alias("age_group"),
         recode_map("_EDUCAG", BRFSS_EDUCATION).alias("education"), recode_map("_INCOMG1", BRFSS_INCOME).alias("income"),
@@ -166,9 +167,9 @@ GSS_PARTY = {
 }
 
 
-def gss(raw: DataFrame) -> DataFrame:
+def gss(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return raw.dropna(subset=["wtssnrps"]).select(
-        F.col("wtssnrps").cast("double").alias("wgh"), recode_map("sex", {1: "male", 2: "female"}).alias("sex"),
+        *keep, F.col("wtssnrps").cast("double").alias("wgh"), recode_map("sex", {1: "male", 2: "female"}).alias("sex"),
         F.col("age").cast("double").alias("age"), recode_map("race", {1: "white", 2: "black", 3: "other"}).alias("race"),
         recode_map("degree", GSS_DEGREE).alias("degree"), F.col("educ").cast("double").alias("edu"),
         recode_map("income16", GSS_INCOME).alias("house_income"),
@@ -199,10 +200,10 @@ def visits(column: str) -> Column:
     return cut(column, VISIT_EDGES, VISIT_LABELS)
 
 
-def meps(raw: DataFrame) -> DataFrame:
+def meps(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     counted = {"office_visits": "OBTOTV22", "inpatient_visits": "IPDIS22", "dental_visits": "DVTOT22"}
     return raw.select(
-        recode_map("SEX", {1: "male", 2: "female"}).alias("sex"), recode_map("RACEV1X", MEPS_RACE).alias("race"),
+        *keep, recode_map("SEX", {1: "male", 2: "female"}).alias("sex"), recode_map("RACEV1X", MEPS_RACE).alias("race"),
         recode_map("MARRY53X", MEPS_MARITAL).alias("marital"), recode_map("REGION53", MEPS_REGION).alias("region"),
         recode_map("INSURC22", MEPS_INSURED).alias("insured"), recode_map("INSURC22", MEPS_INSURE_TYPE).alias("insure_type"),
         F.col("AGE53X").alias("age"), F.col("EDUCYR").alias("education_years"), F.col("TOTEXP22").alias("expenditure"),
@@ -250,10 +251,10 @@ def leading_code(label: str) -> Column:
     return F.regexp_extract(F.col(label).cast("string"), r"^(\d+) - ", 1).try_cast("int")
 
 
-def nsduh(raw: DataFrame) -> DataFrame:
+def nsduh(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The last-month columns read recency, of which code 1 is "within the past 30 days"."""
     return raw.select(
-        ordinal_label(leading_code("AGE3"), NSDUH_AGE).alias("age"),
+        *keep, ordinal_label(leading_code("AGE3"), NSDUH_AGE).alias("age"),
         recode_binary(leading_code("irsex"), 1, "male", "female").alias("sex"),
         ordinal_label(leading_code("NEWRACE2"), NSDUH_RACE).alias("race"),
         ordinal_label(leading_code("IREDUHIGHST2"), NSDUH_EDUCATION).alias("edu"),
@@ -273,11 +274,11 @@ SCF_BREAKS = {
 }
 
 
-def scf(raw: DataFrame) -> DataFrame:
+def scf(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     total = raw.withColumn("food", F.col("foodhome") + F.col("foodaway") + F.col("fooddelv"))
     bands = {f"{c}_group": cut_breaks(c, breaks, "US dollars") for c, breaks in SCF_BREAKS.items()}
     return total.select(
-        "age", cut("age", [*FIVE_YEAR_TOPS, 89, INF], [*FIVE_YEAR_LABELS, "85-89", "90+"], include_lowest=False).alias("age_group"),
+        *keep, "age", cut("age", [*FIVE_YEAR_TOPS, 89, INF], [*FIVE_YEAR_LABELS, "85-89", "90+"], include_lowest=False).alias("age_group"),
         recode_map("hhsex", {1: "Male", 2: "Female"}).alias("sex"), recode_map("racecl5", SCF_RACE).alias("race"),
         recode_map("edcl", SCF_EDUCATION).alias("education"), recode_map("married", {1: "yes", 2: "no"}).alias("married"),
         "kids", "food", bands["food_group"].alias("food_group"), recode_map("hhouses", {1: "yes", 0: "no"}).alias("house_own"),
