@@ -35,7 +35,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popgauge.llm.common import binary, lean, slices, stored
-from popgauge.session import cut_lineage
 
 #: Words of an anchor (a power of two), and occurrences from which an anchor counts as very frequent.
 ANCHOR, FREQUENT = 16, 4_096
@@ -316,17 +315,19 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     keyed = _keyed(docs, doc_id, text)
     texts = keyed.select("row", "text")
     every = stored(_pieces(texts, window, context.broadcast(np.zeros(0, np.uint64))), "substring-pieces")
-    met = cut_lineage(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = stored(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "substring-anchors")
     total = met.agg(F.sum("n")).first()[0] or 0
     most = max(FREQUENT, total >> 20)
     # Not more than total / most, that is 2**20, anchors can have over ``most`` of ``total`` occurrences.
     hot = np.sort(np.array([r["anchor"] for r in met.where(F.col("n") > most).select("anchor").collect()], np.int64).view(np.uint64))
-    pieces = every.join(met.where(F.col("n") <= most).select("anchor"), "anchor")
+    frequent = F.broadcast(met.where(F.col("n") > most).select("anchor"))  # so the same bound holds
+    rare = every.join(frequent, "anchor", "left_anti") if len(hot) else every  # their rows would meet in a few tasks
+    pieces = rare.join(met.where(F.col("n") <= most).select("anchor"), "anchor")
     if len(hot):
         alone = stored(_pieces(texts, window, context.broadcast(hot), only=True), "substring-windows")
         twice = alone.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         pieces = pieces.unionByName(alone.join(twice.select("anchor"), "anchor"))
-    pieces = cut_lineage(pieces)
+    pieces = stored(pieces, "substring-met")  # columns, compressed: a checkpoint would hold whole rows
     packed = _packed(keyed)
     found = _judged(_references(pieces, packed, window), window)
     by_row = pieces.join(found, ["anchor", "piece"]).select("row", F.shiftright("place", 8).alias("start"), "repeats").distinct() \
