@@ -10,6 +10,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from popgauge.functions.hashing import once
+
 WHITESPACE = " \t\n\r\f\x0b"
 MAX_OPTIONS = 26
 
@@ -120,11 +122,17 @@ def normalise_name(name: Column | str, *, drop: str = r"\d+",
                    renames: Mapping[str, str | None] | None = None) -> Column:
     """Lower-cased, trimmed name without the dropped characters; ``renames`` has the last word
     (a name renamed to None becomes NULL)."""
-    x = F.trim(F.regexp_replace(F.trim(F.lower(_col(name))), drop, ""))
-    chain = None
-    for old, new in (renames or {}).items():
-        chain = (F if chain is None else chain).when(x == old, F.lit(new))
-    return x if chain is None else chain.otherwise(x)
+    plain = F.trim(F.regexp_replace(F.trim(F.lower(_col(name))), drop, ""))
+    if not renames:
+        return plain
+
+    def renamed(x: Column) -> Column:
+        chain = F
+        for old, new in renames.items():
+            chain = chain.when(x == old, F.lit(new))
+        return chain.otherwise(x)
+
+    return once(plain, renamed)  # a filter would cut the name anew for each of the renames
 
 
 @lru_cache(maxsize=1)

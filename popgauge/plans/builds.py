@@ -435,17 +435,17 @@ def labor(raw: DataFrame, headings: Sequence[str] = LABOR_HEADINGS, renames: Map
 
     ``headings`` are the group rows to leave out, ``renames`` the occupations to rename or drop.
     """
+    kept = drop_headings(raw.dropna(subset=["occupation"]), "occupation", headings, r"\ball other\b")
+    name = normalise_name("occupation", drop=r"[\d\-]+", renames=renames)
+    named = kept.withColumn("occupation", name).dropna(subset=["occupation"])  # before each row becomes eight
     numbers = {c: coerce_numeric(sentinel_to_null(F.col(c).cast("string"), "-", "–")) for c in ("total", "female", "white", "black", "asian")}
-    parsed = raw.dropna(subset=["occupation"]).withColumns(numbers)
+    parsed = named.withColumns(numbers)
     shares = parsed.withColumns({
         "other": 100 - F.col("white") - F.col("black") - F.col("asian"), "female": F.col("female") / 100,
     }).withColumn("male", 1 - F.col("female"))
     races = ["white", "black", "asian", "other"]
     counted = shares.withColumns({r: F.col(r) * F.col("total") / 100 for r in races})
-    cells = split_counts(counted, "occupation", ["female", "male"], races)
-    kept = drop_headings(cells, "occupation", headings, r"\ball other\b")
-    name = normalise_name("occupation", drop=r"[\d\-]+", renames=renames)
-    return kept.withColumn("occupation", name).dropna()
+    return split_counts(counted, "occupation", ["female", "male"], races).dropna()
 
 
 def complete(df: DataFrame, ids: Sequence[str], *, without: Sequence[str] = (), spread: int = 3, rounds: int = 5, seed: int = 0) -> DataFrame:
