@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from popgauge.functions.hashing import key_sum, poisson_one, stream_uniform
+from popgauge.functions.hashing import key_sum, poisson_counts
 from popgauge.operators.joins import fold_of
 from popgauge.operators.tabulate import positive
 from popgauge.session import shared_path
@@ -81,14 +81,13 @@ def training_cells(df: DataFrame, tasks: Sequence[HighDimTask], ids: Sequence[st
     spark, names = df.sparkSession, list(dict.fromkeys(c for t in tasks for c in t.conditions))
     outcomes, weights = list(dict.fromkeys(t.outcome for t in tasks)), list(dict.fromkeys(t.weight for t in tasks))
     own = {t.weight: t.weight_value() for t in tasks}
-    keyed = df.withColumn("_keys", key_sum(*ids))
-    draws = {f"_u{b}": stream_uniform(F.col("_keys"), seed + 1000 + b) for b in range(replicates)}
-    drawn = keyed.withColumns(draws) if draws else keyed
-    counts = {f"_c{b}": poisson_one(F.col(f"_u{b}")) for b in range(replicates)}
-    drawn = drawn.withColumns(counts) if counts else drawn
+    drawn = df
+    if replicates:
+        drawn = df.withColumn("_keys", key_sum(*ids)).withColumn("_counts", poisson_counts(F.col("_keys"), range(seed + 1000, seed + 1000 + replicates)))
+    counts = {f"_c{b}": F.col("_counts")[b] for b in range(replicates)}
     rows = drawn.select(
         *[c.alias(f"_x{i}") for i, c in enumerate(_binned(df, names).values())], *[positive(F.col(o)).alias(f"_y{i}") for i, o in enumerate(outcomes)],
-        fold_of(*ids, folds=folds, seed=seed).alias("fold"), *[own[w].alias(f"_w{i}") for i, w in enumerate(weights)], *counts)
+        fold_of(*ids, folds=folds, seed=seed).alias("fold"), *[own[w].alias(f"_w{i}") for i, w in enumerate(weights)], *[c.alias(name) for name, c in counts.items()])
     sums = [F.sum(F.col(f"_w{i}") * (F.col(c) if c else 1)).alias(f"_w{i}{c or ''}") for i in range(len(weights)) for c in (None, *counts)]
     finest = rows.groupBy(*[f"_x{i}" for i in range(len(names))], *[f"_y{i}" for i in range(len(outcomes))], "fold").agg(*sums, F.count(F.lit(1)).alias("n"))
     place = shared_path(spark, "boosting-finest")
