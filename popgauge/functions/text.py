@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import lru_cache
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -150,22 +151,41 @@ def _ascii_folds() -> tuple[str, str, dict[str, str]]:
     return "".join(singles), "".join(singles.values()), longer
 
 
+def _char_class(chars: Iterable[str]) -> str:
+    """Regular expression class of characters that mean nothing in one, neighbours as ranges."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"{chr(low)}-{chr(high)}" for low, high in ranges) + "]"
+
+
 def ascii_fold(text: Column | str) -> Column:
-    """Accents and compatibility forms reduced to ASCII; what has no ASCII form is dropped."""
+    """Accents and compatibility forms reduced to ASCII; what has no ASCII form is dropped.
+
+    Only texts that hold a character which folds to several are taken apart, and only at such characters."""
     source, target, longer = _ascii_folds()
-    x = F.translate(_col(text), source, target)
     folds = F.create_map(*[F.lit(part) for pair in longer.items() for part in pair])
-    spelled = F.array_join(
-        F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(folds, c), c)), ""
-    )
-    wide = F.when(x.rlike(r"[^\x00-\x7F]"), spelled).otherwise(x)
-    return F.regexp_replace(wide, r"[^\x00-\x7F]", "")
+    known = F.regexp_replace(F.translate(_col(text), source, target), rf"[^\x00-\x7F](?<!{_char_class(longer)})", "")
+
+    def spelled(x: Column) -> Column:
+        pieces = F.split(x, r"(?<=[^\x00-\x7F])|(?=[^\x00-\x7F])")
+        joined = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(folds, p), p)), "")
+        return F.when(x.rlike(r"[^\x00-\x7F]"), joined).otherwise(x)
+
+    return once(known, spelled)
 
 
 def slugify(text: Column | str) -> Column:
     """ASCII, word characters only, lower case, runs of spaces and hyphens as one underscore."""
-    kept = F.lower(strip(F.regexp_replace(ascii_fold(text), r"[^\w\s-]", "")))
-    return F.regexp_replace(kept, r"[-\s]+", "_")
+    dropped = "".join(c for c in map(chr, range(128)) if not (c.isalnum() or c in "_-" or c in WHITESPACE))
+    kept = F.translate(ascii_fold(text), ascii_uppercase + WHITESPACE + dropped, ascii_lowercase + " " * len(WHITESPACE))
+    # A mark behind each space: what then stands between two spaces of a run goes, and one space with its mark is left.
+    mark, space = F.lit("\x01"), F.lit(" ")
+    marked = F.replace(F.replace(F.trim(kept), F.lit("-"), space), space, F.concat(space, mark))
+    return F.replace(F.replace(marked, F.concat(mark, space), F.lit("")), F.concat(space, mark), F.lit("_"))
 
 
 def safe_id(text: Column | str) -> Column:

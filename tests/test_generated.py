@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from popgauge.functions import hashing as H
-from popgauge.functions.text import normalise_name
+from popgauge.functions.text import ascii_fold, normalise_name, slugify
 from popgauge.operators.boosting import training_cells
 from popgauge.operators.cells import bootstrap_cells
 from popgauge.plans import builds as B
@@ -94,3 +94,14 @@ def test_a_filter_on_a_renamed_name_cuts_it_once(spark):
     plan = spark._jvm.PythonSQLUtils.explainString(kept._jdf.queryExecution(), "formatted")
     assert plan.count("regexp_replace") <= 4
     assert [r["name"] for r in kept.collect()] == ["other"]
+
+
+def test_slugs_are_cut_in_one_pass_of_patterns(spark):
+    texts = {"  Café -- No. 5!  ": "cafe_no_5", "-a_b\t\n c-": "_a_b_c_", "½ …xﬁ": "12_xfi", "\U0001F600中ß": "", "\x01a\x01 \x1cB\x00": "a_b", "__ __": "_____",
+             "¨a": "a", "a\U0001D400…b": "ab", "": "", None: None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", slugify("t").alias("slug"), ascii_fold("t").alias("folded"))
+    got = df.collect()
+    assert {r["t"]: r["slug"] for r in got} == texts
+    assert {r["folded"] for r in got} >= {"12 ...xfi", "a...b", " a", None}
+    plan = spark._jvm.PythonSQLUtils.explainString(df.select("slug")._jdf.queryExecution(), "simple")
+    assert plan.count("regexp_replace") == 1 and "(?<=" in plan  # texts are taken apart at folded characters, not at all
