@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import uuid
 import zlib
 from array import array
@@ -30,16 +31,40 @@ from tokenizers import Tokenizer
 from popgauge.llm.common import binary, lean, slices
 
 
+#: Kinds of bytes that a chunk may begin with: a blank, the end of a line, punctuation.
+_BLANK, _LINE, _POINT = 1, 2, 3
+_SPACE, _LETTER, _SOLID = (np.isin(np.arange(256), [*map(ord, c)]) for c in (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f", string.ascii_letters, map(chr, range(33, 127))))
+#: First bytes of characters of which some are blanks, and those blanks.
+_MAYBE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
+
+
+def _cuts(data: bytes, kinds: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 text where a chunk may begin; ``kinds``: those of the 256 bytes."""
+    line = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(kinds[line[:-1]])
+    kind, after, before = kinds[line[at]], line[at + 1], line[at - 1]
+    # Also the letters from U+00C0 to U+00FF, all but two of these characters.
+    letter = _LETTER[before] | (line[at - 2] == 0xC3) & (before > 0x7F) & (before != 0x97) & (before != 0xB7)
+    keep = np.choose(kind - 1, [~_SPACE[after], letter | _SOLID[before], letter])
+    maybe = np.flatnonzero(_MAYBE[after] & (kind == _BLANK))
+    keep[maybe] = [_WIDE_SPACE.match(data, i + 1) is None for i in at[maybe].tolist()]
+    return at[keep]
+
+
 class Encoder:
     """Whole-text encoding with the tokenizers library that encodes each distinct chunk once.
 
-    A text is cut before every blank that is followed by a non-blank character. A byte-level pre-tokenizer never
-    joins characters over such a cut (a blank opens the next piece, blanks before it form a piece of their own), so
-    the ids of a text are those of its chunks in a row."""
+    A text is cut before every blank that is followed by a non-blank character, before the end of a line behind a
+    non-blank one, and between a letter and a point, comma or the like. A byte-level pre-tokenizer never joins characters
+    over such a cut (a blank opens the next piece, blanks before it form a piece of their own, letters end where others
+    begin), so the ids of a text are those of its chunks in a row. Chunks are cut, told apart and put in a row again for
+    many texts at once; only distinct chunks become Python objects."""
 
-    CUT = re.compile(r" (?=\S)")
-    #: Bytes of chunks and ids remembered (with ``ENTRY`` for each one's objects), and chunks encoded at once.
-    MOST, ENTRY, AT_ONCE = 96 << 20, 230, 1_024
+    #: Bytes of chunks and ids remembered (with ``ENTRY`` for each one's objects), chunks encoded at once, and bytes of
+    #: texts taken together (one text may have more).
+    MOST, ENTRY, AT_ONCE, GROUP = 96 << 20, 230, 256, 4 << 20
 
     def __init__(self, path: str):
         # A task owns one core; the library's threads would take others, and keep memory of their own.
@@ -51,68 +76,98 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.bytes_of[list(vocabulary.values())] = list(map(len, vocabulary))
-        self.known: dict[str, bytes] = {}
-        self.met_again: set[str] = set()
+        self.kinds = np.zeros(256, np.uint8)
+        for kind, characters in ((_BLANK, b" "), (_LINE, b"\n"), (_POINT, b".,;:!?")):
+            self.kinds[list(characters)] = kind
+        for token in self.tokenizer.get_added_tokens_decoder().values():  # found in whole texts, whatever is around them
+            self.kinds[list(token.content.encode())] = 0
+        #: Ids by chunk: those met since ``older`` was set aside, and those met before.
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.held = 0
 
-    def _ids(self, chunks: list[str]) -> list[bytes]:
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
         kind, out = "H" if self.width == 2 else "I", []
         for at in range(0, len(chunks), self.AT_ONCE):
-            found = self.tokenizer.encode_batch_fast(chunks[at:at + self.AT_ONCE], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks[at:at + self.AT_ONCE]], add_special_tokens=False)
             out += [array(kind, e.ids).tobytes() for e in found]
         return out
 
-    def _ids_after_blank(self, chunks: list[str]) -> list[bytes]:
-        """The ids of every chunk behind a blank. Many are encoded as one text, whose ids are dealt out by the bytes they
-        stand for; where these do not end with the chunks, each is encoded by itself."""
+    def _ids_after_blank(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of chunks that begin with a blank or the end of a line. Many are encoded as one text, whose ids are dealt out by the
+        bytes they stand for; where these do not end with the chunks, each is encoded by itself."""
         out = []
         for at in range(0, len(chunks), self.AT_ONCE):
             part = chunks[at:at + self.AT_ONCE]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, self.kind)
             reached = np.cumsum(self.bytes_of[ids])
-            ends = np.cumsum([len(c.encode()) + 1 for c in part])
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
             after = np.searchsorted(reached, ends) + 1
             if len(ids) < after[-1] or reached[-1] != ends[-1] or (reached[after - 1] != ends).any():
-                out += self._ids([" " + c for c in part])
+                out += self._ids(part)
                 continue
-            flat, start = ids.tobytes(), 0
-            for stop in (after * self.width).tolist():
-                out.append(flat[start:stop])
-                start = stop
+            flat, stops = ids.tobytes(), (after * self.width).tolist()
+            out += [flat[start:stop] for start, stop in zip([0, *stops], stops)]
         return out
 
-    def _learn(self, chunks: set[str], new: set[str]) -> None:
-        """Encode the ``new`` of the chunks, which are not known. When too many are, only those that were met again stay."""
-        self.met_again |= chunks - new
-        if self.held > self.MOST:
-            self.known = {c: self.known[c] for c in self.met_again}
-            self.met_again = set()
-            self.held = sum(map(len, self.known)) + sum(map(len, self.known.values())) + self.ENTRY * len(self.known)
-            if 2 * self.held > self.MOST:  # too many were met again
-                self.known, self.held = {}, 0
-                new = chunks
-        fresh = list(new)
-        ids = self._ids_after_blank(fresh)
+    def _learnt(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of distinct chunks. When too many are remembered, those not met lately go."""
+        found = list(map(self.known.get, chunks))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if not missing:
+            return found
+        new = []
+        for i in missing:
+            found[i] = self.older.get(chunks[i])
+            if found[i] is None:
+                new.append(i)
+        behind = [i for i in new if chunks[i][:1] in (b" ", b"\n")]
+        others = [i for i in new if chunks[i][:1] not in (b" ", b"\n")]
+        for places, encode in ((behind, self._ids_after_blank), (others, self._ids)):
+            for i, ids in zip(places, encode([chunks[i] for i in places])):
+                found[i] = ids
+        fresh, ids = [chunks[i] for i in missing], [found[i] for i in missing]
         self.known.update(zip(fresh, ids))
         self.held += sum(map(len, fresh)) + sum(map(len, ids)) + self.ENTRY * len(fresh)
+        if 2 * self.held > self.MOST:
+            self.older, self.known, self.held = self.known, {}, 0
+        return found
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of ``width`` bytes."""
-        split = [(t or b"").decode().split(" ") for t in texts]
-        chunks = set().union(*split)
-        new = chunks.difference(self.known)
-        odd = {c for c in new if not c or c[0].isspace()}
-        if odd:
-            split = [
-                self.CUT.split(t.decode()) if t and not odd.isdisjoint(chunks[1:]) else chunks
-                for t, chunks in zip(texts, split)
-            ]
-            chunks = set().union(*split)
-            new = chunks.difference(self.known)
-        self._learn(chunks, new)
-        heads = self._ids([chunks[0] for chunks in split])
-        get = self.known.__getitem__
-        return [b"".join([head, *map(get, chunks[1:])]) for head, chunks in zip(heads, split)]
+        out, part, size = [], [], 0
+        for text in texts:
+            part.append(text or b"")
+            size += len(part[-1])
+            if size >= self.GROUP:
+                out += self._encode(part)
+                part, size = [], 0
+        return out + self._encode(part) if part else out
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        data = b"".join(texts)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        cuts = _cuts(data, self.kinds)
+        last = np.searchsorted(cuts, ends - 1)
+        # A blank that ends a text is followed by nothing.
+        cuts = np.delete(cuts, last[np.append(cuts, -2)[last] == ends - 1])
+        # Each text begins a chunk, an empty one too; a chunk after a cut begins with the byte at the cut.
+        starts = np.append(0, ends[:-1])
+        before = np.searchsorted(cuts, starts)
+        offsets = np.append(np.insert(cuts, before, starts), len(data)).astype(np.int64)
+        chunks = pa.Array.from_buffers(
+            pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        ids = self._learnt(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
+        # The ids of the distinct chunks, repeated in the order of the texts.
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        flat, which = np.frombuffer(b"".join(ids), self.kind), chunks.indices.to_numpy()
+        lengths = sizes[which]
+        stops = np.append(0, np.cumsum(lengths))
+        places = np.repeat((np.cumsum(sizes) - sizes)[which] - stops[:-1], lengths)
+        places += np.arange(len(places))
+        line = flat[places].tobytes()
+        bounds = (stops[np.append(before + np.arange(len(starts)), len(which))] * self.width).tolist()
+        return [line[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 #: One encoder a Python worker for each vocabulary: tasks that reuse the worker start with what it knows.

@@ -112,6 +112,33 @@ def test_chunked_encoding_equals_whole(texts):
     assert got == [ids_of(t) for t in texts]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(
+    [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u2003", "\u3000", "\x1c", "\x85", ".", ",", "'s", "'", "a", "ll", "\u00e9", "\u00d7", "\u00f1",
+     "\u65e5", "\u2013", "1", "|", "<|endoftext|>"]), max_size=14).map("".join), max_size=6))
+def test_chunks_end_at_lines_points_and_wide_blanks(texts):
+    got = [np.frombuffer(b, ENCODER.kind).tolist() for b in ENCODER.encode([t.encode() for t in texts])]
+    assert got == [ids_of(t) for t in texts]
+
+
+def test_a_word_is_encoded_once_whatever_follows_it(monkeypatch):
+    """The library sees each word once, not once with each point, comma or line behind it."""
+    encoder, sent = tokens.Encoder(TOKENIZER), []
+    library = encoder.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, inputs, add_special_tokens):
+            sent.extend(inputs)
+            return library.encode_batch_fast(inputs, add_special_tokens=add_special_tokens)
+
+    monkeypatch.setattr(encoder, "tokenizer", Counting())
+    words = [f"un{chr(97 + i % 26)}{chr(97 + i // 26)}eard" for i in range(100)]
+    texts = ["so " + " ".join(f"{w}, {w}. {w}! {w}\n {w}" for w in words)] * 3
+    got = [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode([t.encode() for t in texts])]
+    assert got == [ids_of(t) for t in texts]
+    assert sum(map(len, sent)) < 1.1 * sum(len(w) + 1 for w in words)
+
+
 def test_sequences_round_trip(spark):
     rows = awkward() + [(9_000, "<|endoftext|> at  the end "), (-5, "first")]
     docs = frame(spark, rows)
