@@ -34,28 +34,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popgauge.llm.common import binary, lean, slices, stored
+from popgauge.llm.common import BLANKS, binary, lean, slices, stored
 
 #: Words of an anchor (a power of two), and occurrences from which an anchor counts as very frequent.
 ANCHOR, FREQUENT = 16, 4_096
-#: Words of one automaton, about.
-SHARD_WORDS = 60_000
+#: Words of one automaton, and words cut into pieces at once, about.
+SHARD_WORDS, LOT = 60_000, 16_384
 WIDTH = 6  # bytes of a word's number inside pieces
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-class _Numbers(dict):
-    """word -> XXH64; forgets when it grows large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 900_000:
-            self.clear()
-        self[word] = number = xxhash.xxh64_intdigest(word)
-        return number
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
@@ -77,20 +67,39 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_numbers, _powers = _Numbers(), _Powers()
+_powers = _Powers()
+_IS_BLANK = np.isin(np.arange(256), list(BLANKS.encode()))
 
 
-def word_numbers(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_numbers.__getitem__, words), np.uint64, len(words))
+def word_numbers(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every word of the texts, in a row, and the number of words of each text. A word that occurs often becomes
+    one Python object."""
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    data = b"\n".join([*texts, b""])
+    blank = _IS_BLANK[np.frombuffer(data, np.uint8)]
+    starts = np.flatnonzero(~blank & np.append(True, blank[:-1]))
+    # With the blanks behind it, so that each word ends where the next one begins.
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [
+        None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+    distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+    numbers = np.fromiter(map(xxhash.xxh64_intdigest, map(bytes.rstrip, distinct)), np.uint64, len(distinct))
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return numbers[words.indices.to_numpy()], np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
 class Pieces:
-    """Pieces of one document: ``start``, number of windows ``count``, ``anchor`` and ``piece`` hashes."""
-
-    def __init__(self, x: np.ndarray, window: int, frequent: np.ndarray):
-        n = len(x) - window + 1
-        if n <= 0:
-            self.start = self.count = np.zeros(0, np.int64)
+    """Pieces of several documents, whose words stand in a row: ``text``, ``start`` in it, number of windows ``count``,
+    ``anchor`` and ``piece`` hashes."""
+
+    def __init__(self, x: np.ndarray, sizes: np.ndarray, window: int, frequent: np.ndarray):
+        ends = np.cumsum(sizes)
+        whole = np.ones(max(0, len(x) - window + 1), bool)  # windows of one document
+        for end in ends[:-1].tolist():
+            whole[max(0, end - window + 1):end] = False
+        windows = np.flatnonzero(whole)
+        if not len(windows):
+            self.text = self.start = self.count = np.zeros(0, np.int64)
             self.anchor = self.piece = np.zeros(0, np.uint64)
             return
         run, width = _mixed(x), 1
@@ -105,9 +114,11 @@ class Pieces:
             place = np.where(later, place[shift:], place[:-shift])
             value = np.where(later, value[shift:], value[:-shift])
             span += shift
+        # Windows of two documents have no anchor in common.
+        place = place[windows]
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        count = np.diff(np.append(first, n))
-        anchor = run[place[first]]
+        count = np.diff(np.append(first, len(windows)))
+        anchor, first = run[place[first]], windows[first]
         if len(frequent):
             hot = frequent[np.minimum(np.searchsorted(frequent, anchor), len(frequent) - 1)] == anchor
             if hot.any():
@@ -121,7 +132,15 @@ class Pieces:
         self.piece = _mixed((sums[after] - sums[first]) * down[first] + count.astype(np.uint64) * np.uint64(_BASE))
         if len(frequent) and hot.any():
             anchor = np.where(hot, self.piece, anchor)
-        self.start, self.count, self.anchor = first, count, anchor
+        self.text = np.searchsorted(ends, first, side="right")
+        self.start, self.count, self.anchor = first - (ends - sizes)[self.text], count, anchor
+
+
+def lots(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Neighbours of about ``most`` words together; a larger text alone or at the end."""
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
+        yield slice(a, b)
 
 
 class Automaton:
@@ -196,11 +215,12 @@ def _pieces(texts: DataFrame, window: int, frequent, only: bool = False) -> Data
         hot = frequent.value
         for batch in batches:
             for part in slices(batch, 256):
-                held = []
-                for row, data in zip(part.column(0).to_pylist(), binary(part.column(1))):
-                    p = Pieces(word_numbers(data.split()), window, hot)
+                rows, (x, sizes), held = part.column(0).to_numpy(), word_numbers(binary(part.column(1))), []
+                ends = np.cumsum(sizes)
+                for some in lots(sizes, LOT):
+                    p = Pieces(x[ends[some][0] - sizes[some][0]:ends[some][-1]], sizes[some], window, hot)
                     keep = p.anchor == p.piece if only else slice(None)
-                    held.append((p.anchor[keep], np.full(len(p.anchor[keep]), row, np.int64), (p.start << 8 | p.count)[keep], p.piece[keep]))
+                    held.append((p.anchor[keep], rows[some][p.text[keep]], (p.start << 8 | p.count)[keep], p.piece[keep]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(c).view(np.int64)) for c in zip(*held)], ["anchor", "row", "place", "piece"])
 
@@ -220,10 +240,8 @@ def _packed(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(lean(pack), f"doc_id {dict(keyed.dtypes)['doc_id']}, row bigint, packed binary")
 
 
-def _unpacked(column: pa.Array) -> Iterator[list[bytes]]:
-    expand = zstandard.ZstdDecompressor().decompress
-    for data in column.to_pylist():
-        yield expand(data).split()
+def _unpacked(column: pa.Array) -> list[bytes]:
+    return list(map(zstandard.ZstdDecompressor().decompress, column.to_pylist()))
 
 
 def _references(pieces: DataFrame, packed: DataFrame, window: int) -> DataFrame:
@@ -235,10 +253,11 @@ def _references(pieces: DataFrame, packed: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 64):
                 out: list[tuple] = []
-                for wanted, words in zip(part.column(0).to_pylist(), _unpacked(part.column(1))):
-                    raw = word_numbers(words).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+                x, sizes = word_numbers(_unpacked(part.column(1)))
+                raw = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+                for wanted, before in zip(part.column(0).to_pylist(), (np.cumsum(sizes) - sizes).tolist()):
                     for w in wanted:
-                        start, count = w["place"] >> 8, w["place"] & 255
+                        start, count = before + (w["place"] >> 8), w["place"] & 255
                         out.append((w["anchor"], w["piece"], w["n"], raw[start * WIDTH:(start + count + window - 1) * WIDTH]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
@@ -284,7 +303,8 @@ def _removal(window: int):
         for batch in batches:
             for part in slices(batch, 256):
                 sizes, gone, digests, spans = [], [], [], []
-                for words, found in zip(_unpacked(part.column(1)), part.column(2).to_pylist()):
+                for data, found in zip(_unpacked(part.column(1)), part.column(2).to_pylist()):
+                    words = data.split()
                     edge = np.zeros(len(words) + 1, np.int32)
                     for one in found or ():
                         start, bits = one["start"], one["repeats"]

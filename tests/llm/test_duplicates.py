@@ -136,6 +136,28 @@ def test_substring_removal(spark, monkeypatch, frequent):
     assert substrings.deduplicated(frame(spark, [])).count() == 0
 
 
+def test_pieces_of_documents_in_a_row(monkeypatch):
+    """Documents are cut many at once: as each is by itself, and a word is hashed once, not at each place."""
+    texts = [(t or "").encode() for _, t in awkward()] + [b" \x0b a b\x0cc\r", b"x \x1c y \xc2\xa0 z", b"b " * 34, b"b " * 35, b"b " * 36]
+    hashed, digest = [], substrings.xxhash.xxh64_intdigest
+    monkeypatch.setattr(substrings.xxhash, "xxh64_intdigest", lambda word: hashed.append(word) or digest(word))
+    x, sizes = substrings.word_numbers(texts)
+    split = [blank_words(t.decode()) for t in texts]
+    assert sizes.tolist() == list(map(len, split)) and x.tolist() == [digest(w.encode()) for words in split for w in words]
+    assert len(hashed) < 700 < 2_000 < len(x)
+    hot = np.sort(substrings.Pieces(x, sizes, 35, x[:0]).anchor[::7])
+    for frequent in (x[:0], hot):
+        got = substrings.Pieces(x, sizes, 35, frequent)
+        places = [got.text, got.start, got.count, got.anchor, got.piece]
+        alone = []
+        for i, part in enumerate(np.split(x, np.cumsum(sizes)[:-1])):
+            one = substrings.Pieces(part, sizes[i:i + 1], 35, frequent)
+            alone += [(i, *row) for row in zip(*(c.tolist() for c in (one.start, one.count, one.anchor, one.piece)))]
+        assert list(zip(*(c.tolist() for c in places))) == alone and len(alone) > 100
+    lots = [sizes[some].tolist() for some in substrings.lots(sizes, 200)]
+    assert sum(lots, []) == sizes.tolist() and len(lots) > 5
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.lists(st.integers(0, 2), max_size=14), st.integers(1, 3)), max_size=6), st.integers(2, 5))
 def test_automaton_counts(texts, window):
