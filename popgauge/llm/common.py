@@ -6,6 +6,7 @@ import ctypes
 import functools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,23 @@ def letters_lower(data: bytes) -> bytes:
     return data.lower()
 
 
+_IS_BLANK = np.isin(np.arange(256), list(BLANKS.encode()))
+
+
+def words_in_a_row(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of the texts as one row of places in a list of words, which holds a word a few times at most: that list,
+    the row, and the number of words of each text. Only words of the list become Python objects."""
+    data = b"\n".join([*texts, b""])
+    blank = _IS_BLANK[np.frombuffer(data, np.uint8)]
+    starts = np.flatnonzero(~blank & np.append(True, blank[:-1])) if texts else np.zeros(0, np.int64)
+    # With the blanks behind it, so that each word ends where the next one begins.
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [
+        None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+    distinct = list(map(bytes.rstrip, words.dictionary.to_numpy(zero_copy_only=False).tolist()))
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return distinct, words.indices.to_numpy(), np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns; whatever else the table carries cannot clash with an operator's own."""
     return docs.select(*columns)

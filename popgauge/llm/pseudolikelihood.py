@@ -22,9 +22,9 @@ ignored.
 from __future__ import annotations
 
 import math
-from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popgauge.llm.common import binary, lean, slices
+from popgauge.llm.common import binary, lean, letters_lower, slices, words_in_a_row
 from popgauge.session import cut_lineage
 
 #: Frequent words that are classes, classes in all, words with an input vector, hidden units, window on each side.
@@ -48,22 +48,12 @@ STEP, LOT = 8_192, 65_536
 RATE, KEEP_MEAN, KEEP_SQUARE = 0.1, 0.8, 0.9
 
 
-def words_of(data: bytes) -> list[bytes]:
-    return data.lower().split()
-
-
-class Lexicon(dict):
-    """word -> its place in ``rows`` (of the input tables), ``classes`` and ``shares`` (log share of the word in its
-    class); places are given out as words turn up."""
-
-    MOST = 400_000
+class Lexicon:
+    """Row (of the input tables), class and log share (of the word in its class) of every word."""
 
     def __init__(self, listed: list[tuple[bytes, int]], total: int | None = None):
         """``listed``: words and counts by falling count; ``total``: tokens of the corpus, those of other words too."""
-        super().__init__()
         self.listed = {w: (i, n) for i, (w, n) in enumerate(listed)}
-        self.rows, self.classes = array("i", bytes(4 * self.MOST)), array("i", bytes(4 * self.MOST))
-        self.shares = array("d", bytes(8 * self.MOST))
         counts = np.array([n for _, n in listed], np.int64)
         self.total = int(counts.sum()) if total is None else total
         banded = counts[FREQUENT:]
@@ -74,6 +64,18 @@ class Lexicon(dict):
         np.add.at(totals, self.placed, counts)
         totals[UNLISTED] = self.total - counts.sum()
         self.totals, self.placed = totals.tolist(), self.placed.tolist()
+        # By place in the list; the last entry is of all other words, whose rows are found by hash.
+        self.place = {w: i for i, (w, _) in enumerate(listed)}
+        self.rows = np.array([self._row(i, w) for i, (w, _) in enumerate(listed)] + [0], np.int32)
+        self.classes = np.array([*self.placed, UNLISTED], np.int32)
+        # One more stands for words never seen; ``scored`` adds the logarithm of the word's count.
+        self.shares = np.array(
+            [math.log(n / self.totals[c]) for (_, n), c in zip(listed, self.placed)] + [-math.log(self.totals[UNLISTED] + 1.0)])
+
+    @staticmethod
+    def _row(at: int, word: bytes) -> int:
+        """Row 0 is the edge of a text; words without a row of their own share one by hash."""
+        return at + 1 if at < OWN else 1 + OWN + (xxhash.xxh64_intdigest(word, 7) >> 32) % (VOCABULARY - OWN)
 
     def class_of(self, word: bytes) -> int:
         return self.placed[self.listed[word][0]] if word in self.listed else UNLISTED
@@ -83,34 +85,16 @@ class Lexicon(dict):
         totals = np.array(self.totals, np.float64) + 0.5
         return np.log(totals / totals.sum())
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = place = len(self)
-        at, n = self.listed.get(word, (VOCABULARY, 1))
-        self.classes[place] = cls = self.class_of(word)
-        # Row 0 is the edge of a text; words without a row of their own share one by hash.
-        self.rows[place] = at + 1 if at < OWN else 1 + OWN + (xxhash.xxh64_intdigest(word, 7) >> 32) % (VOCABULARY - OWN)
-        if cls == UNLISTED:  # one more stands for words never seen; ``scored`` adds the logarithm of the word's count
-            self.shares[place] = -math.log(self.totals[cls] + 1.0)
-        else:
-            self.shares[place] = math.log(n / self.totals[cls])
-        return place
-
     def __reduce__(self):
         return Lexicon, ([(w, n) for w, (_, n) in self.listed.items()], self.total)
 
     def numbers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Input rows, classes and log shares of the words."""
-        parts = []
-        for at in range(0, len(words), self.MOST // 4):
-            if len(self) > self.MOST // 2:
-                self.clear()
-            some = words[at:at + self.MOST // 4]
-            places = np.fromiter(map(self.__getitem__, some), np.int64, len(some))
-            parts.append(tuple(np.frombuffer(a, t).take(places) for a, t in (
-                (self.rows, np.int32), (self.classes, np.int32), (self.shares, np.float64))))
-        if not parts:
-            return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
-        return tuple(np.concatenate(p) for p in zip(*parts)) if len(parts) > 1 else parts[0]
+        other = len(self.place)
+        places = np.fromiter(map(self.place.get, words, repeat(other)), np.int64, len(words))
+        rows, others = self.rows[places], np.flatnonzero(places == other)
+        rows[others] = [self._row(VOCABULARY, words[i]) for i in others.tolist()]
+        return rows, self.classes[places], self.shares[places]
 
 
 def start(seed: int = 5) -> list[np.ndarray]:
@@ -215,10 +199,10 @@ class Descent:
             self.model[i] = (self.model[i] - RATE * np.clip(move, -3.0, 3.0)).astype(np.float32)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
         for part in slices(batch, 256):
-            yield part, [words_of(t or b"") for t in binary(part.column(column))]
+            yield part, [letters_lower(t or b"") for t in binary(part.column(column))]
 
 
 def lexicon(texts: DataFrame) -> Lexicon:
@@ -230,9 +214,9 @@ def lexicon(texts: DataFrame) -> Lexicon:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
-        for _, split in _texts(batches, 0):
-            for words in split:
-                held.update(words)
+        for _, some in _texts(batches, 0):
+            for one in some:
+                held.update(one.split())
             if len(held) > 200_000:
                 yield out()
                 held.clear()
@@ -273,11 +257,14 @@ def trained(texts: DataFrame, words: Lexicon, rounds: int = 8) -> list[np.ndarra
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             lex, sums, held, tokens = lexicon_sent.value, Gradients(sent.value), [], 0
-            for _, split in _texts(batches, 0):
-                for one in split:
-                    if one:
-                        held.append(lex.numbers(one)[:2])
-                        tokens += len(one)
+            for _, some in _texts(batches, 0):
+                distinct, which, sizes = words_in_a_row(some)
+                rows, classes, _ = lex.numbers(distinct)
+                cuts = np.cumsum(sizes)[:-1]
+                for one in zip(np.split(rows[which], cuts), np.split(classes[which], cuts)):
+                    if len(one[0]):
+                        held.append(one)
+                        tokens += len(one[0])
                     if tokens >= LOT:
                         sums.add(held)
                         held, tokens = [], 0
@@ -332,21 +319,21 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, model = sent.value
-        for part, split in _texts(batches, 1):
-            tokens = [t for one in split for t in one]
-            rows, classes, shares = lex.numbers(tokens)
-            sizes = np.array([len(one) for one in split])
+        for part, some in _texts(batches, 1):
+            distinct, which, sizes = words_in_a_row(some)
+            rows, classes, shares = (column[which] for column in lex.numbers(distinct))
+            # Spark's seed, so that the hashes meet those of ``unlisted``.
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in distinct), np.uint64, len(distinct)).view(np.int64)
             cuts = np.cumsum(sizes)
             around = windows(np.split(rows, cuts[:-1]))
             each = np.empty(len(rows))
             for at in range(0, len(rows), STEP):
-                some = slice(at, at + STEP)
-                each[some] = log_probabilities(model, around[some], classes[some]) + shares[some]
+                step = slice(at, at + STEP)
+                each[step] = log_probabilities(model, around[step], classes[step]) + shares[step]
             before = np.concatenate([[0.0], np.cumsum(each)])
             sums = before[cuts] - before[cuts - sizes]
-            # Spark's seed, so that the hashes meet those of ``unlisted``.
             places = np.flatnonzero(classes == UNLISTED)
-            others = np.fromiter((xxhash.xxh64_intdigest(tokens[i], 42) for i in places.tolist()), np.uint64, len(places)).view(np.int64)
+            others = hashes[which[places]]
             bounds = np.searchsorted(places, np.concatenate([[0], cuts]))
             yield pa.RecordBatch.from_arrays([
                 part.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()),

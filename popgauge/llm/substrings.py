@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popgauge.llm.common import BLANKS, binary, lean, slices, stored
+from popgauge.llm.common import binary, lean, slices, stored, words_in_a_row
 
 #: Words of an anchor (a power of two), and occurrences from which an anchor counts as very frequent.
 ANCHOR, FREQUENT = 16, 4_096
@@ -68,24 +68,12 @@ class _Powers:
 
 
 _powers = _Powers()
-_IS_BLANK = np.isin(np.arange(256), list(BLANKS.encode()))
 
 
 def word_numbers(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 of every word of the texts, in a row, and the number of words of each text. A word that occurs often becomes
-    one Python object."""
-    if not texts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    data = b"\n".join([*texts, b""])
-    blank = _IS_BLANK[np.frombuffer(data, np.uint8)]
-    starts = np.flatnonzero(~blank & np.append(True, blank[:-1]))
-    # With the blanks behind it, so that each word ends where the next one begins.
-    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [
-        None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-    distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-    numbers = np.fromiter(map(xxhash.xxh64_intdigest, map(bytes.rstrip, distinct)), np.uint64, len(distinct))
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    return numbers[words.indices.to_numpy()], np.diff(np.searchsorted(starts, ends), prepend=0)
+    """XXH64 of every word of the texts, in a row, and the number of words of each text."""
+    distinct, which, sizes = words_in_a_row(texts)
+    return np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[which], sizes
 
 
 class Pieces:

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from popgauge.llm import outliers, packing, pseudolikelihood, pseudonyms, quality, sharding, tokens
+from popgauge.llm.common import words_in_a_row
 from popgauge.llm.queries import TOKENIZER
 from popgauge.session import shared_path
 
@@ -425,6 +426,23 @@ def test_scores_sum_conditional_log_probabilities(spark):
     assert pseudolikelihood.scored(frame(spark, [])).count() == 0
 
 
+def test_words_of_many_texts_are_looked_up_together():
+    """A lot of texts asks the lexicon for each word a few times at most, and gives what each text by itself does."""
+    texts = [(t or "").encode().lower() for _, t in awkward()] + [b" \x0b lead and\x0ctrail\r", b"x \x1c y \xc2\xa0 z"]
+    split = [t.split() for t in texts]
+    counts = Counter(w for words in split for w in words)
+    lexicon = pseudolikelihood.Lexicon(sorted(counts.items(), key=lambda w: (-w[1], w[0]))[:300], sum(counts.values()))
+    distinct, which, sizes = words_in_a_row(texts)
+    assert [distinct[i] for i in which.tolist()] == [w for words in split for w in words] and sizes.tolist() == list(map(len, split))
+    assert len(distinct) < 2 * len(counts) < len(which) // 2
+    found = [column[which] for column in lexicon.numbers(distinct)]
+    alone = [np.concatenate(columns) for columns in zip(*map(lexicon.numbers, split))]
+    assert all(f.dtype == a.dtype and (f == a).all() for f, a in zip(found, alone))
+    unlisted = found[1] == pseudolikelihood.UNLISTED
+    assert 0 < unlisted.sum() < len(which) and (found[0][unlisted] > pseudolikelihood.OWN).all() and found[0].min() > 0
+    assert words_in_a_row([])[0] == [] and [len(c) for c in lexicon.numbers([])] == [0, 0, 0]
+
+
 def test_words_outside_the_list_have_their_share(spark, monkeypatch):
     """Of documents of one word the context is the same, so within a class scores differ by the counts' logarithms."""
     monkeypatch.setattr(pseudolikelihood, "LISTED", 45)
